@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.text import SLANG_PHRASES, as_text, clean_text
 from kinfold.functions.vectors import lists_of, unit_rows
+from kinfold.session import spread
 
 TextEncoder = Callable[[list[str]], np.ndarray]
 ImageEncoder = Callable[[list[np.ndarray]], np.ndarray]
@@ -84,7 +85,8 @@ def encode_texts(
 ) -> DataFrame:
     """``id, embedding`` of the cleaned texts, unit length. Cleaning stays in the JVM."""
     text = as_text(F.col(text_col))
-    source = rows.select(id_col, (clean_text(text, phrases) if clean else text).alias("_text"))
+    texts = spread(rows.select(id_col, text.alias("_text")))
+    source = texts.withColumn("_text", clean_text(F.col("_text"), phrases)) if clean else texts
     return _encode(
         source, encoder_factory, id_col, batch_size, lambda column: column.to_pylist()
     )

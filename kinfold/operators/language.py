@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import as_text
+from kinfold.session import spread
 
 BROADCAST_GRAMS = 1_000_000
 
@@ -60,9 +61,9 @@ def train_language_model(
         found = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct()
         languages = sorted(r[0] for r in found.collect())
     languages = tuple(languages)
-    grams = labelled.where(F.col(lang_col).isin(list(languages))).select(
-        lang_col, F.explode(letter_ngrams(as_text(F.col(text_col)), max_n)).alias("gram")
-    )
+    known = labelled.where(F.col(lang_col).isin(list(languages)))
+    texts = spread(known.select(lang_col, as_text(F.col(text_col)).alias("_text")))
+    grams = texts.select(lang_col, F.explode(letter_ngrams(F.col("_text"), max_n)).alias("gram"))
     seen = [F.count(F.when(F.col(lang_col) == lang, 1)) for lang in languages]
     counts = grams.groupBy("gram").agg(F.array(*seen).alias("seen")).persist()
     length = F.char_length("gram")
@@ -100,7 +101,7 @@ def language_scores(
     a row never move; a larger one is joined by n-gram after each row's repeats
     are counted. A text without letters scores evenly.
     """
-    texts = rows.select(id_col, as_text(F.col(text_col)).alias("_text"))
+    texts = spread(rows.select(id_col, as_text(F.col(text_col)).alias("_text")))
     grams = texts.select(id_col, F.explode(letter_ngrams(F.col("_text"), model.max_n)).alias("gram"))
     if model.grams <= broadcast_grams:
         weighed = grams.join(F.broadcast(model.profile), "gram", "left").withColumn("_n", F.lit(1))

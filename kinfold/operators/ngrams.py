@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.stopwords import default_stop_words
 from kinfold.functions.text import as_text, without_stop_words, word_ngrams, word_tokens
+from kinfold.session import spread
 
 
 def ngram_counts(
@@ -29,7 +30,8 @@ def ngram_counts(
     if not 1 <= min_n <= max_n:
         raise ValueError("need 1 <= min_n <= max_n")
     words = default_stop_words() if stop_words is None else stop_words
-    tokens = df.select(without_stop_words(word_tokens(as_text(F.col(text_col))), words).alias("t"))
+    texts = spread(df.select(as_text(F.col(text_col)).alias("text")))
+    tokens = texts.select(without_stop_words(word_tokens(F.col("text")), words).alias("t"))
     grams = tokens.select(F.sort_array(word_ngrams(F.col("t"), min_n, max_n)).alias("g"))
     flagged = F.transform(
         F.col("g"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.joins import hot_key_lookup
 from kinfold.operators.quantiles import quantile_row
 from kinfold.operators.ranking import hash_order, rank_by_hash
+from kinfold.session import materialize
 
 
 def assign_stratum(
@@ -73,8 +74,9 @@ def stratified_group_split(
 
     Groups are drawn in md5 order of seed and group. Ranks come from bucket
     offsets, so a stratum is never sorted in one task; the driver sees one count
-    per stratum.
+    per stratum. The group table is written once, since it is read three times.
     """
+    groups = materialize(groups)
     counts = {
         r[stratify_col]: r["count"]
         for r in groups.groupBy(stratify_col).count().collect()

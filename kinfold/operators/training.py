@@ -29,6 +29,7 @@ from kinfold.operators.projection import (
 )
 from kinfold.operators.ranking import hash_order, rank_by_hash
 from kinfold.operators.sampling import class_ids, m_per_class_sample
+from kinfold.session import materialize
 
 # How the validation split is retrieved after each epoch.
 RETRIEVAL_K = 51
@@ -321,7 +322,7 @@ def fit_head(
     without a strictly better F1, and raises if F1 never leaves zero.
     """
     columns = [F.col(id_col), F.col(label_col), F.col(vec_col).alias("embedding")]
-    train, val = train.select(*columns), val.select(*columns)
+    train, val = materialize(train.select(*columns)), materialize(val.select(*columns))
     ids = class_ids(train, val, label_col=label_col).persist()
     n_classes = ids.count()
     key = F.xxhash64(F.lit(seed), id_col)

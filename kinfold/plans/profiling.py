@@ -11,6 +11,7 @@ from kinfold.operators import profile as pf
 from kinfold.operators import splitting
 from kinfold.operators.language import LanguageModel, language_scores, target_score
 from kinfold.operators.prototypes import classify_by_prototypes, pick_class
+from kinfold.session import materialize
 
 # Fixed value: how sharply similarities to the prompts become probabilities.
 PROMPT_SCALE = 30
@@ -54,10 +55,11 @@ def profile(
 ) -> Profile:
     """Row and group statistics with the numbers behind their box plots.
 
-    Several tables read ``augmented`` and the groups: persist or write
-    ``augmented`` first when computing it is costly.
+    The augmented rows and the group table are written once; everything else
+    reads them.
     """
-    groups = pf.group_profile(augmented, id_col=id_col, group_col=group_col)
+    augmented = materialize(augmented)
+    groups = materialize(pf.group_profile(augmented, id_col=id_col, group_col=group_col))
     return Profile(
         augmented,
         pf.describe(augmented, ROW_COLUMNS),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.operators import metrics as mx
 from kinfold.operators.projection import ProjectionHead
 from kinfold.plans.retrieval import grid_search, neighbors_of, split_vectors
+from kinfold.session import materialize
 
 # Variant name, the modalities it needs and how they are fused.
 VARIANTS = (
@@ -53,15 +54,17 @@ def run_variants(
                 continue
 
             def rows_of(split: str, inputs=inputs, fusion=fusion, head=head) -> DataFrame:
-                return split_vectors(
+                rows = split_vectors(
                     assignments, inputs, fusion_type=fusion, split=split, head=head, id_col=id_col
                 )
+                # Sized, searched and scored from one written table.
+                return materialize(rows.select(id_col, group_col, "stratum", "embedding"))
 
             grid = grid_search(
                 rows_of("val"), thresholds=thresholds, recall_ks=recall_ks, k=k, **shared
             )
-            # Written or cached once: read for the table and for the choice.
-            summary = grid.summary.persist()
+            # Nine rows, read for the table and for the choice.
+            summary = materialize(grid.summary)
             best = mx.best_threshold(summary).first()["threshold"]
             test = rows_of("test")
             found = neighbors_of(test, k=k, threshold=best, **shared)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import profile, splitting
+from kinfold.session import materialize
 
 SCORES = ("multiples_score", "indonesian_score")
 STDS = ("multiples_score_std", "indonesian_score_std")
@@ -154,9 +155,10 @@ def one_threshold(value: float) -> str:
 
 
 def rounded_profile(rows: DataFrame) -> DataFrame:
+    """The group table every later job reads, written once."""
     groups = profile.group_profile(rows, score_cols=SCORES)
-    return groups.select(
-        "label_group", "product_count", *[F.round(c, 9).alias(c) for c in STDS]
+    return materialize(
+        groups.select("label_group", "product_count", *[F.round(c, 9).alias(c) for c in STDS])
     )
 
 
@@ -169,5 +171,6 @@ def splits(rows: DataFrame) -> DataFrame:
 
 
 def assigned_products(spark: SparkSession, folder: str) -> DataFrame:
+    """Products with split and stratum, written once as the split job would."""
     rows = products(spark, folder)
-    return splitting.assign_rows(rows, splits(rows))
+    return materialize(splitting.assign_rows(rows, splits(rows)))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# A scan gives about one task per this many bytes; less input leaves cores idle.
+_SPLIT_BYTES = 4 << 20
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -29,3 +33,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinfold-"))
     return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives lost executors, and keeps column pruning and
+    filter pushdown for the plans that read it several times.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/kinfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input to every core before costly per-row work.
+
+    A table of few splits would run it on few cores. An input with more splits
+    than cores, by the optimizer's size estimate, is returned as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if size >= cores * _SPLIT_BYTES else df.repartition(cores)
