@@ -72,6 +72,17 @@ def emoji_class(ranges: Sequence[tuple[int, int]] = EMOJI_RANGES) -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
 
 
+def _merged(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same code points in as few ranges as possible."""
+    merged: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if merged and lo <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
 def longest_first(phrases: Sequence[str]) -> list[str]:
     """Longer phrases must win over their own prefixes in an alternation."""
     return sorted(phrases, key=lambda phrase: (-len(phrase), phrase))
@@ -83,7 +94,10 @@ def as_text(column: Column, null_text: str = "nan") -> Column:
 
 
 def remove_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, emoji_class() + "+", "")
+    ranges = _merged(EMOJI_RANGES)
+    # Testing the outer bounds first settles most characters with one comparison.
+    bounds = f"\\x{{{ranges[0][0]:X}}}-\\x{{{ranges[-1][1]:X}}}"
+    return F.regexp_replace(text, f"[{bounds}&&{emoji_class(ranges)}]+", "")
 
 
 def remove_noise(text: Column) -> Column:
@@ -94,13 +108,17 @@ def remove_slang(text: Column, phrases: Sequence[str] = SLANG_PHRASES) -> Column
     """Drop whole-word phrases in any case, with the white space after them."""
     if not phrases:
         return text
+    # Looking at the first character settles most words before any phrase is tried.
+    first = "".join(sorted({f"\\x{{{ord(p[0]):X}}}" for p in phrases}))
     quoted = (r"\Q" + p.replace(r"\E", r"\E\\E\Q") + r"\E" for p in longest_first(phrases))
-    pattern = f"(?iu)(?<!{WORD})(?:{'|'.join(quoted)})(?!{WORD}){SPACE}*"
+    pattern = f"(?iu)(?<!{WORD})(?=[{first}])(?:{'|'.join(quoted)})(?!{WORD}){SPACE}*"
     return F.regexp_replace(text, pattern, "")
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    # A lone blank already is what its run becomes, and needs no replacing.
+    runs = f" {SPACE}+|[{SPACE}&&[^ ]]{SPACE}*"
+    return F.trim(F.regexp_replace(text, runs, " "))
 
 
 def clean_text(text: Column, phrases: Sequence[str] = SLANG_PHRASES) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import text as fx
 from kinfold.operators import ngrams
 from kinfold.registry.fragments import table
+from kinfold.session import spread
 
 # The default phrases and some that occur in the test texts, accents included.
 PHRASES = (*fx.SLANG_PHRASES, "of the", "the", "und der", "der", "de la", "la", "ción", "é")
@@ -33,8 +34,12 @@ def _clean_sql(column: str) -> dict[str, str]:
     return {"emoji": emoji, "noise": noise, "slang": slang, "clean": cleaned}
 
 
+def _texts(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def clean_text(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _texts(spark, folder)
     return docs.select("doc_id", fx.clean_text(fx.as_text(F.col("text")), PHRASES).alias("cleaned"))
 
 
@@ -45,7 +50,7 @@ def clean_text_steps(spark, folder):
     noise = fx.remove_noise(emoji)
     slang = fx.remove_slang(noise, PHRASES)
     steps = {"emoji": emoji, "noise": noise, "slang": slang}
-    return table(spark, folder, "documents").select(
+    return _texts(spark, folder).select(
         "doc_id",
         *[F.md5(c).alias(f"{name}_md5") for name, c in steps.items()],
         *[F.char_length(c).cast("long").alias(f"{name}_chars") for name, c in steps.items()],
@@ -54,7 +59,7 @@ def clean_text_steps(spark, folder):
 
 def word_tokens(spark, folder):
     tokens = fx.without_stop_words(fx.word_tokens(fx.as_text(F.col("text"))), STOP_WORDS)
-    docs = table(spark, folder, "documents").select("doc_id", tokens.alias("tokens"))
+    docs = _texts(spark, folder).select("doc_id", tokens.alias("tokens"))
     return docs.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
