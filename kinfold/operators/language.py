@@ -13,6 +13,7 @@ from kinfold.functions.text import as_text
 from kinfold.session import spread
 
 BROADCAST_GRAMS = 1_000_000
+_MAX_LANGUAGES = 200
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,9 @@ def train_language_model(
     """
     if languages is None:
         found = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct()
-        languages = sorted(r[0] for r in found.collect())
+        languages = sorted(r[0] for r in found.limit(_MAX_LANGUAGES + 1).collect())
+        if len(languages) > _MAX_LANGUAGES:
+            raise ValueError(f"more than {_MAX_LANGUAGES} languages; name the ones to tell apart")
     languages = tuple(languages)
     known = labelled.where(F.col(lang_col).isin(list(languages)))
     texts = spread(known.select(lang_col, as_text(F.col(text_col)).alias("_text")))

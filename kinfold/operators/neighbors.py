@@ -29,6 +29,7 @@ _MIN_BLOCK_ROWS = 1024
 _MAX_BITS = 16
 _QUERY_TILE = 512
 _CORPUS_TILE = 4096
+_RESCORE_BYTES = 2 << 20
 
 
 def knn_self_join(
@@ -225,7 +226,10 @@ def _pair_search(names: list[str], k: int | None, threshold: float | None) -> Ca
         rank = np.empty(table.num_rows, dtype=np.int64)
         rank[pc.sort_indices(ids).to_numpy()] = np.arange(table.num_rows)
         block = table["_block"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        # A vector with NaN or infinite parts is near nothing.
+        usable = np.isfinite(vecs).all(axis=1)
+        left = np.flatnonzero((block == low) & usable)
+        right = np.flatnonzero((block == high) & usable)
         for queries, corpus in [(left, right)] if low == high else [(left, right), (right, left)]:
             if not len(queries) or not len(corpus):
                 continue
@@ -263,9 +267,10 @@ class _Copies:
     """
 
     def __init__(self, vectors: np.ndarray, rank: np.ndarray, keep: int | None) -> None:
-        raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1])))
-        _, first, inverse = np.unique(raw.ravel(), return_index=True, return_inverse=True)
-        self.vectors = vectors[first].astype(np.float64)
+        width = vectors.dtype.itemsize * vectors.shape[1]
+        raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, width))).ravel()
+        _, first, inverse = np.unique(raw, return_index=True, return_inverse=True)
+        self.vectors = vectors[first]
         order = np.lexsort((rank, inverse))
         if keep is not None:
             order = order[_positions(inverse[order]) <= keep]
@@ -315,26 +320,51 @@ def best_pairs(
         yield np.repeat(original, lengths), member[pick], sim[pick]
 
 
+def _single_below(floor):
+    """The bounds as a single-precision column, rounded down."""
+    return np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None]
+
+
 def _candidates(tile, corpus, k, threshold):
-    """Every distinct pair of the tile that can still be in the answer, scores rounded."""
-    floor = np.full(len(tile), -np.inf if threshold is None else threshold - _SLACK)
-    rows, cols, sims = [], [], []
+    """Every distinct pair of the tile that can still be in the answer, scores rounded.
+
+    Products are first taken in single precision. Their error is at most
+    dim * 2^-24 times both norms, so pairs below the k-th best or the threshold by
+    more than that margin cannot be in the answer; the few others are scored again
+    in double precision.
+    """
+    reach = np.sqrt(np.einsum("ij,ij->i", tile, tile, dtype=np.float64).max(initial=0))
+    reach *= np.sqrt(np.einsum("ij,ij->i", corpus, corpus, dtype=np.float64).max(initial=0))
+    margin = tile.shape[1] * 2.0**-23 * reach + _SLACK
+    floor = np.full(len(tile), -np.inf if threshold is None else threshold - margin, np.float64)
+    rows, cols, rough = [], [], []
     for start in range(0, len(corpus), _CORPUS_TILE):
         scores = tile @ corpus[start : start + _CORPUS_TILE].T
-        np.nan_to_num(scores, copy=False, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-        hit = scores >= floor[:, None]
+        hit = scores >= _single_below(floor)
         width = scores.shape[1]
-        if k is not None and k < width and hit.sum(axis=1).max(initial=0) > k:
+        if k is not None and k < width and np.count_nonzero(hit, axis=1).max(initial=0) > k:
             kth = np.partition(scores, width - k, axis=1)[:, width - k]
-            floor = np.maximum(floor, kth - _SLACK)
-            hit = scores >= floor[:, None]
-        row, col = np.nonzero(hit)
-        rows.append(row)
-        cols.append(col + start)
-        sims.append(np.round(scores[row, col], SIM_DECIMALS))
-    row, col, sim = np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
-    keep = np.isfinite(sim) if threshold is None else sim >= threshold
-    return row[keep], col[keep], sim[keep]
+            floor = np.maximum(floor, kth - 2 * margin)
+            hit = scores >= _single_below(floor)
+        at = np.flatnonzero(hit)
+        rows.append(at // width)
+        cols.append(at % width + start)
+        rough.append(scores.ravel()[at])
+    row, col, rough = np.concatenate(rows), np.concatenate(cols), np.concatenate(rough)
+    keep = rough >= floor[row]
+    row, col = row[keep], col[keep]
+    sim = np.empty(len(row))
+    some = max(1, _RESCORE_BYTES // (8 * tile.shape[1]))
+    for start in range(0, len(row), some):
+        part = slice(start, start + some)
+        sim[part] = np.einsum(
+            "ij,ij->i", tile[row[part]].astype(np.float64), corpus[col[part]].astype(np.float64)
+        )
+    sim = np.round(sim, SIM_DECIMALS) + 0.0  # no negative zero
+    if threshold is not None:
+        keep = sim >= threshold
+        row, col, sim = row[keep], col[keep], sim[keep]
+    return row, col, sim
 
 
 def _cut_distinct(row, col, sim, sizes, k):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from kinfold.functions.vectors import lists_of, matrix, softmax, unit_rows
+from kinfold.functions.vectors import l2_normalize, lists_of, matrix, softmax
 
 BROADCAST_BYTES = 64 << 20
 _BLOCK_BYTES = 16 << 20
@@ -22,53 +20,18 @@ def class_prototypes(
 ) -> DataFrame:
     """Unit-length mean vector per label: ``class_id, embedding``.
 
-    Each batch is summed per label before anything moves, so a label of any size
-    shuffles one row per batch.
+    Components are summed map-side, so a label of any size moves one row per task
+    and component; the list put back together has one entry per dimension.
     """
-    kind = dict(df.dtypes)[label_col]
-    partial = f"class_id {kind}, part int, total array<double>"
-
-    def sums(labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names, at = np.unique(labels, return_inverse=True)
-        totals = np.zeros((len(names), rows.shape[1]))
-        np.add.at(totals, at, rows)
-        return names, totals
-
-    def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
-            if batch.num_rows:
-                labels = batch.column(0).to_numpy(zero_copy_only=False)
-                names, totals = sums(labels, matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names),
-                        pa.array(np.full(len(names), i % 64, dtype=np.int32)),
-                        lists_of(totals, np.ones(len(names), dtype=bool), pa.float64()),
-                    ],
-                    names=["class_id", "part", "total"],
-                )
-
-    def add_up(last: bool) -> Callable:
-        def add(key: tuple, table: pa.Table) -> pa.Table:
-            total = matrix(table["total"].combine_chunks()).sum(axis=0, keepdims=True)
-            if last:
-                vector = pa.array(unit_rows(total).astype(np.float32).tolist(), pa.list_(pa.float32()))
-                return pa.table({"class_id": table["class_id"].slice(0, 1), "embedding": vector})
-            return pa.table(
-                {
-                    "class_id": table["class_id"].slice(0, 1),
-                    "part": table["part"].slice(0, 1),
-                    "total": pa.array(total.tolist(), pa.list_(pa.float64())),
-                }
-            )
-
-        return add
-
-    known = df.where(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull())
-    partials = known.select(label_col, vec_col).mapInArrow(batch_sums, partial)
-    halfway = partials.groupBy("class_id", "part").applyInArrow(add_up(False), partial)
-    return halfway.groupBy("class_id").applyInArrow(
-        add_up(True), f"class_id {kind}, embedding array<float>"
+    components = df.where(F.col(label_col).isNotNull()).select(
+        F.col(label_col).alias("class_id"), F.posexplode(vec_col).alias("pos", "x")
+    )
+    sums = components.groupBy("class_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "x"))).getField("x")
+    return (
+        sums.groupBy("class_id")
+        .agg(ordered.alias("embedding"))
+        .withColumn("embedding", l2_normalize(F.col("embedding")))
     )
 
 

@@ -14,6 +14,9 @@ from kinfold.operators.ranking import hash_order, rank_by_hash
 from kinfold.session import materialize
 
 
+_MAX_STRATA = 1_000
+
+
 def assign_stratum(
     groups: DataFrame,
     vision_std_col: str = "multiples_score_std",
@@ -79,8 +82,10 @@ def stratified_group_split(
     groups = materialize(groups)
     counts = {
         r[stratify_col]: r["count"]
-        for r in groups.groupBy(stratify_col).count().collect()
+        for r in groups.groupBy(stratify_col).count().limit(_MAX_STRATA + 1).collect()
     }
+    if len(counts) > _MAX_STRATA:
+        raise ValueError(f"more than {_MAX_STRATA} strata in {stratify_col}")
     quotas = split_quotas(counts, split_ratios[0])
     keyed = groups.withColumn("_order", hash_order(random_seed, group_col))
     ranked = rank_by_hash(keyed, "_order", within=[stratify_col], name="_rank")

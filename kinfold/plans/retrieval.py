@@ -12,6 +12,7 @@ from kinfold.operators import metrics as mx
 from kinfold.operators.embeddings import attach_embeddings, combine_modalities, select_split
 from kinfold.operators.neighbors import knn_self_join
 from kinfold.operators.projection import ProjectionHead, apply_head
+from kinfold.session import materialize
 
 
 def split_vectors(
@@ -101,8 +102,12 @@ class Evaluation(NamedTuple):
 
 
 def evaluate(results: DataFrame, recall_ks: Sequence[int] = mx.RECALL_KS, **columns) -> Evaluation:
-    """Score retrieval lists: per row, overall means, means by stratum."""
-    rows = mx.compute_per_row_metrics(results, recall_ks, **columns)
+    """Score retrieval lists: per row, overall means, means by stratum.
+
+    The scored rows are written once for both summaries. ``results`` is read
+    several times too, so it should be a table and not a search still to be run.
+    """
+    rows = materialize(mx.compute_per_row_metrics(results, recall_ks, **columns))
     columns.pop("retrieved_col", None)
     return Evaluation(
         rows, mx.summarize_metrics(rows, **columns), mx.summarize_by_stratum(rows, **columns)
@@ -124,10 +129,14 @@ def grid_search(
     id_col: str = "posting_id",
     group_col: str = "label_group",
 ) -> GridSearch:
-    """Metrics of every threshold from one search at the lowest."""
+    """Metrics of every threshold from one search at the lowest.
+
+    The summary, a row per threshold, is computed here and the best row read from
+    it; ``rows`` of the result stays lazy and would search again.
+    """
     found = neighbors_of(rows, k=k, threshold=min(thresholds), id_col=id_col, group_col=group_col)
     grid = mx.metrics_by_threshold(
         rows, found, thresholds, recall_ks, id_col=id_col, group_col=group_col
     )
-    summary = mx.summarize_grid(grid, id_col=id_col, group_col=group_col)
+    summary = materialize(mx.summarize_grid(grid, id_col=id_col, group_col=group_col))
     return GridSearch(grid, summary, mx.best_threshold(summary))

@@ -63,14 +63,12 @@ def run_variants(
             grid = grid_search(
                 rows_of("val"), thresholds=thresholds, recall_ks=recall_ks, k=k, **shared
             )
-            # Nine rows, read for the table and for the choice.
-            summary = materialize(grid.summary)
-            best = mx.best_threshold(summary).first()["threshold"]
+            best = grid.best.first()["threshold"]
             test = rows_of("test")
             found = neighbors_of(test, k=k, threshold=best, **shared)
             at_best = mx.metrics_by_threshold(test, found, [best], recall_ks, **shared)
             final = mx.summarize_grid(at_best, **shared)
-            for split, table in (("val", summary), ("test", final)):
+            for split, table in (("val", grid.summary), ("test", final)):
                 tables.append(
                     table.select(
                         F.lit(name).alias("variant"),

@@ -114,11 +114,16 @@ ASSIGNED = """assigned AS (
 PRODUCT_ASSIGNMENTS = ",\n".join([PRODUCTS, profile_sql("products"), STRATA, SPLITS, ASSIGNED])
 
 
+def unsigned_zero(value: str) -> str:
+    """A rounded value without the sign DuckDB leaves on zero."""
+    return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END"
+
+
 def neighbors_sql(source: str, k: int) -> str:
     """Best k of ``source`` for each of its rows as CTE ``neighbors``."""
     return f"""pairs AS (
   SELECT a.posting_id AS q, b.posting_id AS n, a.label_group AS qg, b.label_group AS ng,
-         round(list_dot_product(a.embedding, b.embedding), 9) AS sim
+         {unsigned_zero("round(list_dot_product(a.embedding, b.embedding), 9)")} AS sim
   FROM {source} a CROSS JOIN {source} b),
 neighbors AS (
   SELECT * FROM (

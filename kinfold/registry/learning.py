@@ -15,6 +15,7 @@ from kinfold.registry.fragments import (
     assigned_products,
     listings,
     table,
+    unsigned_zero,
 )
 from kinfold.sources.tables import run_log as log_rows
 
@@ -243,7 +244,10 @@ WHERE pos <= 4""",
 normed AS (
   SELECT vec_id, j, (z - j / 20.0::DOUBLE) / sqrt(1 + j / 4.0::DOUBLE + 1e-5) * (1 + j / 8.0::DOUBLE)
                     + j / 100.0::DOUBLE AS y FROM cells)
-SELECT vec_id AS posting_id, CAST(j AS INTEGER) AS pos, round(CAST(CAST(
-  y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS FLOAT) AS DOUBLE), 5) AS value
-FROM normed""",
+SELECT posting_id, pos, """
+    + unsigned_zero("value")
+    + """ AS value FROM (
+  SELECT vec_id AS posting_id, CAST(j AS INTEGER) AS pos, round(CAST(CAST(
+    y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS FLOAT) AS DOUBLE), 5) AS value
+  FROM normed)""",
 }

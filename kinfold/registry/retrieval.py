@@ -17,7 +17,9 @@ from kinfold.registry.fragments import (
     one_threshold,
     products,
     table,
+    unsigned_zero,
 )
+from kinfold.session import materialize
 
 _K = 51
 _AT = 0.2
@@ -102,7 +104,7 @@ def evaluate_lists(spark, folder):
     """Metrics the long way: JSON lists decoded and every id looked up."""
     rows, found = _with_neighbors(spark, folder)
     lists = job.retrieval_lists(rows, found, columns=("posting_id", "label_group", "stratum"))
-    return _rounded(job.evaluate(lists).rows)
+    return _rounded(job.evaluate(materialize(lists)).rows)
 
 
 def threshold_grid(spark, folder):
@@ -177,8 +179,9 @@ SQL = {
     "knn_above_threshold": f"""WITH {_VECTORS},\n{neighbors_sql('vectors', 10)}
 SELECT {_LONG} FROM neighbors WHERE sim >= {_AT}""",
     "split_vectors": f"""WITH {PRODUCT_ASSIGNMENTS}
-SELECT posting_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, round(unnest(embedding), 6) AS value
-FROM assigned WHERE split = 'test'""",
+SELECT posting_id, pos, {unsigned_zero("value")} AS value FROM (
+  SELECT posting_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, round(unnest(embedding), 6) AS value
+  FROM assigned WHERE split = 'test')""",
     "retrieval_lists": f"""WITH {PRODUCT_ASSIGNMENTS}, {_TEST},\n{neighbors_sql('test', _K)},
 lists AS (
   SELECT q, CAST(to_json(list(CAST(n AS VARCHAR) ORDER BY rank)) AS VARCHAR) AS ids

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import vectors as vx
 from kinfold.operators import embeddings as emb
 from kinfold.operators import prototypes as proto
-from kinfold.registry.fragments import table
+from kinfold.registry.fragments import table, unsigned_zero
 
 _SCALE = 30.0
 
@@ -100,8 +100,9 @@ def _unit(v: str) -> str:
 
 
 def _components_sql(cte: str, key: str = "posting_id") -> str:
-    return f"""SELECT {key}, CAST(unnest(range(len(v))) AS INTEGER) AS pos,
-round(CAST(unnest(v) AS DOUBLE), 5) AS value FROM ({cte})"""
+    return f"""SELECT {key}, pos, {unsigned_zero("value")} AS value FROM (
+  SELECT {key}, CAST(unnest(range(len(v))) AS INTEGER) AS pos, round(CAST(unnest(v) AS DOUBLE), 5) AS value
+  FROM ({cte}))"""
 
 
 _PROTOTYPES = """parts AS (
@@ -133,8 +134,8 @@ SQL = {
         f"SELECT vec_id AS posting_id, {_unit('s')} AS v FROM (SELECT vec_id, list_transform(range(1, len(embedding) + 1), "
         f"lambda i: CAST(CAST({_V}[i] + list_reverse({_V})[i] AS FLOAT) AS DOUBLE)) AS s FROM embeddings)"
     ),
-    "self_reverse_dot": f"""SELECT vec_id AS posting_id, round(list_dot_product({_V}, list_reverse({_V})), 6) AS sim
-FROM embeddings""",
+    "self_reverse_dot": f"""SELECT posting_id, {unsigned_zero("sim")} AS sim FROM (
+  SELECT vec_id AS posting_id, round(list_dot_product({_V}, list_reverse({_V})), 6) AS sim FROM embeddings)""",
     "class_prototypes": f"WITH {_PROTOTYPES} {_components_sql('SELECT class_id, v FROM prototypes', 'class_id')}",
     "prototype_scores": f"WITH {_PROTOTYPES} SELECT posting_id, class_id, prob FROM probs",
     "multiples_score": f"""WITH {_PROTOTYPES} SELECT posting_id, prob AS multiples_score
