@@ -41,6 +41,7 @@ _BETA1, _BETA2, _ADAM_EPS = 0.9, 0.999, 1e-8
 _CLASS_BLOCK = 2048
 _COS_LIMIT = 1 - 1e-7
 _FAN_IN = 32
+_TASK_BYTES = 16 << 20
 _PARAMETERS = ("weight", "bias", "bn_gamma", "bn_beta")
 
 
@@ -338,6 +339,8 @@ def fit_head(
             raise ValueError("no training rows")
         head = ProjectionHead.initial(first[0], projection_dim, seed)
         optimiser = _AdamW(head, weight_decay)
+        # An epoch's sample has m rows per class; a step of few bytes is one task.
+        parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
         loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
         best, best_f1, misses, done = None, 0.0, 0, 0
         history: list[tuple[int, str, float]] = []
@@ -357,7 +360,7 @@ def fit_head(
                 .withColumn("row_key", F.col("row_key") + F.col("slot"))
                 .select("embedding", "class_id", "row_key", "step")
                 # Sorted by step, so a step's scan skips the other cached batches.
-                .repartitionByRange("step")
+                .repartitionByRange(parts, "step")
                 .sortWithinPartitions("step", "row_key")
                 .persist()
             )
