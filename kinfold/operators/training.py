@@ -324,90 +324,86 @@ def fit_head(
     """
     columns = [F.col(id_col), F.col(label_col), F.col(vec_col).alias("embedding")]
     train, val = materialize(train.select(*columns)), materialize(val.select(*columns))
-    ids = class_ids(train, val, label_col=label_col).persist()
+    ids = materialize(class_ids(train, val, label_col=label_col))
     n_classes = ids.count()
     key = F.xxhash64(F.lit(seed), id_col)
-    train = train.join(ids, label_col).withColumn("row_key", key).persist()
+    train = materialize(train.join(ids, label_col).withColumn("row_key", key))
     ranked = rank_by_hash(
         val.join(ids, label_col).withColumn("_order", hash_order(seed, id_col)), "_order", name="_rank"
     )
     batch = F.floor((F.col("_rank") - 1) / batch_size).cast("long")
-    val = ranked.withColumn("batch", batch).drop("_rank", "_order").persist()
-    try:
-        first = train.select(F.size("embedding")).first()
-        if first is None:
-            raise ValueError("no training rows")
-        head = ProjectionHead.initial(first[0], projection_dim, seed)
-        optimiser = _AdamW(head, weight_decay)
-        # An epoch's sample has m rows per class; a step of few bytes is one task.
-        parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
-        loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
-        best, best_f1, misses, done = None, 0.0, 0, 0
-        history: list[tuple[int, str, float]] = []
-        for epoch in range(1, num_epochs + 1):
-            rate = learning_rate / 2 * (1 + np.cos(np.pi * (epoch - 1) / num_epochs))
-            sample = (
-                m_per_class_sample(
-                    train,
-                    m=samples_per_class,
-                    batch_size=batch_size,
-                    seed=seed,
-                    epoch=epoch,
-                    id_col=id_col,
-                    label_col=label_col,
-                )
-                # One slot, one row key: repeats of a row get their own dropout.
-                .withColumn("row_key", F.col("row_key") + F.col("slot"))
-                .select("embedding", "class_id", "row_key", "step")
-                # Sorted by step, so a step's scan skips the other cached batches.
-                .repartitionByRange(parts, "step")
-                .sortWithinPartitions("step", "row_key")
-                .persist()
+    val = materialize(ranked.withColumn("batch", batch).drop("_rank", "_order"))
+    first = train.select(F.size("embedding")).first()
+    if first is None:
+        raise ValueError("no training rows")
+    head = ProjectionHead.initial(first[0], projection_dim, seed)
+    optimiser = _AdamW(head, weight_decay)
+    # An epoch's sample has m rows per class; a step of few bytes is one task.
+    parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
+    loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
+    best, best_f1, misses, done = None, 0.0, 0, 0
+    history: list[tuple[int, str, float]] = []
+    for epoch in range(1, num_epochs + 1):
+        rate = learning_rate / 2 * (1 + np.cos(np.pi * (epoch - 1) / num_epochs))
+        sample = (
+            m_per_class_sample(
+                train,
+                m=samples_per_class,
+                batch_size=batch_size,
+                seed=seed,
+                epoch=epoch,
+                id_col=id_col,
+                label_col=label_col,
             )
-            try:
-                steps = sample.agg(F.max("step")).first()[0] + 1
-                losses = []
-                for step in range(steps):
-                    part = sample.where(F.col("step") == step).drop("step")
-                    loss, gradients = train_step(
-                        head, part, n_classes, step=done, **loss_options
-                    )
-                    optimiser.update(head, gradients, rate)
-                    losses.append(loss)
-                    done += 1
-            finally:
-                sample.unpersist()
-            scores = validation_metrics(head, val, id_col=id_col, group_col=label_col)
-            epoch_log = {
-                "train_loss": float(np.mean(losses)),
-                "val_loss": _validation_loss(head, val, n_classes, margin_degrees, scale, seed),
-                **scores,
-                "learning_rate": float(rate),
-            }
-            history += [(epoch, name, value) for name, value in epoch_log.items()]
-            if scores["avg_f1"] > best_f1:
-                best, best_f1, misses = (copy.deepcopy(head), scores), scores["avg_f1"], 0
-            else:
-                misses += 1
-                if misses >= early_stopping_patience:
-                    break
-        if best is None:
-            raise ValueError("validation F1 never rose above zero; no head to keep")
-        parameters = {
-            "input_dim": first[0],
-            "projection_dim": projection_dim,
-            "samples_per_class": samples_per_class,
-            "num_classes": n_classes,
-            "learning_rate": learning_rate,
-            "weight_decay": weight_decay,
-            "batch_size": batch_size,
-            "num_epochs": num_epochs,
-            "margin": margin_degrees,
-            "scale": scale,
-            "early_stopping_patience": early_stopping_patience,
-            "fusion_type": fusion_type or "none",
+            # One slot, one row key: repeats of a row get their own dropout.
+            .withColumn("row_key", F.col("row_key").bitwiseXOR(F.col("slot").cast("long")))
+            .select("embedding", "class_id", "row_key", "step")
+            # Sorted by step, so a step's scan skips the other cached batches.
+            .repartitionByRange(parts, "step")
+            .sortWithinPartitions("step", "row_key")
+            .persist()
+        )
+        try:
+            steps = sample.agg(F.max("step")).first()[0] + 1
+            losses = []
+            for step in range(steps):
+                part = sample.where(F.col("step") == step).drop("step")
+                loss, gradients = train_step(
+                    head, part, n_classes, step=done, **loss_options
+                )
+                optimiser.update(head, gradients, rate)
+                losses.append(loss)
+                done += 1
+        finally:
+            sample.unpersist()
+        scores = validation_metrics(head, val, id_col=id_col, group_col=label_col)
+        epoch_log = {
+            "train_loss": float(np.mean(losses)),
+            "val_loss": _validation_loss(head, val, n_classes, margin_degrees, scale, seed),
+            **scores,
+            "learning_rate": float(rate),
         }
-        return Fit(best[0], best[1], parameters, history)
-    finally:
-        for held in (ids, train, val):
-            held.unpersist()
+        history += [(epoch, name, value) for name, value in epoch_log.items()]
+        if scores["avg_f1"] > best_f1:
+            best, best_f1, misses = (copy.deepcopy(head), scores), scores["avg_f1"], 0
+        else:
+            misses += 1
+            if misses >= early_stopping_patience:
+                break
+    if best is None:
+        raise ValueError("validation F1 never rose above zero; no head to keep")
+    parameters = {
+        "input_dim": first[0],
+        "projection_dim": projection_dim,
+        "samples_per_class": samples_per_class,
+        "num_classes": n_classes,
+        "learning_rate": learning_rate,
+        "weight_decay": weight_decay,
+        "batch_size": batch_size,
+        "num_epochs": num_epochs,
+        "margin": margin_degrees,
+        "scale": scale,
+        "early_stopping_patience": early_stopping_patience,
+        "fusion_type": fusion_type or "none",
+    }
+    return Fit(best[0], best[1], parameters, history)
