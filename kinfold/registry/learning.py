@@ -12,11 +12,14 @@ from kinfold.operators.prototypes import class_prototypes
 from kinfold.plans import profiling, variants
 from kinfold.registry.fragments import (
     LISTINGS,
+    PRODUCTS,
     assigned_products,
     listings,
+    profile_sql,
     table,
     unsigned_zero,
 )
+from kinfold.registry.vectors import PROTOTYPES
 from kinfold.sources.tables import run_log as log_rows
 
 _MAX_N = 3
@@ -141,7 +144,7 @@ def variant_matrix(spark, folder):
 
 
 def profile_job(spark, folder):
-    """Two scores for every product: picture class and share of the first language."""
+    """Group profile of two scores: class from the vector, share of English from the title."""
     rows = assigned_products(spark, folder).drop("multiples_score", "indonesian_score")
     docs = table(spark, folder, "documents")
     prototypes = class_prototypes(table(spark, folder, "embeddings"))
@@ -149,7 +152,8 @@ def profile_job(spark, folder):
     augmented = profiling.augment(
         rows.drop("embedding"), rows.select("posting_id", "embedding"), prototypes, model, target_language="en"
     )
-    return profiling.profile(augmented).groups
+    groups = profiling.profile(augmented).groups
+    return groups.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in groups.dtypes])
 
 
 QUERIES = {
@@ -181,16 +185,16 @@ langs AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS
 space AS (
   SELECT n, l.lang, l.id, coalesce(sum(c) FILTER (s.lang = l.lang), 0) + count(DISTINCT gram) + 1 AS total
   FROM seen s CROSS JOIN langs l GROUP BY n, l.lang, l.id),
-profile AS (
+gram_profile AS (
   SELECT g.gram, t.id AS lang, ln((coalesce(s.c, 0) + 1) / CAST(t.total AS DOUBLE)) AS logp
   FROM (SELECT DISTINCT gram, n FROM seen) g JOIN space t USING (n)
   LEFT JOIN seen s ON s.gram = g.gram AND s.lang = t.lang)"""
 
 SQL = {
-    "language_profile": f"WITH {_PROFILE} SELECT gram, lang, round(logp, 6) AS logp FROM profile",
+    "language_profile": f"WITH {_PROFILE} SELECT gram, lang, round(logp, 6) AS logp FROM gram_profile",
     "language_scores": f"""WITH {_PROFILE},
 sums AS (
-  SELECT doc_id, p.lang, sum(c * logp) AS s FROM grams g JOIN profile p USING (gram)
+  SELECT doc_id, p.lang, sum(c * logp) AS s FROM grams g JOIN gram_profile p USING (gram)
   GROUP BY doc_id, p.lang),
 whole AS (
   SELECT d.doc_id, l.id AS lang, coalesce(s, 0) AS s FROM documents d CROSS JOIN langs l
@@ -223,6 +227,34 @@ features AS (
   UNION ALL SELECT vec_id, pos + 16 * c, v FROM means CROSS JOIN (SELECT unnest(range(3)) AS c))
 SELECT vec_id AS posting_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(
   v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM features""",
+    "profile_job": f"""WITH {PRODUCTS}, {PROTOTYPES}, {_PROFILE},
+visual AS (
+  SELECT posting_id, class_id, p / sum(p) OVER (PARTITION BY posting_id) AS score FROM powers),
+title_words AS (
+  SELECT posting_id, unnest(regexp_extract_all(lower(coalesce(title, 'nan')), '\\p{{L}}+')) AS w FROM products),
+title_grams AS (
+  SELECT posting_id, n, substr(w, i, n) AS gram FROM (
+    SELECT posting_id, w, n, unnest(range(1, length(w) - n + 2)) AS i
+    FROM title_words CROSS JOIN (SELECT unnest(range(1, {_MAX_N} + 1)) AS n) WHERE length(w) >= n)),
+title_sums AS (
+  SELECT posting_id, s.id AS lang, sum(coalesce(logp, -ln(CAST(s.total AS DOUBLE)))) AS s
+  FROM title_grams g JOIN space s USING (n)
+  LEFT JOIN gram_profile p ON p.gram = g.gram AND p.lang = s.id GROUP BY posting_id, s.id),
+title_powers AS (
+  SELECT p.posting_id, l.lang, coalesce(s, 0) AS s FROM products p CROSS JOIN langs l
+  LEFT JOIN title_sums t ON t.posting_id = p.posting_id AND t.lang = l.id),
+title_shares AS (
+  SELECT posting_id, lang, e / sum(e) OVER (PARTITION BY posting_id) AS score FROM (
+    SELECT posting_id, lang, exp(s - max(s) OVER (PARTITION BY posting_id)) AS e FROM title_powers)),
+augmented AS (
+  SELECT p.posting_id, p.label_group, v.score AS multiples_score, t.score AS indonesian_score FROM products p
+  JOIN visual v ON v.posting_id = p.posting_id AND v.class_id = 1
+  JOIN title_shares t ON t.posting_id = p.posting_id AND t.lang = 'en'),
+{profile_sql("augmented")}
+SELECT label_group, product_count,
+       round(multiples_score_mean, 6) AS multiples_score_mean, round(multiples_score_std, 6) AS multiples_score_std,
+       round(indonesian_score_mean, 6) AS indonesian_score_mean, round(indonesian_score_std, 6) AS indonesian_score_std
+FROM profile""",
     "class_ids": f"""WITH {LISTINGS} SELECT label_group, row_number() OVER (ORDER BY label_group) - 1 AS class_id
 FROM (SELECT DISTINCT label_group FROM listings)""",
     "m_per_class_sample": f"""WITH {LISTINGS},

@@ -167,7 +167,7 @@ def _each() -> str:
     return ", ".join(f'round("{n}", 9) AS "{n}"' for n in _NAMES)
 
 
-_LONG = "q AS query_id, rank, n AS neighbor_id, sim"
+_LONG = "q AS query_id, CAST(rank AS INTEGER) AS rank, n AS neighbor_id, sim"
 _ROWS = f"SELECT posting_id, label_group, stratum, {_each()} FROM metrics"
 _SUMMARY = f"SELECT threshold, {_means('avg_')} FROM metrics GROUP BY threshold"
 _TEST = "test AS (SELECT * FROM assigned WHERE split = 'test')"
@@ -188,7 +188,7 @@ lists AS (
   FROM neighbors WHERE sim >= {_AT} GROUP BY q)
 SELECT posting_id, image, title, label_group, stratum, coalesce(ids, '[]') AS retrieved_products
 FROM test LEFT JOIN lists ON q = posting_id""",
-    "running_matches": f"""{_FOUND} SELECT q AS query_id, rank,
+    "running_matches": f"""{_FOUND} SELECT q AS query_id, CAST(rank AS INTEGER) AS rank,
 CAST(sum(CASE WHEN ng = qg THEN 1 ELSE 0 END) OVER (PARTITION BY q ORDER BY rank) AS BIGINT) AS matches
 FROM neighbors WHERE sim >= {_AT}""",
     "retrieval_metrics": f"{_SCORED} {_ROWS}",

@@ -123,7 +123,7 @@ SQL = {
     + " FROM documents",
     "word_tokens": f"""SELECT doc_id, len({_KEPT}) AS n_tokens, array_to_string({_KEPT}, ' ') AS tokens
 FROM documents""",
-    "common_ngrams": f"WITH {_GRAMS} SELECT ngram, doc_freq, term_freq, rank FROM ranked",
+    "common_ngrams": f"WITH {_GRAMS} SELECT ngram, doc_freq, term_freq, CAST(rank AS INTEGER) AS rank FROM ranked",
     "ngram_report": f"""WITH {_GRAMS}
 SELECT CAST(to_json(list(ngram ORDER BY rank)) AS VARCHAR) AS ngrams, {_MIN_FREQUENCY} AS min_frequency,
        (SELECT count(*) FROM documents) AS total_titles FROM ranked""",

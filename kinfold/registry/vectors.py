@@ -105,7 +105,7 @@ def _components_sql(cte: str, key: str = "posting_id") -> str:
   FROM ({cte}))"""
 
 
-_PROTOTYPES = """parts AS (
+PROTOTYPES = """parts AS (
   SELECT label AS class_id, pos, sum(x) AS total FROM (
     SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
   GROUP BY label, pos),
@@ -136,8 +136,8 @@ SQL = {
     ),
     "self_reverse_dot": f"""SELECT posting_id, {unsigned_zero("sim")} AS sim FROM (
   SELECT vec_id AS posting_id, round(list_dot_product({_V}, list_reverse({_V})), 6) AS sim FROM embeddings)""",
-    "class_prototypes": f"WITH {_PROTOTYPES} {_components_sql('SELECT class_id, v FROM prototypes', 'class_id')}",
-    "prototype_scores": f"WITH {_PROTOTYPES} SELECT posting_id, class_id, prob FROM probs",
-    "multiples_score": f"""WITH {_PROTOTYPES} SELECT posting_id, prob AS multiples_score
+    "class_prototypes": f"WITH {PROTOTYPES} {_components_sql('SELECT class_id, v FROM prototypes', 'class_id')}",
+    "prototype_scores": f"WITH {PROTOTYPES} SELECT posting_id, class_id, prob FROM probs",
+    "multiples_score": f"""WITH {PROTOTYPES} SELECT posting_id, prob AS multiples_score
 FROM probs WHERE class_id = 1""",
 }
