@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import as_text
-from kinfold.session import spread
+from kinfold.session import materialize, spread
 
 BROADCAST_GRAMS = 1_000_000
 _MAX_LANGUAGES = 200
@@ -56,7 +56,7 @@ def train_language_model(
     """Count letter n-grams per language and smooth by adding one.
 
     One shuffle on the n-gram with map-side sums; the driver sees ``max_n`` rows
-    of totals. The profile is persisted, since it is read for totals and scores.
+    of totals. The counts are written once, for the totals and every scoring.
     """
     if languages is None:
         found = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct()
@@ -68,7 +68,7 @@ def train_language_model(
     texts = spread(known.select(lang_col, as_text(F.col(text_col)).alias("_text")))
     grams = texts.select(lang_col, F.explode(letter_ngrams(F.col("_text"), max_n)).alias("gram"))
     seen = [F.count(F.when(F.col(lang_col) == lang, 1)) for lang in languages]
-    counts = grams.groupBy("gram").agg(F.array(*seen).alias("seen")).persist()
+    counts = materialize(grams.groupBy("gram").agg(F.array(*seen).alias("seen")))
     length = F.char_length("gram")
     per_length = counts.groupBy(length.alias("n")).agg(
         F.count("*").alias("grams"),
