@@ -10,12 +10,10 @@ from kinfold.operators.embeddings import attach_embeddings, select_split
 from kinfold.plans import retrieval as job
 from kinfold.registry.fragments import (
     PRODUCT_ASSIGNMENTS,
-    PRODUCTS,
     assigned_products,
     metrics_sql,
     neighbors_sql,
     one_threshold,
-    products,
     table,
     unsigned_zero,
 )

@@ -28,7 +28,7 @@ def scores_of(spark, model, texts, **options):
     return {r["posting_id"]: r for r in got.collect()}
 
 
-def test_reference_titles(spark, model):
+def test_two_known_titles(spark, model):
     got = scores_of(spark, model, ["Paper Bag Victoria Secret", "Tas Wanita Fashion Import Termurah"])
     assert model.languages == ("en", "id")
     assert got[0]["id"] < 0.5 < got[1]["id"]
