@@ -12,9 +12,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 20
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Session setting: Arrow batches are cut by bytes, so long texts cost no more memory than short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -64,14 +71,16 @@ def to_bytes(column: pa.Array) -> list[bytes]:
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    texts, first, held = to_bytes(column), 0, 0
-    for row, text in enumerate(texts):
-        if row > first and held + len(text) > limit:
-            yield Block(first, texts[first:row])
-            first, held = row, 0
-        held += len(text) + 1
-    if first < len(texts):
-        yield Block(first, texts[first:])
+    """Consecutive runs of whole texts, each within the limit or a single text."""
+    if not len(column):
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64) + 1
+    total = np.cumsum(sizes)
+    first = 0
+    while first < len(column):
+        after = max(first + 1, int(np.searchsorted(total, total[first] - sizes[first] + limit, "right")))
+        yield Block(first, to_bytes(column.slice(first, after - first)))
+        first = after
 
 
 def mix(x: np.ndarray) -> np.ndarray:

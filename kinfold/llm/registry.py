@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, quality, toxicity
+from kinfold.llm import jaccard, mixing, quality, toxicity
+from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +45,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_jaccard": op4_jaccard,
     "op5_mix": op5_mix,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,

@@ -135,22 +135,29 @@ def _descend(toxic, words, bags, steps: int, rate: float, decay: float, screen:
         return SentenceModel(weights, bias)
     order = sorted(range(len(toxic)), key=lambda i: (toxic[i], words[i].tobytes(), bags[i].tobytes()))
     toxic = toxic[order].astype(float)
-    features = np.concatenate([words[i] for i in order]).astype(np.int64)
-    lengths = np.concatenate([bags[i] for i in order]).astype(np.int64)
-    owner = np.repeat(np.arange(len(order)), [len(bags[i]) for i in order])
     # screen: features of three texts or more whose share of toxic texts is far from the usual
-    pairs = np.unique(features << 24 | np.repeat(owner, lengths))
-    text_count = np.bincount(pairs >> 24, minlength=1 << FEATURE_BITS)
-    toxic_count = np.bincount(pairs >> 24, weights=toxic[pairs & 0xFFFFFF], minlength=1 << FEATURE_BITS)
+    text_count, toxic_count = np.zeros(len(weights)), np.zeros(len(weights))
+    for y, i in zip(toxic, order):
+        own = np.unique(words[i])
+        text_count[own] += 1
+        toxic_count[own] += y
     usual = toxic.mean()
     apart = (toxic_count - text_count * usual) / np.sqrt(np.maximum(1, text_count) * usual * (1 - usual))
     telling = (text_count >= 3) & (np.abs(apart) >= screen)
-    sentence = np.repeat(np.arange(len(lengths)), lengths)[telling[features]]
-    used, column = np.unique(features[telling[features]], return_inverse=True)
+    lengths = [bags[i] for i in order]
+    owner = np.repeat(np.arange(len(order)), [len(x) for x in lengths])
+    kept, sentence, base = [], [], 0
+    for i, own in zip(order, lengths):
+        mine = telling[words[i]]
+        kept.append(words[i][mine])
+        sentence.append((base + np.repeat(np.arange(len(own)), own))[mine])
+        base += len(own)
+    used, column = np.unique(np.concatenate(kept), return_inverse=True)
+    sentence = np.concatenate(sentence)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     for step in range(1, steps + 1):
-        s = np.bincount(sentence, weights=w[column], minlength=len(lengths)) + w[-1]
+        s = np.bincount(sentence, weights=w[column], minlength=base) + w[-1]
         none = np.minimum(np.bincount(owner, weights=-np.logaddexp(0, s), minlength=len(toxic)), -1e-12)
         chance = -np.expm1(none)
         pull = np.where(toxic > 0, -np.exp(none) / chance, 1.0)
