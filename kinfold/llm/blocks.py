@@ -18,8 +18,10 @@ from pyspark.sql import SparkSession
 BLOCK_BYTES = 1 << 20
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Session setting: Arrow batches are cut by bytes, so long texts cost no more memory than short ones."""
+    """Session settings: Arrow batches cut by bytes, so long texts cost no more memory than
+    short ones, and shuffle files that go when the execution that wrote them ends."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 SPACE = np.zeros(256, bool)
