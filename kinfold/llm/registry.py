@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard, mixing, quality, suffixes, toxicity
+from kinfold.llm import jaccard, mixing, pieces, quality, rotated_codes, suffixes, toxicity
 from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
@@ -20,6 +20,15 @@ def op1_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.read_vocabulary()
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")
+    )
+
+
 def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
@@ -29,6 +38,11 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rotated_codes.nearest(vectors.where("id % 20 = 0"), vectors)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, folder, "labels"))
@@ -51,8 +65,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffixes": op1_suffixes,
+    "op3_pieces": op3_pieces,
     "op4_jaccard": op4_jaccard,
     "op5_mix": op5_mix,
+    "op7_rotated_codes": op7_rotated_codes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
