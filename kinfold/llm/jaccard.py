@@ -3,18 +3,21 @@
 The Jaccard distance is a metric, so documents within radius ``r`` of each other
 can be found region by region:
 
-1. Equal sets are one point. Documents at distance 1 from every other point are
-   set aside first: two sets within ``r`` must share one of their first
-   ``floor(r * n) + 1`` shingles in any common order. Rare shingles come first in
-   that order (a fixed-size sketch of corpus counts ranks them), so a point
-   shares one only with its likely neighbours. Points that share any are joined
-   into clusters; no link leaves a cluster.
-2. A cluster larger than a region may be gets pivots. Each point goes to the
-   Voronoi region of its nearest pivot and, by the triangle inequality, also into
-   every region whose pivot is at most ``2 r`` farther: the window. A pair within
-   ``r`` therefore meets in the home region of either point. Regions split again
-   while that makes them smaller.
-3. A region is joined exactly in bounded blocks of points; every two blocks of a
+1. Equal sets are one point. A point can only have a link if four fifths of its
+   shingles occur in other points too; the shingles are sorted in rounds, a share of
+   the hash range at a time, to find those that do. The rest are at a distance
+   beyond the radius from everything and are set aside.
+2. Two sets within ``r`` share one of their first ``floor(r * n) + 1`` shingles in any
+   common order (unshared ones first, then by hash). Points that share any of
+   theirs form clusters; no link leaves a cluster. Inside a cluster the size of the
+   sets is a first coordinate: sets within ``r`` differ in size by at most the factor
+   ``1 - r``, so a size class meets the next one only.
+3. A region larger than a task takes gets pivots. Each point goes to the Voronoi
+   region of its nearest pivot and, by the triangle inequality, also into every
+   region whose pivot is at most ``2 r`` farther: the window. A pair within ``r``
+   therefore meets in the home region of either point. Regions split again while
+   that makes them smaller.
+4. A region is joined exactly in blocks of bounded size; every two blocks of a
    region meet once. Only a spanning forest of the links found is kept, so a
    dense region never writes out its pairs.
 
@@ -23,24 +26,23 @@ No pair within the radius is lost and no candidate list is cut.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.blocks import LOWER, Block, Hasher, blocks, mix, shingles, word_spans
+from kinfold.llm.blocks import LOWER, Block, Hasher, blocks, bound_batches, mix, shingles, word_spans
 from kinfold.llm.components import components
+from kinfold.llm.suffixes import ENTRY, FOUND, bucket_count, find_ties, flushed, gathered
 from kinfold.session import materialize
 
 WORDS = 5
 PERCENT = 80  # smallest similarity of a link, in hundredths
-SKETCH_BITS = 20
-_SLICES = 64
-BLOCK_POINTS = 384  # points of a block; a task holds two
+ROUNDS = 3  # shares of the shingles sorted one after the other
+BLOCK_POINTS = 1024  # points of a block; a task holds two
+BLOCK_SHINGLES = 2_000_000
 PIVOTS = 6
 LEVELS = 3
 
@@ -80,87 +82,129 @@ def _identities(count: int, owners: np.ndarray, hashes: np.ndarray) -> tuple[np.
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then this task's part of the sketch of shingle counts."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc_id", "row_id", "n", "key", "slice", "counts"]
     for batch in batches:
         for block in blocks(batch["text"]):
-            owners, hashes = shingle_sets(block)
-            sizes, keys = _identities(len(block), owners, hashes)
-            sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            sizes, keys = _identities(len(block), *shingle_sets(block))
             rows = batch.slice(block.first, len(block))
-            none = pa.nulls(len(block), pa.int32()), pa.nulls(len(block), pa.binary())
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["row_id"], pa.array(sizes), pa.array(keys), *none], names)
-    if sketch.any():
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, _SLICES)]
-        none = [pa.nulls(_SLICES, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(_SLICES), pa.int32()), pa.array(parts)], names)
-
+            yield pa.RecordBatch.from_arrays(
+                [rows["doc_id"], rows["row_id"], pa.array(sizes), pa.array(keys)], ["doc_id", "row_id", "n", "key"]
+            )
 
-def _sum_slices(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group["counts"])
-    return pd.DataFrame({"slice": group["slice"].head(1), "counts": [zlib.compress(total.tobytes(), 1)]})
 
+def _shingle_entries(batches, buckets: int, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of one share of the hash range, by bucket, with their places in the sorted set."""
 
-def _prefixes(batches, sketch: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    def parts():
         seen: set[int] = set()
-        for block in blocks(batch["text"]):
-            owners, hashes = shingle_sets(block)
-            sizes, keys = _identities(len(block), owners, hashes)
-            fresh = np.array([n > 0 and not (k in seen or seen.add(k)) for n, k in zip(sizes.tolist(), keys.tolist())], bool)
-            mine = fresh[owners]
-            owners, hashes = owners[mine], hashes[mine]
-            if not len(owners):
-                continue
-            order = np.lexsort((hashes, sketch[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owners))
-            owners, hashes = owners[order], hashes[order]
-            first = np.searchsorted(owners, np.arange(len(block)))
-            place = np.arange(len(owners)) - first[owners]
-            take = place < (sizes - (percent * sizes + 99) // 100 + 1)[owners]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[take].view(np.int64)), pa.array(keys[owners[take]])], ["token", "key"]
-            )
+        for batch in batches:
+            for block in blocks(batch["text"]):
+                owners, hashes = shingle_sets(block)
+                sizes, keys = _identities(len(block), owners, hashes)
+                fresh = np.array([n > 0 and not (k in seen or seen.add(k)) for n, k in zip(sizes.tolist(), keys.tolist())], bool)
+                place = np.arange(len(owners)) - np.searchsorted(owners, np.arange(len(block)))[owners]
+                # ranges of the hash, so that a set's shingles in a bucket are neighbours
+                slot = ((hashes >> np.uint64(32)) * np.uint64(buckets * rounds) >> np.uint64(32)).astype(np.int64)
+                mine = fresh[owners] & (slot // buckets == turn)
+                if mine.any():
+                    yield slot[mine] % buckets, keys[owners[mine]], hashes[mine], None, place[mine]
+
+    yield from flushed(parts(), buckets)
+
+
+def _enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Points whose shared shingles suffice for a link."""
+    for batch in batches:
+        runs = (np.frombuffer(x, np.int32) for x in batch["places"].to_pylist())
+        shared = np.array([int(x[1::2].sum(dtype=np.int64) - x[::2].sum(dtype=np.int64)) for x in runs], np.int64)
+        yield batch.filter(pa.array(100 * shared >= percent * batch["n"].to_numpy())).select(["row_id", "key", "places"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The shared shingles of each candidate, and how many of them are in its prefix."""
     for batch in batches:
         for block in blocks(batch["text"]):
             owners, hashes = shingle_sets(block)
+            sizes, keys = _identities(len(block), owners, hashes)
             edge = np.searchsorted(owners, np.arange(len(block) + 1))
-            _, keys = _identities(len(block), owners, hashes)
-            sets = [hashes[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
             rows = batch.slice(block.first, len(block))
+            sets, prefixes = [], []
+            for i, places in enumerate(rows["places"].to_pylist()):
+                mine = np.zeros(sizes[i] + 1, np.int64)
+                for start, end in np.frombuffer(places, np.int32).reshape(-1, 2).tolist():
+                    mine[min(start, sizes[i])] += 1
+                    mine[min(end, sizes[i])] -= 1
+                shared = hashes[edge[i] : edge[i + 1]][np.cumsum(mine[:-1]) > 0]
+                sets.append(shared.tobytes())
+                prefixes.append(int(len(shared) - (percent * sizes[i] + 99) // 100 + 1))
             found = pa.RecordBatch.from_arrays(
-                [rows["cluster"], rows["key"], pa.array(sets, pa.binary())], ["region", "key", "shingles"]
+                [rows["key"], pa.array(sizes), pa.array(prefixes, pa.int64()), pa.array(sets, pa.binary())],
+                ["key", "n", "prefix", "shingles"],
             )
-            yield found.filter(pa.array(keys == rows["key"].to_numpy()))
-
-
-def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of every two sets, by matrix products over slices of the shingles."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], np.cumsum(count > 1)[column[shared]] - 1
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        a, b = np.searchsorted(column, (start, start + columns))
-        part = np.zeros((len(sets), int(column[b - 1]) - start + 1), np.float32)
-        part[owner[a:b], column[a:b] - start] = 1
-        total += part @ part.T
-    return total.astype(np.int64)
-
-
-def _forest(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+            yield found.filter(pa.array((keys == rows["key"].to_numpy()) & (np.array(prefixes) > 0)))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, sizes = [], []
+        for prefix, own in zip(batch["prefix"].to_pylist(), batch["shingles"].to_pylist()):
+            mine = np.frombuffer(own, np.int64)[:prefix]
+            tokens.append(mine)
+            sizes.append(len(mine))
+        if tokens:
+            keys = np.repeat(batch["key"].to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(keys)], ["token", "key"])
+
+
+def intersections(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every two sets.
+
+    Shingles of many sets go through matrix products, those of few give their
+    pairs one by one.
+    """
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(s) for s in sets])
+    total = np.zeros((count, count), np.int32)
+    if not len(owner):
+        return total
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    size = np.diff(np.append(first, len(values)))
+    common = size > max(8, count // 16)
+    column = np.repeat(np.cumsum(common) - 1, size)
+    many = np.repeat(common, size)
+    dense_owner, dense_column = owner[many], column[many]
+    for start in range(0, int(common.sum()), columns):
+        a, b = np.searchsorted(dense_column, (start, start + columns))
+        part = np.zeros((count, min(columns, int(common.sum()) - start)), np.float32)
+        part[dense_owner[a:b], dense_column[a:b] - start] = 1
+        total += (part @ part.T).astype(np.int32)
+    # the k-th next holder of the same shingle, for k = 1, 2, ...
+    left = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(values))  # holders that follow
+    at, k = np.flatnonzero(~many & (left > 0)), 1
+    flat = total.reshape(-1)
+    while len(at):
+        codes = owner[at] * count + owner[at + k]
+        if len(codes) * 8 > count * count:
+            flat += np.bincount(codes, minlength=count * count).astype(np.int32)
+        else:
+            np.add.at(flat, codes, 1)
+        k += 1
+        at = at[left[at] >= k]
+    # holders come in rising order, so the pairs are all in the upper triangle
+    upper = np.triu(total, 1)
+    total = upper + upper.T
+    np.fill_diagonal(total, [len(s) for s in sets])
+    return total
+
+
+def _forest(keys: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """For every point with a link: itself and the smallest key it reaches in this group."""
-    sizes = np.array([len(s) for s in sets])
-    common = intersections(sets)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     order = np.argsort(keys, kind="stable")
-    linked = linked[np.ix_(order, order)]
+    keys, n = keys[order], n[order]
+    common = intersections([sets[i] for i in order])
+    linked = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common)
     np.fill_diagonal(linked, True)
     label = np.arange(len(keys))
     while True:
@@ -170,7 +214,7 @@ def _forest(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.
             break
         label = low
     mine = np.flatnonzero(label != np.arange(len(keys)))
-    return keys[order][mine], keys[order][label[mine]]
+    return keys[mine], keys[label[mine]]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -196,7 +240,7 @@ def _join_groups(batches, percent: int) -> Iterator[pa.RecordBatch]:
         if len(keys) < 2:
             continue
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        u, v = _forest(keys, sets, percent)
+        u, v = _forest(keys, group["n"].to_numpy(), sets, percent)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -205,40 +249,48 @@ def _nearest(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Home and window regions of every point among its region's pivots."""
     window = 2 * (100 - percent) / 100
     for batch in batches:
-        regions, keys, homes, sets = [], [], [], []
-        for region, key, own, pivots in zip(*(batch[c].to_pylist() for c in ("region", "key", "shingles", "pivots"))):
+        regions, keys, homes, sizes, sets = [], [], [], [], []
+        for region, key, n, own, pivots in zip(*(batch[c].to_pylist() for c in ("region", "key", "n", "shingles", "pivots"))):
             mine = np.frombuffer(own, np.uint64)
             far = []
             for pivot in pivots:
                 other = np.frombuffer(pivot["shingles"], np.uint64)
                 common = np.isin(mine, other, assume_unique=True).sum()
-                far.append(1 - common / (len(mine) + len(other) - common))
+                far.append(1 - common / (n + pivot["n"] - common))
             for k in np.flatnonzero(np.array(far) <= min(far) + window + 1e-9):
                 regions.append(region)
                 keys.append(key)
                 homes.append(pivots[k]["key"])
+                sizes.append(n)
                 sets.append(own)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(regions, pa.int64()), pa.array(keys, pa.int64()), pa.array(homes, pa.int64()), pa.array(sets, pa.binary())],
-            ["parent", "key", "home", "shingles"],
+            [pa.array(regions, pa.int64()), pa.array(keys, pa.int64()), pa.array(homes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())],
+            ["parent", "key", "home", "n", "shingles"],
         )
 
 
+def _region_sizes(points: DataFrame, block_points: int) -> DataFrame:
+    """``region, size, number``: points of each region, and the blocks they make; 1 if a task holds all."""
+    load = F.greatest(F.count("*") / block_points, F.sum(F.length("shingles")) / (8 * BLOCK_SHINGLES))
+    number = F.when(load <= 2, 1).otherwise(F.ceil(load)).cast("int")
+    return points.groupBy("region").agg(F.count("*").alias("size"), number.alias("number"))
+
+
 def _split(points: DataFrame, percent: int, block_points: int, pivots: int) -> tuple[DataFrame, DataFrame | None]:
     """Regions that are small or do not shrink, and the Voronoi regions of the others."""
-    sizes = points.groupBy("region").agg(F.count("*").alias("size"))
-    sized = points.drop("size").join(sizes, "region")
-    large = sized.where(F.col("size") > 2 * block_points)
+    sizes = _region_sizes(points, block_points)
+    sized = points.join(sizes, "region")
+    large = sized.where(F.col("number") > 1)
     if large.isEmpty():
         return sized, None
     # a hash draws the pivots; a hundred-odd candidates at most reach each region's aggregate
     drawn = large.where(F.pmod(F.xxhash64("key", F.lit(7)), F.col("size")) < 16 * pivots)
     chosen = drawn.groupBy("region").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key", F.lit(8)).alias("o"), "key", "shingles"))), 1, pivots).alias("pivots")
+        F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key", F.lit(8)).alias("o"), "key", "n", "shingles"))), 1, pivots).alias("pivots")
     )
-    placed = large.join(chosen, "region", "inner").select("region", "key", "shingles", "pivots")
+    placed = large.join(chosen, "region", "inner").select("region", "key", "n", "shingles", "pivots")
     children = materialize(
-        placed.mapInArrow(lambda it: _nearest(it, percent), "parent long, key long, home long, shingles binary")
+        placed.mapInArrow(lambda it: _nearest(it, percent), "parent long, key long, home long, n long, shingles binary")
     )
     child_sizes = children.groupBy("parent", "home").agg(F.count("*").alias("n"))
     largest = child_sizes.groupBy("parent").agg(F.max("n").alias("n"))
@@ -247,7 +299,7 @@ def _split(points: DataFrame, percent: int, block_points: int, pivots: int) -> t
     )
     done = sized.join(shrunk, sized["region"] == shrunk["parent"], "left_anti")
     next_points = children.join(shrunk, "parent", "left_semi").select(
-        F.xxhash64("parent", "home").alias("region"), "key", "shingles"
+        F.xxhash64("parent", "home").alias("region"), "key", "n", "shingles"
     )
     return done, next_points
 
@@ -255,7 +307,7 @@ def _split(points: DataFrame, percent: int, block_points: int, pivots: int) -> t
 def links(
     points: DataFrame, *, percent: int = PERCENT, block_points: int = BLOCK_POINTS, pivots: int = PIVOTS, levels: int = LEVELS
 ) -> DataFrame:
-    """A spanning forest ``u, v`` of the links among points of one ``region`` (``region, key, shingles``)."""
+    """A spanning forest ``u, v`` of the links among points of one ``region`` (``region, key, n, shingles``)."""
     found, rest = [], points
     for _ in range(levels):
         done, rest = _split(rest, percent, block_points, pivots)
@@ -264,26 +316,26 @@ def links(
             break
         rest = materialize(rest)
     if rest is not None:
-        sizes = rest.groupBy("region").agg(F.count("*").alias("size"))
-        found.append(rest.join(sizes, "region"))
+        found.append(rest.join(_region_sizes(rest, block_points), "region"))
     edges = None
     for done in found:
-        number = F.when(F.col("size") <= 2 * block_points, F.lit(1)).otherwise(F.ceil(F.col("size") / block_points)).cast("int")
         own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("number")).cast("int")
-        met = done.withColumn("number", number).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
+        met = done.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
         # with one block it meets itself; with more, two blocks meet once and a block needs no meeting of its own
         met = met.where("number = 1 or own <> other").withColumn(
             "group", F.concat_ws("/", "region", F.least("own", "other"), F.greatest("own", "other"))
         )
         joined = (
-            met.select("group", "key", "shingles").repartition("group").sortWithinPartitions("group")
+            met.select("group", "key", "n", "shingles").repartition("group").sortWithinPartitions("group")
             .mapInArrow(lambda it: _join_groups(it, percent), "u long, v long")
         )
         edges = joined if edges is None else edges.unionByName(joined)
     return edges
 
 
-def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, block_points: int = BLOCK_POINTS) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, percent: int = PERCENT, block_points: int = BLOCK_POINTS, rounds: int = ROUNDS
+) -> DataFrame:
     """``doc_id, n_shingles, key, component`` for rows of ``doc_id, text``.
 
     ``key`` names the set, ``component`` the linked group of sets; both are null
@@ -292,33 +344,35 @@ def jaccard_components(docs: DataFrame, *, percent: int = PERCENT, block_points:
     out for each row that goes in. Other columns are dropped; an empty table gives
     an empty result.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_id"), "text")
-    survey = materialize(
-        texts.mapInArrow(_survey, "doc_id long, row_id long, n long, key long, slice int, counts binary")
-    )
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = len(sketch) // _SLICES
-    summed = survey.where("slice is not null").groupBy("slice").applyInPandas(_sum_slices, "slice int, counts binary")
-    for row in summed.collect():  # a fixed number of counters
-        sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    tokens = texts.select("text").mapInArrow(lambda it: _prefixes(it, shared.value, percent), "token long, key long").distinct()
-    least = tokens.groupBy("token").agg(F.min("key").alias("u"), F.count("*").alias("n")).where("n > 1")
-    star = materialize(
-        tokens.join(least.select("token", "u"), "token").select("u", F.col("key").alias("v")).where("u <> v").distinct()
-    )
-    clusters = materialize(components(star))
-
-    rows = survey.where("slice is null").select(
-        "doc_id", "row_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key")
+    survey = materialize(texts.mapInArrow(_survey, "doc_id long, row_id long, n long, key long"))
+    rows = survey.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    points = materialize(survey.where("n > 0").groupBy("key").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n")))
+
+    buckets = bucket_count(docs, (points.agg(F.sum("n")).first()[0] or 0) / rounds)
+    found = None
+    for turn in range(rounds):
+        entries = texts.select("text").mapInArrow(lambda it, turn=turn: _shingle_entries(it, buckets, turn, rounds), ENTRY)
+        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))
+        found = ties if found is None else found.unionByName(ties)
+    shared = gathered(found)
+    needed = shared.join(points, "key").select("row_id", "key", "n", "places")
+    needed = needed.mapInArrow(lambda it: _enough(it, percent), "row_id long, key long, places binary")
+    chosen = texts.select("row_id", "text").join(needed, "row_id")
+    sets = materialize(
+        chosen.mapInArrow(lambda it: _sets(it, percent), "key long, n long, prefix long, shingles binary").dropDuplicates(["key"])
     )
-    points = rows.where("key is not null").groupBy("key").agg(F.min("row_id").alias("row_id"))
-    needed = clusters.join(points, clusters["node"] == points["key"]).select("row_id", "key", F.col("component").alias("cluster"))
-    # rows that share a doc_id are told apart by the identity of their sets
-    sets = texts.select("row_id", "text").join(needed, "row_id").mapInArrow(_sets, "region long, key long, shingles binary")
-    edges = links(materialize(sets), percent=percent, block_points=block_points)
-    linked = components(edges)
+    tokens = sets.select("key", "prefix", "shingles").mapInArrow(_prefixes, "token long, key long")
+    least = tokens.groupBy("token").agg(F.min("key").alias("u"), F.count("*").alias("c")).where("c > 1")
+    star = tokens.join(least.select("token", "u"), "token").select("u", F.col("key").alias("v")).where("u <> v").distinct()
+    clusters = components(star)
+    # sets within the radius are in the same or neighbouring classes of size
+    width = (float(-np.log(percent / 100)) or 1.0) * (1 + 1e-9)  # a ratio of exactly r stays within one class
+    size_class = F.floor(F.log(F.col("n").cast("double")) / width)
+    placed = sets.join(clusters, sets["key"] == clusters["node"]).withColumn("class", F.explode(F.array(size_class, size_class - 1)))
+    regions = materialize(placed.select(F.xxhash64("component", "class").alias("region"), "key", "n", "shingles"))
+    linked = components(links(regions, percent=percent, block_points=block_points))
     joined = rows.join(linked, rows["key"] == linked["node"], "left")
     return joined.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component"))
 

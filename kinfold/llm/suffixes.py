@@ -150,7 +150,7 @@ def _by_key(key: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(names[a]), runs[a:b].tobytes()
 
 
-def _flushed(parts: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def flushed(parts: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packs what the blocks give whenever a million entries have come together."""
     held, count = [], 0
     for part in parts:
@@ -194,7 +194,7 @@ def _cover_entries(batches, buckets: int, length: int, order: int) -> Iterator[p
             key = np.array(keys, np.int64)[s.text[segment[at]]]
             yield (values >> np.uint64(33)).astype(np.int64) % buckets, key, values, None, place[at]
 
-    yield from _flushed(parts(), buckets)
+    yield from flushed(parts(), buckets)
 
 
 def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
@@ -228,10 +228,10 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
             bucket = ((anchor >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             yield bucket, key, s.hasher.spans(at, at + length), (other >> np.uint64(32)).astype(np.uint32), place[at]
 
-    yield from _flushed(parts(), buckets)
+    yield from flushed(parts(), buckets)
 
 
-def _ties(batches) -> Iterator[pa.RecordBatch]:
+def find_ties(batches) -> Iterator[pa.RecordBatch]:
     """Sorts the entries of this task's buckets and gives the places of repeated values by text."""
     held, names = [], ["key", "places"]
     for batch in batches:
@@ -276,7 +276,7 @@ def _merge_runs(parts: list[bytes], reach: int = 0) -> np.ndarray:
     return np.column_stack((runs[fresh, 0], end[last]))
 
 
-def _gathered(found: DataFrame, reach: int = 0) -> DataFrame:
+def gathered(found: DataFrame, reach: int = 0) -> DataFrame:
     """One row per text with the union of its runs; a text's runs are no more than its bytes."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def _gathered(found: DataFrame, reach: int = 0) -> DataFrame:
     return found.groupBy("key").agg(F.collect_list("places").alias("parts")).mapInArrow(merge, FOUND)
 
 
-def _buckets(df: DataFrame, entries: float) -> int:
+def bucket_count(df: DataFrame, entries: float) -> int:
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(own, int(entries // _BUCKET_ENTRIES) + 1)
 
@@ -313,24 +313,24 @@ def repeated_spans(
         )
     )
     total = survey.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = _buckets(docs, total * (order + 1) / modulus)
+    buckets = bucket_count(docs, total * (order + 1) / modulus)
     ranks = long_texts.select("key", "text").mapInArrow(lambda it: _cover_entries(it, buckets, length, order), ENTRY)
-    flagged = materialize(_gathered(materialize(ranks.repartition(buckets, "bucket").mapInArrow(_ties, FOUND))))
+    flagged = materialize(gathered(materialize(ranks.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))))
     # one row of each text, found by its smallest doc_id, so copies do not travel
     chosen = flagged.join(survey.select("key", "row_id"), "key")
     rows = long_texts.select("key", F.coalesce("doc_id", "key").alias("row_id"), "text")
     candidates = materialize(rows.join(chosen, ["key", "row_id"]).select("key", "text", "places"))
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = _buckets(docs, size / rounds)
+    buckets = bucket_count(docs, size / rounds)
     found = None
     for turn in range(rounds):
         entries = candidates.mapInArrow(
             lambda it, turn=turn: _suffix_entries(it, buckets, length, modulus, turn, rounds), ENTRY
         )
-        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(_ties, FOUND))
+        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))
         found = ties if found is None else found.unionByName(ties)
     # a run of starts covers the bytes up to the end of its last string
-    return survey, materialize(_gathered(found, length - 1))
+    return survey, materialize(gathered(found, length - 1))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, **options) -> DataFrame:
