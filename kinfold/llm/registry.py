@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard, mixing, pieces, quality, rotated_codes, suffixes, toxicity
+from kinfold.llm import jaccard, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
 from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
@@ -38,6 +38,14 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    # the table has no capture times: pages count as fetched one second apart
+    captured = F.date_format(F.timestamp_seconds(F.col("page_id") + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    captures = _table(spark, folder, "pages").withColumn("captured", captured)
+    history = warc.capture_history(captures)
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "place")
+
+
 def op7_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return rotated_codes.nearest(vectors.where("id % 20 = 0"), vectors)
@@ -68,6 +76,7 @@ QUERIES = {
     "op3_pieces": op3_pieces,
     "op4_jaccard": op4_jaccard,
     "op5_mix": op5_mix,
+    "op6_warc": op6_warc,
     "op7_rotated_codes": op7_rotated_codes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
