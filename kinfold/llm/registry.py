@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
+from kinfold.llm import jaccard, main_text, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
 from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
@@ -51,6 +51,11 @@ def op7_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
     return rotated_codes.nearest(vectors.where("id % 20 = 0"), vectors)
 
 
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    texts = main_text.extract(_table(spark, folder, "pages"), keep=["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, folder, "labels"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op6_warc": op6_warc,
     "op7_rotated_codes": op7_rotated_codes,
+    "op8_main_text": op8_main_text,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
