@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard, main_text, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
+from kinfold.llm import jaccard, licenses, main_text, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
 from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
@@ -20,6 +20,12 @@ def op1_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    families = F.array_join(F.array_sort(F.array_distinct("licences.family")), ",")
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), families.alias("families"), "licences")
+
+
 def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = pieces.read_vocabulary()
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -78,6 +84,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffixes": op1_suffixes,
+    "op2_licenses": op2_licenses,
     "op3_pieces": op3_pieces,
     "op4_jaccard": op4_jaccard,
     "op5_mix": op5_mix,
