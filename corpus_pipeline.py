@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import toxicity
+from kinfold.llm import jaccard, mixing, pieces, suffixes, toxicity
 from kinfold.session import materialize
 
 
@@ -14,7 +15,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of 200-byte strings that occur more than once."""
+    cut = suffixes.remove_repeats(docs, as_text=True)
+    cut = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them."""
+    return mixing.mixture(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_pieces, ids`` of every document of the mix."""
+    coded = pieces.encode(docs, pieces.read_vocabulary(), keep=["doc_id", "source"])
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mix", mix_sources),
+    ("pieces", encode_pieces),
+]
 
 # The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None

@@ -87,7 +87,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, keys = _identities(len(block), *shingle_sets(block))
             rows = batch.slice(block.first, len(block))
             yield pa.RecordBatch.from_arrays(
-                [rows["doc_id"], rows["row_id"], pa.array(sizes), pa.array(keys)], ["doc_id", "row_id", "n", "key"]
+                [rows["doc_id"], rows["tag"], rows["row_id"], pa.array(sizes), pa.array(keys)], ["doc_id", "tag", "row_id", "n", "key"]
             )
 
 
@@ -336,18 +336,19 @@ def links(
 def jaccard_components(
     docs: DataFrame, *, percent: int = PERCENT, block_points: int = BLOCK_POINTS, rounds: int = ROUNDS
 ) -> DataFrame:
-    """``doc_id, n_shingles, key, component`` for rows of ``doc_id, text``.
+    """``doc_id, tag, n_shingles, key, component`` for rows of ``doc_id, text``.
 
-    ``key`` names the set, ``component`` the linked group of sets; both are null
+    ``tag`` is ``xxhash64(text)``, ``key`` names the set, ``component`` the linked group of sets; both are null
     for a null text or one without words, which link with nothing. Repeated texts
     share key and component. ``doc_id`` is any long, repeated or null; one row comes
     out for each row that goes in. Other columns are dropped; an empty table gives
     an empty result.
     """
     bound_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row_id"), "text")
-    survey = materialize(texts.mapInArrow(_survey, "doc_id long, row_id long, n long, key long"))
-    rows = survey.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    tag = F.xxhash64("text")
+    texts = docs.select("doc_id", tag.alias("tag"), F.coalesce("doc_id", tag).alias("row_id"), "text")
+    survey = materialize(texts.mapInArrow(_survey, "doc_id long, tag long, row_id long, n long, key long"))
+    rows = survey.select("doc_id", "tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
     points = materialize(survey.where("n > 0").groupBy("key").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n")))
 
     buckets = bucket_count(docs, (points.agg(F.sum("n")).first()[0] or 0) / rounds)
@@ -374,7 +375,7 @@ def jaccard_components(
     regions = materialize(placed.select(F.xxhash64("component", "class").alias("region"), "key", "n", "shingles"))
     linked = components(links(regions, percent=percent, block_points=block_points))
     joined = rows.join(linked, rows["key"] == linked["node"], "left")
-    return joined.select("doc_id", "n_shingles", "key", F.coalesce("component", "key").alias("component"))
+    return joined.select("doc_id", "tag", "n_shingles", "key", F.coalesce("component", "key").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -387,3 +388,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     return named.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one of each linked group: that with the smallest ``doc_id``.
+
+    Rows of null texts or texts without words all stay; of rows that agree in
+    ``doc_id`` and text one stays. All columns are kept.
+    """
+    named = jaccard_components(docs, percent=percent)
+    chosen = named.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("r"))
+    chosen = chosen.select(F.col("r.doc_id").alias("_id"), F.col("r.tag").alias("_as"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.withColumn("_tag", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_tag"] == chosen["_as"])
+    kept = rows.where(worded).join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_tag"])
+    return kept.unionByName(rows.where(~worded)).drop("_tag")

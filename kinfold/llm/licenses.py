@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinfold.llm.blocks import LOWER, Hasher, blocks, mix, word_spans
+from kinfold.llm.blocks import LOWER, Hasher, blocks, bound_batches, mix, word_spans
 
 FEATURE_BITS = 16
 EXAMPLES = 240  # made paragraphs per family
@@ -214,6 +214,7 @@ def scan(
     A null or empty text has none. Columns in ``keep`` (all by default) and repeated
     rows are kept; a ``licences`` column is replaced.
     """
+    bound_batches(docs.sparkSession)
     rest = docs.drop("licences")
     kept = [c for c in rest.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model or fit())  # a fixed 3.5 MB

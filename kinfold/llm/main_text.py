@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinfold.llm.blocks import bound_batches
 from kinfold.llm.html_nodes import Pages
 
 TRAINING_PAGES = 600
@@ -317,6 +318,7 @@ def extract(pages: DataFrame, model: NodeModel | None = None, *, keep: list[str]
     markup is read as far as it goes. Columns in ``keep`` (all by default) and
     repeated rows are kept; a ``text`` column is replaced.
     """
+    bound_batches(pages.sparkSession)
     rest = pages.drop("text")
     kept = [c for c in rest.columns if keep is None or c in keep]
     shared = pages.sparkSession.sparkContext.broadcast(model or fit())  # some hundred kilobytes

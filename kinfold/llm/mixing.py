@@ -158,3 +158,20 @@ def _cut(ranged: DataFrame, key: list[str]):
         before.select(F.struct(*key).alias("e"))
     )
     return top.agg(F.max("e").alias("top")).first()["top"]
+
+
+def mixture(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of the mix: every document as often as the mix takes it, with all its columns.
+
+    Rows that agree in ``doc_id, source, text`` share their passes and appear as the first of them.
+    """
+    passes = (
+        mix(docs, weights=weights, repeats=repeats)
+        .where("taken > 0")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_row")
+        .agg(F.sum(F.expr("taken div size")).cast("int").alias("_passes"))
+    )
+    rows = docs.withColumn("_tag", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(passes["_id"]) & rows["source"].eqNullSafe(passes["_from"]) & (rows["_tag"] == passes["_row"])
+    joined = rows.dropDuplicates(["doc_id", "source", "_tag"]).join(passes, same)
+    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.blocks import SPACE, Block, Hasher, blocks, mix, shingles, word_spans
+from kinfold.llm.blocks import SPACE, Block, Hasher, blocks, bound_batches, mix, shingles, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW_WORDS = 8
@@ -89,6 +89,7 @@ def block_counts(block: Block) -> dict[str, np.ndarray]:
 
 def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and the counts of every whole text."""
+    bound_batches(docs.sparkSession)
     rest = docs.select(*keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.select(*keep).schema)
 

@@ -333,10 +333,11 @@ def repeated_spans(
     return survey, materialize(gathered(found, length - 1))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, as_text: bool = False, **options) -> DataFrame:
     """Add ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the remaining bytes) to every row.
 
-    A null text counts as empty; texts under ``length`` bytes stay whole; of several
+    With ``as_text``, ``kept`` is a string without the bytes of characters that were cut
+    through. A null text counts as empty; texts under ``length`` bytes stay whole; of several
     equal texts of ``length`` bytes or more nothing stays. Other columns, repeated
     rows included, are kept; columns of the added names are replaced. An empty table
     gives an empty result.
@@ -360,14 +361,14 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, **options) -> DataF
                     parts.append(text[last:a])
                     last = b
                 kept = b"".join([*parts, text[last:]])
-                for column, x in zip(columns, (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)):
+                for column, x in zip(columns, (len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if as_text else kept)):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in names), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*names, *added]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return joined.mapInArrow(
-        apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        apply, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}"
     )

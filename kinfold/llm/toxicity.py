@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.blocks import Block, Hasher, blocks, lower_latin, mix, word_spans
+from kinfold.llm.blocks import Block, Hasher, blocks, bound_batches, lower_latin, mix, word_spans
 
 FEATURE_BITS = 18
 MAX_TRAINING_ROWS = 8_000
@@ -111,6 +111,7 @@ def fit(
     labels takes the largest; null keys and labels teach nothing. Without a toxic
     and a clean example the model scores every text near zero.
     """
+    bound_batches(docs.sparkSession)
     known = (
         labels.where(F.col("toxic").isNotNull() & (fold() != 0))
         .groupBy("doc_id")
@@ -180,6 +181,7 @@ def score(
     spans whose own chance reaches ``threshold``. Input columns of those names
     are replaced; all others, or those in ``keep``, and repeated rows are kept.
     """
+    bound_batches(docs.sparkSession)
     rest = docs.drop("score", "predicted", "sentences")
     kept = [c for c in rest.columns if keep is None or c in keep]
     shared = rest.sparkSession.sparkContext.broadcast(model)  # a fixed 2 MB
