@@ -355,9 +355,9 @@ def jaccard_components(
     found = None
     for turn in range(rounds):
         entries = texts.select("text").mapInArrow(lambda it, turn=turn: _shingle_entries(it, buckets, turn, rounds), ENTRY)
-        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))
+        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(lambda it: find_ties(it, buckets), FOUND))
         found = ties if found is None else found.unionByName(ties)
-    shared = gathered(found)
+    shared = gathered(found, buckets)
     needed = shared.join(points, "key").select("row_id", "key", "n", "places")
     needed = needed.mapInArrow(lambda it: _enough(it, percent), "row_id long, key long, places binary")
     chosen = texts.select("row_id", "text").join(needed, "row_id")

@@ -42,7 +42,8 @@ _FLUSH = 1 << 20
 _BUCKET_ENTRIES = 1 << 20
 
 ENTRY = "bucket int, keys binary, counts binary, high binary, low binary, places binary"
-FOUND = "key long, places binary"
+FOUND = "slot int, keys binary, counts binary, places binary"  # runs of many texts
+PLACES = "key long, places binary"
 
 
 def difference_cover(order: int = ORDER) -> tuple[int, list[int]]:
@@ -115,9 +116,10 @@ def _pack(buckets: int, bucket, key, high, low, place) -> Iterator[pa.RecordBatc
     names = ["bucket", "keys", "counts", "high", "low", "places"]
     if again.any():
         found = order[again]
-        for name, places in _by_key(key[found], place[found]):
-            row = [[int(-1 - name % buckets)], [np.int64(name).tobytes()], [b""], [b""], [b""], [places]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names)
+        for slot, *packed in _by_slot(key[found], place[found], buckets):
+            none = pa.array([b""], pa.binary())
+            keys, counts, places = (pa.array([x], pa.binary()) for x in packed)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - slot], pa.int32()), keys, counts, none, none, places], names)
     place = place.copy()
     place[order[first & again]] = -1 - place[order[first & again]]
     sent = np.sort(order[first])
@@ -136,9 +138,9 @@ def _pack(buckets: int, bucket, key, high, low, place) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names)
 
 
-def _by_key(key: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each text its places as runs: starts and ends (exclusive) as 32-bit integers."""
-    order = np.lexsort((place, key))
+def _by_slot(key: np.ndarray, place: np.ndarray, slots: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Places as runs, packed by slots of the key: slot, keys, runs of each, starts and ends (exclusive)."""
+    order = np.lexsort((place, key, _slot(key, slots)))
     key, place = key[order], place[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)))
     start = np.flatnonzero(fresh)
@@ -146,8 +148,16 @@ def _by_key(key: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
     runs = np.column_stack((place[start], place[end] + 1)).astype(np.int32)
     names = key[start]
     edge = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-    for a, b in zip(edge, np.append(edge[1:], len(names))):
-        yield int(names[a]), runs[a:b].tobytes()
+    counts = np.diff(np.append(edge, len(names))).astype(np.int32)
+    slot = _slot(names[edge], slots)
+    cuts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+    for a, b in zip(cuts, np.append(cuts[1:], len(slot))):
+        last = edge[b] if b < len(edge) else len(runs)
+        yield int(slot[a]), names[edge[a:b]].tobytes(), counts[a:b].tobytes(), runs[edge[a] : last].tobytes()
+
+
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
 
 
 def flushed(parts: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -231,13 +241,14 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
     yield from flushed(parts(), buckets)
 
 
-def find_ties(batches) -> Iterator[pa.RecordBatch]:
+def find_ties(batches, slots: int) -> Iterator[pa.RecordBatch]:
     """Sorts the entries of this task's buckets and gives the places of repeated values by text."""
-    held, names = [], ["key", "places"]
+    held, names = [], ["slot", "keys", "counts", "places"]
     for batch in batches:
         for bucket, keys, counts, high, low, places in zip(*(batch[c].to_pylist() for c in range(6))):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(keys, np.int64)[0])]), pa.array([places], pa.binary())], names)
+                packed = (pa.array([x], pa.binary()) for x in (keys, counts, places))
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket], pa.int32()), *packed], names)
                 continue
             high = np.frombuffer(high, np.uint64)
             held.append((
@@ -262,29 +273,38 @@ def find_ties(batches) -> Iterator[pa.RecordBatch]:
     near = np.repeat(np.logical_or.reduceat(merged, first), size) & ~merged
     found = repeated | near
     if found.any():
-        rows = list(_by_key(key[found], place[found]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([p for _, p in rows], pa.binary())], names)
-
-
-def _merge_runs(parts: list[bytes], reach: int = 0) -> np.ndarray:
-    """Union of runs; each is first made longer by ``reach``."""
-    runs = np.concatenate([np.frombuffer(x, np.int32) for x in parts]).reshape(-1, 2).astype(np.int64)
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    end = np.maximum.accumulate(runs[:, 1] + reach)
-    fresh = np.concatenate(([True], runs[1:, 0] > end[:-1]))
-    last = np.append(np.flatnonzero(fresh)[1:], len(runs)) - 1
-    return np.column_stack((runs[fresh, 0], end[last]))
-
+        rows = list(zip(*_by_slot(key[found], place[found], slots)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names)
 
-def gathered(found: DataFrame, reach: int = 0) -> DataFrame:
-    """One row per text with the union of its runs; a text's runs are no more than its bytes."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [_merge_runs(x, reach).astype(np.int32).tobytes() for x in batch["parts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(runs, pa.binary())], ["key", "places"])
-
-    return found.groupBy("key").agg(F.collect_list("places").alias("parts")).mapInArrow(merge, FOUND)
+def _union(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """The union of the runs of each text of this task's slots, each run made longer by ``reach``."""
+    keys, runs = [], []
+    for batch in batches:
+        for names, counts, places in zip(*(batch[c].to_pylist() for c in ("keys", "counts", "places"))):
+            keys.append(np.repeat(np.frombuffer(names, np.int64), np.frombuffer(counts, np.int32)))
+            runs.append(np.frombuffer(places, np.int32).reshape(-1, 2).astype(np.int64))
+    if not keys:
+        return
+    key, runs = np.concatenate(keys), np.concatenate(runs)
+    order = np.lexsort((runs[:, 0], key))
+    key, runs = key[order], runs[order]
+    text = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64)))) << 33
+    start, end = runs[:, 0] + text, np.maximum.accumulate(runs[:, 1] + reach + text)
+    fresh = np.concatenate(([True], (start[1:] > end[:-1]) | (text[1:] != text[:-1])))
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(key)) - 1
+    joined = np.column_stack((start[first] - text[first], end[last] - text[first])).astype(np.int32)
+    edge = np.flatnonzero(np.concatenate(([True], key[first][1:] != key[first][:-1])))
+    for begin in range(0, len(edge), 10_000):
+        cuts = np.append(edge[begin : begin + 10_000], edge[begin + 10_000] if begin + 10_000 < len(edge) else len(first))
+        places = [joined[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first][cuts[:-1]]), pa.array(places, pa.binary())], ["key", "places"])
+
+
+def gathered(found: DataFrame, slots: int, reach: int = 0) -> DataFrame:
+    """``key, places``: one row per text with the union of its runs."""
+    return found.repartition(slots, "slot").mapInArrow(lambda it: _union(it, reach), PLACES)
 
 
 def bucket_count(df: DataFrame, entries: float) -> int:
@@ -315,7 +335,8 @@ def repeated_spans(
     total = survey.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(docs, total * (order + 1) / modulus)
     ranks = long_texts.select("key", "text").mapInArrow(lambda it: _cover_entries(it, buckets, length, order), ENTRY)
-    flagged = materialize(gathered(materialize(ranks.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))))
+    ties = ranks.repartition(buckets, "bucket").mapInArrow(lambda it: find_ties(it, buckets), FOUND)
+    flagged = materialize(gathered(materialize(ties), buckets))
     # one row of each text, found by its smallest doc_id, so copies do not travel
     chosen = flagged.join(survey.select("key", "row_id"), "key")
     rows = long_texts.select("key", F.coalesce("doc_id", "key").alias("row_id"), "text")
@@ -327,10 +348,10 @@ def repeated_spans(
         entries = candidates.mapInArrow(
             lambda it, turn=turn: _suffix_entries(it, buckets, length, modulus, turn, rounds), ENTRY
         )
-        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(find_ties, FOUND))
+        ties = materialize(entries.repartition(buckets, "bucket").mapInArrow(lambda it: find_ties(it, buckets), FOUND))
         found = ties if found is None else found.unionByName(ties)
     # a run of starts covers the bytes up to the end of its last string
-    return survey, materialize(gathered(found, length - 1))
+    return survey, materialize(gathered(found, buckets, length - 1))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, as_text: bool = False, **options) -> DataFrame:

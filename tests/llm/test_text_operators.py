@@ -88,7 +88,7 @@ def test_long_texts_are_cut_into_segments_without_loss(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 500)
     text = make_texts(5)[7].encode() * 2
     entries = list(suffixes._cover_entries(iter([_batch(1, text)]), 4, 60, 3))
-    found = list(suffixes.find_ties(iter(entries)))
+    found = list(suffixes.find_ties(iter(entries), 4))
     places = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for b in found for p in b["places"].to_pylist()])
     covered = np.zeros(len(text), bool)
     for a, b in places:
