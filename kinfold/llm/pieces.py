@@ -10,13 +10,13 @@ while a task runs.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -26,7 +26,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
-_REMEMBERED = 200_000  # words; longer ones than _WORD characters are not kept
+_REMEMBERED = 500_000  # words; longer ones than _WORD characters are not kept
 _WORD = 64
 
 
@@ -55,7 +55,7 @@ class Codec:
     """Encoder and decoder of one vocabulary; spaces become marks and a mark is put in front."""
 
     vocabulary: Vocabulary
-    remembered: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    remembered: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -89,56 +89,79 @@ class Codec:
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Ids of the path with the largest sum of scores; of equal ones, that with the longest last piece.
 
-        A character that is no piece of its own may stand alone at a penalty, as its bytes.
+        A character that is no piece of its own may stand alone at a penalty, as its
+        bytes. The automaton names pieces by where they end, longest first, so every
+        position is final when the first piece beyond it comes.
         """
-        size = len(word)
+        size, penalty = len(word), self.penalty
         best = [0.0] + [-np.inf] * size
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        known = [False] * size
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(size)]
-        for end, match in self.automaton.iter(word) if len(self.automaton) else ():
-            ends[end].append(match)
-            if match[1] == 1:
-                known[end] = True
-        for end in range(size):
-            for piece, width, score in ends[end]:
-                reached = best[end + 1 - width] + score
-                if reached > best[end + 1]:
-                    best[end + 1], back[end + 1] = reached, (width, piece)
-            if not known[end] and best[end] + self.penalty > best[end + 1]:
-                best[end + 1], back[end + 1] = best[end] + self.penalty, (1, -1)
+        back: list[tuple[int, int]] = [(1, -1)] * (size + 1)
+        at, single = 0, -1  # positions below ``at`` are final; the last end of a piece of one character
+        for end, (piece, width, score) in self.automaton.iter(word) if len(self.automaton) else ():
+            while at < end:
+                if single != at and best[at] + penalty > best[at + 1]:
+                    best[at + 1], back[at + 1] = best[at] + penalty, (1, -1)
+                at += 1
+            reached = best[end + 1 - width] + score
+            if reached > best[end + 1]:
+                best[end + 1], back[end + 1] = reached, (width, piece)
+            if width == 1:
+                single = end
+        while at < size:
+            if single != at and best[at] + penalty > best[at + 1]:
+                best[at + 1], back[at + 1] = best[at] + penalty, (1, -1)
+            at += 1
         ids: list[int] = []
         at = size
         while at > 0:
             width, piece = back[at]
-            ids.extend([piece] if piece >= 0 else self._single(word[at - 1])[::-1])
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(self._single(word[at - 1])[::-1])
             at -= width
         return tuple(ids[::-1])
 
+    def _raw(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
+        if MARK in text:
+            # a mark that the text itself holds is spelled in bytes, so it is no space when decoded
+            mark = np.array(self._single(MARK), np.int32).tobytes()
+            first, *rest = text.split(MARK)
+            return self._part(MARK + first) + b"".join(mark + self._part(x) for x in rest)
+        return self._part(MARK + text) if text else b""
+
+    def _part(self, text: str) -> bytes:
+        words = self.words.findall(text.replace(" ", MARK))
+        known = self.remembered
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        own: dict[str, bytes] = {}
+        for word in set(words):
+            found = known.get(word)
+            if found is None:
+                found = np.array(self.viterbi(word), np.int32).tobytes()
+                if len(word) <= _WORD:
+                    if len(known) >= _REMEMBERED:
+                        known.clear()
+                    known[word] = found
+            own[word] = found
+        return b"".join([own[w] for w in words])
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        ids: list[int] = []
-        # a mark that the text itself holds is spelled in bytes, so it is no space when decoded
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                ids.extend(self._single(MARK))
-            part = part.replace(" ", MARK)
-            for word in self.words.findall(part if k else MARK + part):
-                found = self.remembered.get(word)
-                if found is None:
-                    found = self.viterbi(word)
-                    if len(word) <= _WORD:
-                        if len(self.remembered) >= _REMEMBERED:
-                            self.remembered.clear()
-                        self.remembered[word] = found
-                ids.extend(found)
-        return ids
-
-    def decode(self, ids) -> str:
+        return np.frombuffer(self._raw(text), np.int32).tolist()
+
+    def decode(self, ids: list[int]) -> str:
         """The text of a sequence; ids outside the vocabulary and control pieces give nothing."""
         spelled = self.spelled
-        raw = b"".join([spelled[i] for i in ids if 0 <= i < len(spelled)])
+        try:
+            raw = b"".join(map(spelled.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+        except IndexError:
+            raw = None
+        if raw is None:
+            raw = b"".join([spelled[i] for i in ids if 0 <= i < len(spelled)])
         return raw[1:].decode(errors="replace") if raw[:1] == b" " else raw.decode(errors="replace")
 
 
@@ -153,14 +176,11 @@ def _codec(vocabulary: Vocabulary) -> Codec:
     return _codecs[vocabulary]
 
 
-def _lists(rows: list[list[int] | None]) -> pa.Array:
-    flat = array("i")
-    for row in rows:
-        flat.extend(row or ())
-    sizes = np.cumsum([0] + [len(r or ()) for r in rows]).astype(np.int32)
+def _lists(rows: list[bytes | None]) -> pa.Array:
+    flat = b"".join([r for r in rows if r])
+    sizes = np.cumsum([0] + [len(r) // 4 if r else 0 for r in rows]).astype(np.int32)
     mask = pa.array([r is None for r in rows], pa.bool_())
-    values = pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32))
-    return pa.ListArray.from_arrays(pa.array(sizes), values, mask=mask)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(flat, np.int32)), mask=mask)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +197,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str] | None =
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            ids = [None if x is None else codec.encode(x) for x in batch["text"].to_pylist()]
+            ids = [None if x is None else codec._raw(x) for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), _lists(ids)], [*kept, "ids"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.select(*kept).schema)
@@ -193,7 +213,12 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, *, name: str = "decoded") -
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            texts = [None if x is None else codec.decode([i for i in x if i is not None]) for x in batch["ids"].to_pylist()]
+            column = batch["ids"]
+            # nulls inside a list become ids that give nothing
+            flat = pc.fill_null(column.flatten(), -1).to_numpy().tolist()
+            edge = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())))
+            missing = column.is_null().to_pylist()
+            texts = [None if gone else codec.decode(flat[a:b]) for gone, a, b in zip(missing, edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, name])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema)
