@@ -10,6 +10,7 @@ tree, so the result is the whole capture history in one global order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -78,7 +79,7 @@ def _record(page_id, url, captured, payload: bytes, payload_digest: str, refers_
 
 
 def write_archives(captures: DataFrame, path: str, *, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a record for every row of ``page_id, url, html, captured``.
+    """Write a record for every row of ``page_id, url, html, captured`` to gzip archives.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, that with the
     largest ``page_id`` is the response, and rows that repeat its id are too; the
@@ -104,7 +105,7 @@ def write_archives(captures: DataFrame, path: str, *, min_bytes: int = 0, record
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], ["value"])
 
     records = joined.select("page_id", "url", "captured", "refers_to", "html").mapInArrow(build, "value string")
-    writer = records.write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file)
+    writer = records.write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip")
     writer.text(path)
 
 
@@ -187,13 +188,17 @@ def _batch(entries: list[tuple], *more: pa.Array, names: tuple[str, ...] = ()) -
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives under ``path``; the rows of an archive are a sorted run."""
+    """One row per record of all archives under ``path``; the rows of an archive are a sorted run.
+
+    Offsets and lengths count uncompressed bytes.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch["path"].to_pylist(), batch["content"]):
-                yield _batch(sorted(parse_archive(data.as_py(), name), key=_order))
+                content = gzip.decompress(data.as_py()) if name.endswith(".gz") else data.as_py()
+                yield _batch(sorted(parse_archive(content, name), key=_order))
 
     return files.mapInArrow(parse, INDEX)
 
