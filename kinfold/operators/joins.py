@@ -23,14 +23,16 @@ def hot_key_lookup(
     ``lookup`` has one row per key and ``weight``, the number of facts per key.
     Keys above ``hot_rows`` facts number at most facts / hot_rows, so they are
     broadcast and their facts never move by key: in the shuffled join they carry
-    a spread-out salt that matches nothing. All other keys join as usual.
+    a spread-out salt that matches nothing. All other keys join as usual; a key
+    without weight counts as one of those.
     ``weight`` itself is not returned.
     """
     values = [c for c in lookup.columns if c not in (key, weight)]
     held = lookup.where(F.col(key).isNotNull())
     packed = F.struct(*values)
-    hot = held.where(F.col(weight) > hot_rows).select(key, packed.alias("_hot"))
-    cold = held.where(F.col(weight) <= hot_rows).select(
+    heavy = F.coalesce(F.col(weight), F.lit(0)) > hot_rows
+    hot = held.where(heavy).select(key, packed.alias("_hot"))
+    cold = held.where(~heavy).select(
         key, F.lit(0).alias("_salt"), packed.alias("_cold")
     )
     # Facts that are hot, or that have no key at all, are spread over the tasks.

@@ -26,7 +26,7 @@ SIM_DECIMALS = 9
 _SLACK = 10.0**-SIM_DECIMALS
 _BLOCK_BYTES = 32 << 20
 _MIN_BLOCK_ROWS = 1024
-_MAX_BITS = 16
+_MAX_BITS = 30
 _QUERY_TILE = 512
 _CORPUS_TILE = 4096
 _RESCORE_BYTES = 2 << 20
@@ -92,8 +92,9 @@ def approx_similarity_join(
     threshold: float,
     *,
     k: int | None = None,
-    tables: int = 8,
-    bits: int | None = None,
+    bits: int = 4,
+    recall: float = 0.95,
+    tables: int | None = None,
     seed: int = 42,
     id_col: str = "posting_id",
     vec_col: str = "embedding",
@@ -103,30 +104,41 @@ def approx_similarity_join(
     """Pairs at or above the threshold that share a bucket in at least one hash table.
 
     Buckets are sign patterns of ``bits`` random hyperplanes, drawn ``tables``
-    times; by default there are as many bits as give about 1,000 rows a bucket.
+    times: by default as often as a pair at the threshold needs to meet with
+    chance ``recall``. Neither depends on the number of rows, so a pair found in a
+    table is found in every larger one that holds it; more bits make smaller
+    buckets and more tables.
     Inside a bucket the search is exact: a bucket of any size is cut into
     blocks that meet pairwise, as in the exact join, so a bucket holding a third
     of all rows is many bounded groups. Scores are exact; only recall is traded.
     """
     rows = vectors.where(F.col(vec_col).isNotNull())
-    n_rows, dim = _shape(rows, vec_col)
-    if bits is None:
-        bits = min(_MAX_BITS, max(1, (n_rows // 1000).bit_length()))
+    _, dim = _shape(rows, vec_col)
     if not 1 <= bits <= _MAX_BITS:
         raise ValueError(f"bits must be between 1 and {_MAX_BITS}")
+    if tables is None:
+        tables = tables_needed(threshold, bits, recall)
     per_block = block_rows or _rows_per_block(dim)
     cells = rows.withColumn("_cell", F.explode(_sign_cells(dim, tables, bits, seed)(vec_col)))
-    # At most tables * 2^bits rows, so this side may be broadcast.
     sizes = cells.groupBy("_cell").agg(
         F.ceil(F.count("*") / F.lit(per_block)).cast("int").alias("_blocks")
     )
-    placed = cells.join(F.broadcast(sizes), "_cell")
+    placed = cells.join(sizes, "_cell")
     found = _meet(placed, id_col, vec_col, carry, k, threshold).drop("rank")
     # One shuffle serves both: copies from several tables go, then ranks are given.
     distinct = found.repartition("query_id").dropDuplicates(["query_id", "neighbor_id"])
     return _ranked(distinct, k)
 
 
+def tables_needed(threshold: float, bits: int, recall: float) -> int:
+    """Tables after which unit vectors at the threshold share a bucket with chance ``recall``."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    together = agree**bits
+    if together >= recall:
+        return 1
+    return math.ceil(math.log1p(-recall) / math.log1p(-together))
+
+
 def _ranked(found: DataFrame, k: int | None) -> DataFrame:
     """Rank in the query; with ``k`` Spark prunes to k per query before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "neighbor_id")

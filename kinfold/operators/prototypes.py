@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from kinfold.functions.vectors import l2_normalize, lists_of, matrix, softmax
+from kinfold.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 _BLOCK_BYTES = 16 << 20
@@ -40,7 +41,6 @@ def classify_by_prototypes(
     prototypes: DataFrame,
     *,
     scale: float = 1.0,
-    id_col: str = "posting_id",
     vec_col: str = "embedding",
     class_col: str = "class_id",
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -48,13 +48,14 @@ def classify_by_prototypes(
     """Add ``probs``: softmax of ``scale`` times the similarity to each class, in class order.
 
     Prototypes whose measured size is below ``broadcast_bytes`` go to every task
-    as one matrix and nothing shuffles. Larger sets meet the rows block by block.
+    as one matrix and nothing shuffles. Larger sets meet the rows block by block;
+    rows are told apart by a number of their own, so repeated and null ids are fine.
     """
     n, dim = prototypes.agg(F.count("*"), F.max(F.size(vec_col))).first()
     if not n:
         raise ValueError("no prototypes")
     if n * dim * 8 > broadcast_bytes:
-        return _classify_in_blocks(rows, prototypes, n, dim, scale, id_col, vec_col, class_col)
+        return _classify_in_blocks(rows, prototypes, n, dim, scale, vec_col, class_col)
     held = prototypes.select(class_col, vec_col).orderBy(class_col).toPandas()
     wanted = np.stack(held[vec_col].to_numpy()).astype(np.float64).T
 
@@ -73,17 +74,20 @@ def pick_class(probs: str, position: int = 1) -> Column:
     return F.get(F.col(probs), F.lit(position))
 
 
-def _classify_in_blocks(rows, prototypes, n, dim, scale, id_col, vec_col, class_col) -> DataFrame:
+def _classify_in_blocks(rows, prototypes, n, dim, scale, vec_col, class_col) -> DataFrame:
+    columns = rows.columns
+    # written first, so that the numbers stay the same however often they are read
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
     per_block = max(1, _BLOCK_BYTES // (8 * dim))
     n_classes = -(-n // per_block)
     n_rows = max(1, -(-rows.count() // per_block))
-    kind = dict(rows.dtypes)[id_col]
+    kind = "bigint"
     label = dict(prototypes.dtypes)[class_col]
     asked = rows.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).alias("_id"),
+        F.col("_row").alias("_id"),
         F.lit(None).cast(label).alias("_class"),
         F.col(vec_col).alias("_vec"),
-        F.pmod(F.xxhash64(id_col), F.lit(n_rows)).alias("_rb"),
+        F.pmod(F.xxhash64("_row"), F.lit(n_rows)).alias("_rb"),
         F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)).cast("array<bigint>")).alias("_cb"),
     )
     offered = prototypes.select(
@@ -127,5 +131,5 @@ def _classify_in_blocks(rows, prototypes, n, dim, scale, id_col, vec_col, class_
     def normalise(lists: pa.Array) -> pa.Array:
         return lists_of(softmax(scale * matrix(lists)), np.asarray(lists.is_valid()), pa.float64())
 
-    answers = whole.select(F.col("_id").alias(id_col), normalise("_sims").alias("probs"))
-    return rows.join(answers, id_col, "left")
+    answers = whole.select(F.col("_id").alias("_row"), normalise("_sims").alias("probs"))
+    return rows.join(answers, "_row", "left").select(*columns, "probs")

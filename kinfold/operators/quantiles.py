@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Rank error of the first-pass sketch is one part in this many.
 _ACCURACY = 10_000
 _MARGIN = 3 / _ACCURACY
-# Up to this many rows the whole column is its own bracket.
+# By default, up to this many rows the whole column is its own bracket.
 _SMALL = 10 * _ACCURACY
 
 
@@ -23,7 +23,9 @@ def melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*entries))).where(value.isNotNull() & ~F.isnan(value))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, small_rows: int = _SMALL
+) -> DataFrame:
     """Quantiles with linear interpolation: ``column, prob, value``.
 
     Pass one sketches each column and brackets the wanted ranks; pass two counts
@@ -41,7 +43,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.max("value").alias("_max"),
         F.percentile_approx("value", [*lows, *highs], _ACCURACY).alias("_cut"),
     )
-    small = F.col("_n") <= _SMALL
+    small = F.col("_n") <= small_rows
     cut = [F.get("_cut", F.lit(i)) for i in range(2 * len(probs))]
     brackets = sketch.select(
         "column",

@@ -54,13 +54,17 @@ def _offset_rank(
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    named = {c: f"_of_{c}" for c in [*within, "_bucket"]}
     offsets = counts.select(
-        *within, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *[F.col(c).alias(n) for c, n in named.items()], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(*within, "_bucket").orderBy(*order)
+    same = F.lit(True)
+    for c, n in named.items():  # a null group is a group
+        same = same & F.col(c).eqNullSafe(F.col(n))
     return (
         bucketed.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*within, "_bucket"])
+        .join(offsets, same)
         .withColumn(name, F.col("_before") + F.col("_place"))
-        .drop("_bucket", "_before", "_place")
+        .drop("_bucket", "_before", "_place", *named.values())
     )

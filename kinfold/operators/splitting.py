@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.joins import hot_key_lookup
+from kinfold.operators.joins import HOT_ROWS, hot_key_lookup
 from kinfold.operators.quantiles import quantile_row
 from kinfold.operators.ranking import hash_order, rank_by_hash
 from kinfold.session import materialize
@@ -41,7 +41,7 @@ def largest_remainder(counts: dict[str, int], total: int) -> dict[str, int]:
     whole = sum(counts.values())
     exact = {s: n / whole * total for s, n in counts.items()}
     quota = {s: math.floor(x) for s, x in exact.items()}
-    by_remainder = sorted(counts, key=lambda s: (-(exact[s] - quota[s]), s))
+    by_remainder = sorted(counts, key=lambda s: (-(exact[s] - quota[s]), s is None, s or ""))
     for s in by_remainder[: total - sum(quota.values())]:
         quota[s] += 1
     return quota
@@ -54,7 +54,7 @@ def split_quotas(counts: dict[str, int], train_ratio: float) -> dict[str, tuple[
     test = math.ceil(held * 0.5)
     few = [s for s, c in counts.items() if c < 2]
     if few:
-        raise ValueError(f"strata with fewer than two groups: {sorted(few)}")
+        raise ValueError(f"strata with fewer than two groups: {sorted(map(str, few))}")
     if min(n - held, held - test, test) < len(counts):
         raise ValueError(f"{n} groups are too few to put every stratum in every split")
     train = largest_remainder(counts, n - held)
@@ -76,7 +76,7 @@ def stratified_group_split(
     """Add ``split``. Only the first ratio counts; the rest is halved into val and test.
 
     Groups are drawn in md5 order of seed and group. Ranks come from bucket
-    offsets, so a stratum is never sorted in one task; the driver sees one count
+    offsets, so a stratum (null is one) is never sorted in one task; the driver sees one count
     per stratum. The group table is written once, since it is read three times.
     """
     groups = materialize(groups)
@@ -108,7 +108,8 @@ def assign_rows(
     group_col: str = "label_group",
     id_col: str = "posting_id",
     count_col: str = "product_count",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give each product its group's ``split`` and ``stratum``; null where the group is unknown."""
     lookup = groups.select(group_col, "split", "stratum", F.col(count_col).alias("_weight"))
-    return hot_key_lookup(products, lookup, group_col, weight="_weight", spread_by=id_col)
+    return hot_key_lookup(products, lookup, group_col, weight="_weight", spread_by=id_col, hot_rows=hot_rows)

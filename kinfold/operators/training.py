@@ -338,8 +338,9 @@ def fit_head(
         raise ValueError("no training rows")
     head = ProjectionHead.initial(first[0], projection_dim, seed)
     optimiser = _AdamW(head, weight_decay)
-    # An epoch's sample has m rows per class; a step of few bytes is one task.
-    parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
+    # An epoch's sample has m rows per class; at least as many parts as there are cores.
+    bytes_parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
+    parts = max(bytes_parts, train.sparkSession.sparkContext.defaultParallelism)
     loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
     best, best_f1, misses, done = None, 0.0, 0, 0
     history: list[tuple[int, str, float]] = []
@@ -358,8 +359,9 @@ def fit_head(
             # One slot, one row key: repeats of a row get their own dropout.
             .withColumn("row_key", F.col("row_key").bitwiseXOR(F.col("slot").cast("long")))
             .select("embedding", "class_id", "row_key", "step")
-            # Sorted by step, so a step's scan skips the other cached batches.
-            .repartitionByRange(parts, "step")
+            # Rows of every step lie in all partitions, sorted by step, so a step runs
+            # on as many tasks as there are parts and skips the other cached batches.
+            .repartition(parts, "row_key")
             .sortWithinPartitions("step", "row_key")
             .persist()
         )

@@ -41,7 +41,7 @@ def augment(
     positive_class: int = 1,
 ) -> DataFrame:
     """Products with ``multiples_score`` and ``indonesian_score``, joined by id."""
-    visual = classify_by_prototypes(embeddings, prototypes, scale=scale, id_col=id_col)
+    visual = classify_by_prototypes(embeddings, prototypes, scale=scale)
     visual = visual.select(id_col, pick_class("probs", positive_class).alias("multiples_score"))
     spoken = language_scores(products, language_model, text_col=text_col, id_col=id_col)
     spoken = spoken.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_TOPICS = ("text", "groups", "vectors", "retrieval", "learning")
+_TOPICS = ("text", "groups", "vectors", "retrieval", "learning", "storage")
 
 
 def _merged(name: str) -> dict:

@@ -85,6 +85,27 @@ def group_sizes(spark, folder):
     return profile.value_counts(listings(spark, folder), "label_group")
 
 
+# The paths that only large tables take, forced on the given ones.
+
+
+def quantiles_bracketed(spark, folder):
+    profile_rows = rounded_profile(listings(spark, folder))
+    return _round(quantiles.exact_quantiles(profile_rows, _GROUP_COLUMNS, [0.75], small_rows=0))
+
+
+def hot_key_assignments(spark, folder):
+    """Groups of more than 25 rows take the way of hot keys."""
+    rows = listings(spark, folder)
+    return splitting.assign_rows(rows, splits(rows), hot_rows=25)
+
+
+def split_null_stratum(spark, folder):
+    """Groups of the lower stratum lose their label; a null stratum is drawn like any other."""
+    named = F.when(F.col("stratum") == "higher_variance", F.col("stratum"))
+    groups = strata(listings(spark, folder)).withColumn("stratum", named)
+    return splitting.stratified_group_split(groups).select("label_group", "stratum", "split")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +122,9 @@ QUERIES = {
         assignments,
         row_split_counts,
         group_sizes,
+        quantiles_bracketed,
+        hot_key_assignments,
+        split_null_stratum,
     )
 }
 
@@ -168,3 +192,8 @@ FROM listings l JOIN splits s USING (label_group) GROUP BY s.split""",
     "group_sizes": f"""WITH {LISTINGS} SELECT label_group, count(*) AS count
 FROM listings WHERE label_group IS NOT NULL GROUP BY label_group""",
 }
+SQL["quantiles_bracketed"] = SQL["third_quartiles"]
+SQL["hot_key_assignments"] = SQL["assignments"]
+# Of two strata the ties of the largest remainder are the only place where the name counts.
+SQL["split_null_stratum"] = f"""{_SPLITS} SELECT label_group,
+CASE WHEN stratum = 'higher_variance' THEN stratum END AS stratum, split FROM splits"""

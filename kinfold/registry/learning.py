@@ -15,11 +15,13 @@ from kinfold.registry.fragments import (
     PRODUCTS,
     assigned_products,
     listings,
+    products,
     profile_sql,
     table,
     unsigned_zero,
 )
 from kinfold.registry.vectors import PROTOTYPES
+from kinfold.session import materialize
 from kinfold.sources.tables import run_log as log_rows
 
 _MAX_N = 3
@@ -46,6 +48,17 @@ def language_scores(spark, folder):
     )
 
 
+def language_scores_shuffled(spark, folder):
+    """The path of large profiles: n-grams counted by row, then joined by n-gram."""
+    docs = table(spark, folder, "documents")
+    scores = language.language_scores(
+        docs, _model(spark, folder), text_col="text", id_col="doc_id", broadcast_grams=0
+    )
+    return scores.select("doc_id", F.posexplode("scores").alias("lang", "score")).select(
+        "doc_id", "lang", F.round("score", 5).alias("score")
+    )
+
+
 def text_embeddings(spark, folder):
     vectors = encoding.encode_texts(
         table(spark, folder, "documents"),
@@ -145,7 +158,7 @@ def variant_matrix(spark, folder):
 
 def profile_job(spark, folder):
     """Group profile of two scores: class from the vector, share of English from the title."""
-    rows = assigned_products(spark, folder).drop("multiples_score", "indonesian_score")
+    rows = materialize(products(spark, folder).drop("multiples_score", "indonesian_score"))
     docs = table(spark, folder, "documents")
     prototypes = class_prototypes(table(spark, folder, "embeddings"))
     model = language.train_language_model(docs, max_n=_MAX_N)
@@ -161,6 +174,7 @@ QUERIES = {
     for f in (
         language_profile,
         language_scores,
+        language_scores_shuffled,
         text_embeddings,
         image_embeddings,
         class_ids,
@@ -283,3 +297,4 @@ SELECT posting_id, pos, """
     y / greatest(sqrt(sum(y * y) OVER (PARTITION BY vec_id)), 1e-12) AS FLOAT) AS DOUBLE), 5) AS value
   FROM normed)""",
 }
+SQL["language_scores_shuffled"] = SQL["language_scores"]

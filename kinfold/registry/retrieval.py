@@ -39,6 +39,11 @@ def knn_topk(spark, folder):
     return _rounded(nb.knn_self_join(_vectors(spark, folder), k=_K))
 
 
+def knn_topk_blocked(spark, folder):
+    """The path of large tables: many blocks that meet pairwise, then a window over their winners."""
+    return _rounded(nb.knn_self_join(_vectors(spark, folder), k=_K, block_rows=100))
+
+
 def similarity_join(spark, folder):
     return _rounded(nb.similarity_join(_vectors(spark, folder), 0.25).drop("rank"))
 
@@ -130,6 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk,
+        knn_topk_blocked,
         similarity_join,
         knn_above_threshold,
         approx_similarity_join,
@@ -199,3 +205,4 @@ FROM neighbors WHERE sim >= {_AT}""",
     "split_grid": f"""WITH {PRODUCT_ASSIGNMENTS}, {_VAL},\n{neighbors_sql('val', _K)}, {_GRID_AT},
 {metrics_sql('val', 't.t')} {_SUMMARY}""",
 }
+SQL["knn_topk_blocked"] = SQL["knn_topk"]

@@ -60,9 +60,9 @@ def class_prototypes(spark, folder):
     )
 
 
-def _classified(spark, folder):
+def _classified(spark, folder, **options):
     rows = _vectors(spark, folder)
-    return proto.classify_by_prototypes(rows, proto.class_prototypes(rows), scale=_SCALE)
+    return proto.classify_by_prototypes(rows, proto.class_prototypes(rows), scale=_SCALE, **options)
 
 
 def prototype_scores(spark, folder):
@@ -72,6 +72,14 @@ def prototype_scores(spark, folder):
     )
 
 
+def prototype_scores_blocked(spark, folder):
+    """The path of many classes: rows and prototypes meet block by block."""
+    probs = F.posexplode("probs").alias("class_id", "prob")
+    return _classified(spark, folder, broadcast_bytes=0).select("posting_id", probs).select(
+        "posting_id", "class_id", F.round("prob", 4).alias("prob")
+    )
+
+
 def multiples_score(spark, folder):
     return _classified(spark, folder).select(
         "posting_id", F.round(proto.pick_class("probs", 1), 4).alias("multiples_score")
@@ -87,6 +95,7 @@ QUERIES = {
         self_reverse_dot,
         class_prototypes,
         prototype_scores,
+        prototype_scores_blocked,
         multiples_score,
     )
 }
@@ -141,3 +150,4 @@ SQL = {
     "multiples_score": f"""WITH {PROTOTYPES} SELECT posting_id, prob AS multiples_score
 FROM probs WHERE class_id = 1""",
 }
+SQL["prototype_scores_blocked"] = SQL["prototype_scores"]

@@ -93,20 +93,39 @@ def read_matrix(spark: SparkSession, path: str, *, rows_per_partition: int = 655
 
 
 def read_row_index(spark: SparkSession, path: str) -> DataFrame:
-    """``row, posting_id`` from a JSON map with one entry per line."""
+    """``row, posting_id`` from a JSON map, with one entry per line or all on one line.
+
+    A line that is no entry, brace or whole map is an error.
+    """
     entry = r'^\s*"(\d+)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,\s]+)\s*,?\s*$'
-    lines = spark.read.text(path).where(F.col("value").rlike(entry))
+    text = spark.read.text(path).where(~F.col("value").rlike(r"^\s*[{}]?\s*$"))
+    compact = F.from_json(F.when(F.col("value").rlike(r"^\s*\{.*\}\s*$"), F.col("value")), "map<string,string>")
+    whole = text.select(F.explode(compact).alias("row", "posting_id")).withColumn("row", F.col("row").cast("long"))
+    lines = text.where(compact.isNull()).withColumn(
+        "value",
+        F.when(F.col("value").rlike(entry), F.col("value")).otherwise(
+            F.raise_error(F.concat(F.lit("not an entry of a row index: "), F.col("value")))
+        ),
+    )
     quoted = F.regexp_extract("value", entry, 2)
     # A one-element JSON list decodes the escapes of a quoted id.
     decoded = F.get(F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>"), F.lit(0))
-    return lines.select(
+    single = lines.select(
         F.regexp_extract("value", entry, 1).cast("long").alias("row"), decoded.alias("posting_id")
     )
+    return single.unionByName(whole)
 
 
 def import_embeddings(
     spark: SparkSession, matrix_path: str, index_path: str, *, rows_per_partition: int = 65536
 ) -> DataFrame:
-    """``posting_id, embedding`` from a matrix file and its row index."""
+    """``posting_id, embedding`` from a matrix file and its row index.
+
+    A vector without an id, or an id without a vector, is an error.
+    """
     vectors = read_matrix(spark, matrix_path, rows_per_partition=rows_per_partition)
-    return vectors.join(read_row_index(spark, index_path), "row").select("posting_id", "embedding")
+    both = vectors.withColumn("_v", F.lit(1)).join(read_row_index(spark, index_path).withColumn("_i", F.lit(1)), "row", "full")
+    complete = F.col("_v").isNotNull() & F.col("_i").isNotNull()
+    problem = F.concat(F.lit("row without a vector or an id: "), F.col("row").cast("string"))
+    checked = F.when(complete, F.col("posting_id")).otherwise(F.raise_error(problem))
+    return both.select(checked.alias("posting_id"), "embedding")

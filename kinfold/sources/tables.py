@@ -49,17 +49,19 @@ RUN_LOG_SCHEMA = T.StructType(
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA, *, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA, *, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header and quoted text; columns are matched by name and none is inferred.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per
+    file; switch it off only for files known to have none. A malformed row is an error.
     """
     read = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
     )
     # Without a schema Spark reads just the header line and types nothing.
     names = read.csv(path).columns
@@ -76,6 +78,10 @@ def write_json(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None
     df.write.mode(mode).json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_embeddings(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Embedding table ``posting_id, embedding`` as Parquet; the id travels with its vector."""
     df.select("posting_id", "embedding").write.mode(mode).parquet(path)

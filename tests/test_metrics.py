@@ -16,26 +16,32 @@ def frame(spark, ids, groups, lists, strata=None):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-CASES = [
-    ("abc", [1, 1, 2], ["ab", "ba", "c"], [1, 5], {"precision": 1, "recall": 1, "f1": 1, "recall-1": 0.5, "recall-5": 1}),
-    ("ab", [1, 2], ["b", "a"], [1], {"precision": 0, "recall": 0, "f1": 0, "recall-1": 0}),
-    ("abcd", [1, 1, 1, 2], ["abd", "ba", "ca", "d"], [2], {"precision": 2 / 3, "recall": 2 / 3, "recall-2": 2 / 3}),
-    ("a", [1], [""], [5], {"precision": 0, "recall": 0, "f1": 0, "recall-5": 0}),
-    ("ab", [1, 1], ["a", "b"], [5, 10], {"recall-5": 0.5, "recall-10": 0.5}),
-    ("abc", [1, 1, 1], ["abc", "bac", "cab"], [1, 2, 3], {"recall-1": 1 / 3, "recall-2": 2 / 3, "recall-3": 1}),
-    ("ab", [1, 1], ["axx", "aa"], [1], {"precision": 1 / 3, "recall": 0.5}),
-]
-
-
-@pytest.mark.parametrize("ids,groups,lists,ks,want", CASES)
-def test_per_row_cases(spark, ids, groups, lists, ks, want):
-    df = frame(spark, list(ids), groups, [list(x) for x in lists])
-    rows = mx.compute_per_row_metrics(df, ks)
+# Eight listings in three groups; every list is given as ids and scored by hand-written rules below.
+GROUP = {"k": 10, "l": 10, "m": 10, "n": 20, "o": 20, "p": 30, "q": 30, "r": 30}
+LISTS = {
+    "k": ["k", "m", "n", "l"], "l": ["l"], "m": ["o", "n"], "n": ["n", "o", "k"],
+    "o": [], "p": ["q", "q", "r"], "q": ["missing", "q"], "r": ["r", "p", "q"],
+}
+
+
+def expected(posting_id: str, ks: list[int]) -> dict[str, float]:
+    found = [GROUP.get(i) == GROUP[posting_id] for i in LISTS[posting_id]]
+    size = sum(g == GROUP[posting_id] for g in GROUP.values())
+    precision = sum(found) / len(found) if found else 0.0
+    recall = sum(found) / size
+    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+    return {"precision": precision, "recall": recall, "f1": f1, **{f"recall-{k}": sum(found[:k]) / size for k in ks}}
+
+
+@pytest.mark.parametrize("ks", [[1], [2, 3, 50]])
+def test_per_row_values(spark, ks):
+    rows = mx.compute_per_row_metrics(frame(spark, list(GROUP), list(GROUP.values()), list(LISTS.values())), ks)
     assert rows.columns == ["posting_id", "label_group", "stratum", "precision", "recall", "f1", *[f"recall-{k}" for k in ks]]
     got = {r["posting_id"]: r for r in rows.collect()}
-    assert len(got) == len(ids)
-    for name, value in want.items():
-        assert got["a"][name] == pytest.approx(value)
+    assert got.keys() == GROUP.keys()
+    for posting_id in GROUP:
+        for name, value in expected(posting_id, ks).items():
+            assert got[posting_id][name] == pytest.approx(value), (posting_id, name)
 
 
 def test_hot_ids_give_the_same_metrics(spark, monkeypatch):
@@ -72,17 +78,17 @@ METRICS = "posting_id string, label_group long, stratum string, precision double
 
 
 def test_means(spark):
-    df = spark.createDataFrame([("a", 1, "low", 1.0, 1.0, 1.0, 1.0), ("b", 1, "low", 0.5, 0.5, 0.5, 0.5)], METRICS)
-    assert list(mx.summarize_metrics(df).first()) == [0.75] * 4
+    df = spark.createDataFrame([("a", 1, "s", 0.2, 0.4, 0.6, 0.8), ("b", 1, "s", 0.4, 0.8, 0.0, 0.2), ("c", 2, "t", 0.6, 0.6, 0.3, 0.5)], METRICS)
+    assert list(mx.summarize_metrics(df).first()) == pytest.approx([0.4, 0.6, 0.3, 0.5])
     renamed = df.withColumnRenamed("label_group", "family")
     assert len(mx.summarize_metrics(renamed, group_col="family").columns) == 4
 
 
 def test_means_by_stratum(spark):
-    values = [("a", "low", 1.0), ("b", "low", 0.5), ("c", "high", 0.0), ("d", "high", 1.0), ("e", None, 1.0)]
+    values = [("a", "s", 0.1), ("b", "s", 0.3), ("c", "t", 0.4), ("d", "s", 0.8), ("e", None, 1.0)]
     df = spark.createDataFrame([(i, 1, s, v, v, v, v) for i, s, v in values], METRICS)
     got = {r["stratum"]: r["precision"] for r in mx.summarize_by_stratum(df).collect()}
-    assert got == {"low": 0.75, "high": 0.5}
+    assert got == pytest.approx({"s": 0.4, "t": 0.4})
 
 
 def test_evaluate_job(spark):

@@ -122,3 +122,18 @@ def test_approximate_pairs_are_true_and_mostly_found(spark):
     assert len(got) >= 0.9 * len(exact)
     top = nb.approx_similarity_join(df, 0.8, k=5, bits=3, tables=6).collect()
     assert max(r["rank"] for r in top) == 5
+
+
+def test_recall_does_not_depend_on_the_number_of_rows(spark):
+    """The pairs found in a table are found again in a larger one that holds it."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(900, 16))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    data = [(i, v.tolist()) for i, v in enumerate(rows)]
+    small = spark.createDataFrame(data[:300], "posting_id long, embedding array<double>")
+    large = spark.createDataFrame(data, "posting_id long, embedding array<double>")
+    pairs = lambda df: {(r["query_id"], r["neighbor_id"]) for r in nb.approx_similarity_join(df, 0.6).collect()}
+    few, many = pairs(small), pairs(large)
+    assert few <= many
+    exact = {(i, j) for i, j in zip(*np.nonzero(rows @ rows.T >= 0.6))}
+    assert len(many) / len(exact) >= 0.95 and many <= exact

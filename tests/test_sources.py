@@ -119,3 +119,26 @@ def test_materialize_and_spread(spark):
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     big = spark.range(0, 10**10, 1, 3)
     assert spread(big) is big
+
+
+def test_line_breaks_in_quotes_and_malformed_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('posting_id,image,title,label_group\n1,i,"two\nlines, ""quoted""",5\n2,j,plain,6\n')
+    rows = sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "a.csv")).collect()))
+    assert rows == [("1", "i", 'two\nlines, "quoted"', 5), ("2", "j", "plain", 6)]
+    (tmp_path / "b.csv").write_text("posting_id,image,title,label_group\n1,i,t,not a number\n")
+    with pytest.raises(Exception):
+        tables.read_csv(spark, str(tmp_path / "b.csv")).collect()
+
+
+def test_compact_index_and_unmatched_rows(spark, tmp_path):
+    whole = tmp_path / "whole.json"
+    whole.write_text(json.dumps({"0": "a", "1": 'b "q"', "2": "c"}))
+    assert {(r["row"], r["posting_id"]) for r in matrix.read_row_index(spark, str(whole)).collect()} == {(0, "a"), (1, 'b "q"'), (2, "c")}
+    values = np.ones((2, 3), "<f4")
+    head = json.dumps({"embeddings": {"dtype": "F32", "shape": [2, 3], "data_offsets": [0, values.nbytes]}}).encode()
+    (tmp_path / "m.bin").write_bytes(struct.pack("<Q", len(head)) + head + values.tobytes())
+    with pytest.raises(Exception, match="without a vector or an id"):
+        matrix.import_embeddings(spark, str(tmp_path / "m.bin"), str(whole)).collect()
+    (tmp_path / "bad.json").write_text('{\n"0": "a",\nnonsense\n}')
+    with pytest.raises(Exception, match="not an entry"):
+        matrix.read_row_index(spark, str(tmp_path / "bad.json")).collect()

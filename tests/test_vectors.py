@@ -98,3 +98,12 @@ def test_class_prototypes_are_unit_means(spark):
     for r in proto.class_prototypes(df).collect():
         mean = x[labels == r["class_id"]].astype(float).sum(axis=0)
         assert r["embedding"] == pytest.approx(mean / np.linalg.norm(mean), abs=1e-6)
+
+
+def test_repeated_and_null_ids_are_classified_alike_on_both_paths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 1.0]), (2, None)], "posting_id long, embedding array<double>")
+    classes = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "class_id int, embedding array<double>")
+    one = proto.classify_by_prototypes(rows, classes).collect()
+    two = proto.classify_by_prototypes(rows, classes, broadcast_bytes=0).collect()
+    plain = lambda found: sorted((str(r["posting_id"]), str(r["embedding"]), [round(p, 9) for p in r["probs"] or []]) for r in found)
+    assert plain(one) == plain(two) and len(two) == 4
