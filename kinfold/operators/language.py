@@ -13,6 +13,7 @@ from kinfold.functions.text import as_text
 from kinfold.session import materialize, spread
 
 BROADCAST_GRAMS = 1_000_000
+_BROADCAST_BYTES = 64 << 20  # a row is about 64 bytes and 8 for each language
 _MAX_LANGUAGES = 200
 
 
@@ -45,6 +46,11 @@ def letter_ngrams(text: Column, max_n: int) -> Column:
     return F.concat(*runs)
 
 
+def letter_words(text: Column) -> Column:
+    """Maximal runs of letters of the lower-cased text; every n-gram lies inside one."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
 def train_language_model(
     labelled: DataFrame,
     *,
@@ -55,8 +61,8 @@ def train_language_model(
 ) -> LanguageModel:
     """Count letter n-grams per language and smooth by adding one.
 
-    One shuffle on the n-gram with map-side sums; the driver sees ``max_n`` rows
-    of totals. The counts are written once, for the totals and every scoring.
+    Words are counted first, so n-grams are cut once per distinct word; both shuffles
+    have map-side sums. The driver sees ``max_n`` rows of totals. The counts are written once, for the totals and every scoring.
     """
     if languages is None:
         found = labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct()
@@ -66,9 +72,12 @@ def train_language_model(
     languages = tuple(languages)
     known = labelled.where(F.col(lang_col).isin(list(languages)))
     texts = spread(known.select(lang_col, as_text(F.col(text_col)).alias("_text")))
-    grams = texts.select(lang_col, F.explode(letter_ngrams(F.col("_text"), max_n)).alias("gram"))
-    seen = [F.count(F.when(F.col(lang_col) == lang, 1)) for lang in languages]
-    counts = materialize(grams.groupBy("gram").agg(F.array(*seen).alias("seen")))
+    words = texts.select(lang_col, F.explode(letter_words(F.col("_text"))).alias("word"))
+    seen = [F.count(F.when(F.col(lang_col) == lang, 1)).alias(f"_c{i}") for i, lang in enumerate(languages)]
+    by_word = words.groupBy("word").agg(*seen)
+    each = [F.col(f"_c{i}") for i in range(len(languages))]
+    grams = by_word.select(*each, F.explode(letter_ngrams(F.col("word"), max_n)).alias("gram"))
+    counts = materialize(grams.groupBy("gram").agg(F.array(*[F.sum(c) for c in each]).alias("seen")))
     length = F.char_length("gram")
     per_length = counts.groupBy(length.alias("n")).agg(
         F.count("*").alias("grams"),
@@ -100,22 +109,29 @@ def language_scores(
 ) -> DataFrame:
     """Per id the share of each language: ``id, scores array<double>`` summing to 1.
 
-    A profile of at most ``broadcast_grams`` rows is broadcast and the n-grams of
-    a row never move; a larger one is joined by n-gram after each row's repeats
-    are counted. A text without letters scores evenly.
+    Every distinct word is scored once, then the words of the rows meet their
+    scores. A profile or word table of at most ``broadcast_grams`` rows and
+    64 MB is broadcast, and the words of a row never move; a larger one is joined after
+    each row's repeats are counted, and the join may split words that most rows
+    hold. A text without letters scores evenly.
     """
     texts = spread(rows.select(id_col, as_text(F.col(text_col)).alias("_text")))
-    grams = texts.select(id_col, F.explode(letter_ngrams(F.col("_text"), model.max_n)).alias("gram"))
-    if model.grams <= broadcast_grams:
-        weighed = grams.join(F.broadcast(model.profile), "gram", "left").withColumn("_n", F.lit(1))
-    else:
-        counted = grams.groupBy(id_col, "gram").agg(F.count("*").alias("_n"))
-        weighed = counted.join(model.profile, "gram", "left")
+    words = texts.select(id_col, F.explode(letter_words(F.col("_text"))).alias("word"))
+    distinct = words.select("word").distinct()
+    grams = distinct.select("word", F.explode(letter_ngrams(F.col("word"), model.max_n)).alias("gram"))
+    broadcast_grams = min(broadcast_grams, _BROADCAST_BYTES // (64 + 8 * len(model.languages)))
+    profile = F.broadcast(model.profile) if model.grams <= broadcast_grams else model.profile
     unseen = F.array(*[F.array(*[F.lit(x) for x in row]) for row in model.unseen])
     logp = F.coalesce("logp", F.get(unseen, F.char_length("gram") - 1))
-    sums = weighed.groupBy(id_col).agg(
-        *[F.sum(F.get(logp, F.lit(i)) * F.col("_n")).alias(f"_s{i}") for i in range(len(model.languages))]
+    each = range(len(model.languages))
+    word_scores = materialize(
+        grams.join(profile, "gram", "left").groupBy("word").agg(*[F.sum(F.get(logp, F.lit(i))).alias(f"_w{i}") for i in each])
     )
+    if word_scores.count() <= broadcast_grams:
+        weighed = words.join(F.broadcast(word_scores), "word").withColumn("_n", F.lit(1))
+    else:
+        weighed = words.groupBy(id_col, "word").agg(F.count("*").alias("_n")).join(word_scores, "word")
+    sums = weighed.groupBy(id_col).agg(*[F.sum(F.col(f"_w{i}") * F.col("_n")).alias(f"_s{i}") for i in each])
     scores = [F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(model.languages))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     powers = F.array(*[F.exp(s - top) for s in scores])

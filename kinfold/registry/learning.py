@@ -24,7 +24,7 @@ from kinfold.registry.vectors import PROTOTYPES
 from kinfold.session import materialize
 from kinfold.sources.tables import run_log as log_rows
 
-_MAX_N = 3
+_MAX_N = 5
 _DIM = 32
 _IN = 64
 
