@@ -94,6 +94,8 @@ def compute_per_row_metrics(
     groups = results.select(
         F.col(id_col).cast("string").alias("_retrieved"), F.col(group_col).alias("_found")
     )
+    # an id that occurs twice has one group, the largest
+    groups = groups.groupBy("_retrieved").agg(F.max("_found").alias("_found"))
     lookup = groups.join(in_degree, "_retrieved")
     looked = hot_key_lookup(spread, lookup, "_retrieved", weight="_weight", spread_by="query_id")
     hits = looked.withColumn("hit", F.coalesce(F.col("_found") == F.col("_group"), F.lit(False)))

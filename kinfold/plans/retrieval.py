@@ -25,9 +25,16 @@ def split_vectors(
     id_col: str = "posting_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
-    """Rows of one split with their fused, optionally projected, vector."""
-    fused = combine_modalities(embeddings, fusion_type, id_col=id_col, vec_col=vec_col)
+    """Rows of one split with their fused, optionally projected, vector.
+
+    Several modalities are cut down to the split before they are fused, so only its
+    rows are shuffled, and must agree on its ids.
+    """
     base = select_split(assignments, split)
+    if len(embeddings) > 1:
+        ids = base.select(id_col).distinct()
+        embeddings = [e.join(ids, id_col, "left_semi") for e in embeddings]
+    fused = combine_modalities(embeddings, fusion_type, id_col=id_col, vec_col=vec_col)
     rows = attach_embeddings(
         base.drop(vec_col) if vec_col in base.columns else base, fused, id_col=id_col, vec_col=vec_col
     )
@@ -86,7 +93,8 @@ def retrieve(
     rows = split_vectors(
         assignments, embeddings, fusion_type=fusion_type, split=split, head=head, id_col=id_col
     )
-    found = neighbors_of(rows, k=k, threshold=threshold, id_col=id_col, group_col=group_col)
+    # sized and searched from one written table
+    found = neighbors_of(materialize(rows), k=k, threshold=threshold, id_col=id_col, group_col=group_col)
     return retrieval_lists(
         select_split(assignments, split),
         found,

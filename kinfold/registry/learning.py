@@ -150,7 +150,7 @@ def projection_fit(spark, folder):
 def variant_matrix(spark, folder):
     assigned = assigned_products(spark, folder)
     images = assigned.select("posting_id", "embedding")
-    titles = encoding.encode_texts(assigned, lambda: encoding.HashedWords(_IN))
+    titles = materialize(encoding.encode_texts(assigned, lambda: encoding.HashedWords(_IN)))
     return variants.run_variants(
         assigned.drop("embedding"), {"images": images, "titles": titles}
     )

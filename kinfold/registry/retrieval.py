@@ -74,6 +74,16 @@ def retrieval_lists(spark, folder):
     )
 
 
+def retrieval_lists_fused(spark, folder):
+    """Two modalities by concatenation; a vector and its reverse agree on every similarity."""
+    assigned = assigned_products(spark, folder)
+    vectors = _vectors(spark, folder).select("posting_id", "embedding")
+    reverse = vectors.withColumn("embedding", F.reverse("embedding"))
+    return job.retrieve(
+        assigned.drop("embedding"), [vectors, reverse], fusion_type="concat", split="test", k=_K, threshold=_AT
+    )
+
+
 def _with_neighbors(spark, folder, threshold=_AT):
     """All products under their label, in two strata, and their neighbours."""
     rows = _vectors(spark, folder).withColumn(
@@ -141,6 +151,7 @@ QUERIES = {
         approx_similarity_join,
         split_vectors,
         retrieval_lists,
+        retrieval_lists_fused,
         running_matches,
         retrieval_metrics,
         metrics_overall,
@@ -206,3 +217,4 @@ FROM neighbors WHERE sim >= {_AT}""",
 {metrics_sql('val', 't.t')} {_SUMMARY}""",
 }
 SQL["knn_topk_blocked"] = SQL["knn_topk"]
+SQL["retrieval_lists_fused"] = SQL["retrieval_lists"]
