@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if folder is None and not context.master.startswith("local["):
+        if folder is None and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinfold-"))
     return context.getCheckpointDir()

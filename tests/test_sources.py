@@ -142,3 +142,17 @@ def test_compact_index_and_unmatched_rows(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{\n"0": "a",\nnonsense\n}')
     with pytest.raises(Exception, match="not an entry"):
         matrix.read_row_index(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        held = {}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: held.get("d"), setCheckpointDir=lambda d: held.update(d=d))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("spark://host:7077"))
+    assert ensure_checkpoint_dir(session("yarn", "/shared")) == "/shared"
+    assert ensure_checkpoint_dir(session("local")) and ensure_checkpoint_dir(session("local[4]"))
