@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-A rule rejects a text whose statistic passes a cutoff. Labelled holdouts decide
-how far each cutoff may go: for every stratum and rule, the exact (Clopper-Pearson)
-upper bound on the share of good texts the rule rejects must stay under the limit,
-at a level divided by all tests made. Among the cutoffs that hold, the one that
-catches most bad texts at least cost is taken; a rule that catches no more than
-it costs is not used.
+A rule rejects a text whose statistic passes a cutoff, and a text goes when any rule
+rejects it. What is tested is this combined verdict: in every stratum the exact
+(Clopper-Pearson) upper bound on the share of good texts it rejects must stay under
+the whole limit. The bad texts and a third of the good ones, drawn by a hash of the
+id, propose a path of ever stricter verdicts, the rule that catches most bad texts for
+the good ones it costs first. The path does not depend on the other good texts, so
+they test it verdict by verdict from the mildest on, each at the stratum's whole level,
+up to the first that does not hold. Of those that hold, the one that catches most bad
+texts is taken.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW_WORDS = 8
 CUTOFFS = 40  # equal steps of each statistic's range
 
-# Rules: a statistic in [0, 1], the larger the worse.
+# Rules: a statistic in [0, 1], the larger the worse; Spark may compute it for texts without words too.
 RULES = {
-    "symbols": "least(1.0, n_symbols / word_chars)",
+    "symbols": "least(1.0, n_symbols / greatest(1, word_chars))",
     "dup_lines": "least(1.0, n_dup_lines / (1.0 + n_lines))",
-    "repeats": "n_repeat_words / n_words",
-    "long_words": "least(1.0, greatest(0.0, word_chars / n_words - 5) / 20)",
-    "short_words": "least(1.0, greatest(0.0, 5 - word_chars / n_words) / 5)",
+    "repeats": "n_repeat_words / greatest(1, n_words)",
+    "long_words": "least(1.0, greatest(0.0, word_chars / greatest(1, n_words) - 5) / 20)",
+    "short_words": "least(1.0, greatest(0.0, 5 - word_chars / greatest(1, n_words)) / 5)",
 }
 
 _SYMBOL = np.zeros(256, bool)
@@ -137,6 +140,51 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, limit: float, level: float,
     return best
 
 
+def propose(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """A path of ever stricter verdicts: the rule and its next cutoff, one step at a time.
+
+    ``steps`` holds a row of steps, one per rule, for each kind of text, ``good`` and
+    ``bad`` the labelled texts of that kind. The next move takes one rule to the cutoff
+    with most new bad texts per new good one; of equal moves the strictest, so the
+    path goes on up to the next good text. It ends where no move catches a bad text
+    or the verdict rejects more than the limit here.
+    """
+    cutoffs, path = [CUTOFFS + 1] * steps.shape[1], []
+    left, allowed, spent = np.ones(len(steps), bool), limit * good.sum(), 0
+    while spent <= allowed:
+        best = (0.0, 0, 0)
+        for rule, cutoff in enumerate(cutoffs):
+            at = steps[left, rule]
+            new_good = np.cumsum(np.bincount(at, good[left], CUTOFFS + 1)[::-1])[::-1]
+            new_bad = np.cumsum(np.bincount(at, bad[left], CUTOFFS + 1)[::-1])[::-1]
+            worth = (new_bad / (new_good + 0.5))[1:cutoff]
+            if len(worth) and worth.max() > best[0]:
+                best = (float(worth.max()), rule, 1 + int(worth.argmax()))
+        if not best[0]:
+            break
+        _, rule, cutoff = best
+        path += [(rule, k) for k in range(cutoffs[rule] - 1, cutoff - 1, -1)]
+        cutoffs[rule] = cutoff
+        gone = left & (steps[:, rule] >= cutoff)
+        spent, left = spent + good[gone].sum(), left & ~gone
+    return path
+
+
+def certify(
+    path: list[tuple[int, int]], steps: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float, level: float
+) -> dict[int, int]:
+    """The cutoff of every rule used by the best verdict of the path that holds on these texts."""
+    size = len(path)
+    first = np.full(len(steps), size)  # place of the first verdict that rejects the text
+    for place in range(size - 1, -1, -1):
+        rule, cutoff = path[place]
+        first[steps[:, rule] >= cutoff] = place
+    # the mildest verdict is the last step, what no verdict rejects is step 0
+    by_step = [np.bincount(size - first, x, size + 1).astype(np.int64) for x in (good, bad)]
+    taken = choose_cutoff(*by_step, limit, level, 0.0)
+    return {} if taken is None else dict(path[: size - taken + 1])
+
+
 def thresholds(
     counts: DataFrame,
     labels: DataFrame,
@@ -144,36 +192,35 @@ def thresholds(
     stratum: str = "lang",
     limit: float = 0.05,
     level: float = 0.05,
-    price: float = 20.0,
 ) -> DataFrame:
     """``stratum, rule, cutoff`` for every rule used in a stratum.
 
-    The limit is shared by the rules and the level divided by strata, rules and
-    cutoffs (Bonferroni), so in all strata at once good texts are rejected at most
-    at rate ``limit``, except with chance ``level``. Labels without a document, null
-    labels and null keys are left out; a key with several labels takes the smallest.
+    The rules of a stratum share one test of the whole limit and the level is divided
+    by strata, so in all strata at once good texts are rejected at most at rate
+    ``limit``, except with chance ``level``. Labels without a document, null labels
+    and null keys are left out; a key with several labels takes the smallest. A
+    stratum is one group of counts by distinct row of steps, not of texts.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # texts the base rules reject anyway are no evidence on these
     held = counts.where("not base_failed").join(known, "doc_id")
-    steps = [F.struct(F.lit(r).alias("rule"), F.least(F.floor(F.expr(e) * CUTOFFS), F.lit(CUTOFFS)).cast("int").alias("step")) for r, e in RULES.items()]
-    tall = held.select(F.col(stratum).alias("stratum"), "quality", F.explode(F.array(*steps)).alias("s"))
-    table = tall.groupBy("stratum", "s.rule", "s.step").agg(
-        F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"),
-        F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad"),
-    )
+    steps = [F.least(F.floor(F.expr(e) * CUTOFFS), F.lit(CUTOFFS)).cast("int").alias(r) for r, e in RULES.items()]
+    kind_of = F.when(F.col("quality") <= 0, "bad").when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, "proposing").otherwise("testing")
+    table = held.select(F.col(stratum).alias("stratum"), kind_of.alias("kind"), *steps)
+    kinds = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in ("proposing", "testing", "bad")]
+    table = table.groupBy("stratum", *RULES).agg(*kinds)
     strata = max(1, held.select(stratum).distinct().count())
-    each = level / (strata * len(RULES) * CUTOFFS)
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
-        good, bad = np.zeros(CUTOFFS + 1, np.int64), np.zeros(CUTOFFS + 1, np.int64)
-        good[group["step"]], bad[group["step"]] = group["good"], group["bad"]
-        cutoff = choose_cutoff(good, bad, limit / len(RULES), each, price)
-        chosen = group.head(0 if cutoff is None else 1)[["stratum", "rule"]]
-        return chosen.assign(cutoff=cutoff)
+        at, bad = group[[*RULES]].to_numpy(np.int64), group["bad"].to_numpy()
+        path = propose(at, group["proposing"].to_numpy(), bad, limit)
+        chosen = certify(path, at, group["testing"].to_numpy(), bad, limit, level / strata)
+        names = list(RULES)
+        rows = {"stratum": [group["stratum"].iloc[0]] * len(chosen), "rule": [names[r] for r in chosen], "cutoff": list(chosen.values())}
+        return pd.DataFrame(rows, dtype=object)
 
     kind = dict(counts.dtypes)[stratum]
-    return table.groupBy("stratum", "rule").applyInPandas(decide, f"stratum {kind}, rule string, cutoff int")
+    return table.groupBy("stratum").applyInPandas(decide, f"stratum {kind}, rule string, cutoff int")
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame, *, stratum: str = "lang") -> DataFrame:

@@ -278,6 +278,40 @@ def test_quality_keeps_where_labels_cannot_tell(docs, spark):
     assert all(r.kept == (not r.base_failed) for r in judged) and len(judged) == docs.count()
 
 
+@pytest.mark.parametrize("labelled", [300, 500])
+def test_quality_finds_separable_bad_texts_of_small_strata(spark, labelled):
+    """A few hundred labels decide; together the rules reject no more good texts than the limit."""
+    rng = random.Random(labelled)
+    rows, labels = [], []
+    for i in range(8 * labelled):
+        quality_of = int(i % 10 > 0)
+        words = [rng.choice(["alpha", "beta", "of", "gamma", "deltas", "to"]) + str(rng.randrange(99)) for _ in range(60)]
+        if not quality_of:
+            words += ["#$%|#$%|"] * rng.randint(15, 30)
+        rows.append((i, " ".join(words), ("aa", "bb", "cc", None)[i // 10 % 4]))
+        if i < 4 * labelled:
+            labels.append((i, quality_of, 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = quality.base_rules(quality.text_counts(table, ["doc_id", "lang"])).cache()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    judged = quality.judge(counts, quality.thresholds(counts, marks)).where("not base_failed").collect()
+    for lang in ("aa", "bb", "cc", None):
+        mine = [r for r in judged if r.lang == lang]
+        good, bad = [r for r in mine if r.doc_id % 10], [r for r in mine if r.doc_id % 10 == 0]
+        assert len(bad) > 30 and sum(r.kept for r in bad) <= 0.05 * len(bad)
+        assert sum(not r.kept for r in good) <= 0.05 * len(good)
+
+
+def test_verdicts_share_one_limit():
+    """Two rules that each hold alone are not both taken when together they pass the limit."""
+    steps = np.array([[0, 0], [9, 0], [0, 9]])
+    good, bad = np.array([960, 20, 20]), np.array([0, 60, 50])
+    path = quality.propose(steps, good, bad, 0.05)
+    assert {r for r, _ in path} == {0, 1}
+    assert set(quality.certify(path, steps, good, bad, 0.05, 0.01)) == {0}
+    assert set(quality.certify(path, steps, good * [1, 0, 0], bad, 0.05, 0.01)) == {0, 1}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return pieces.Codec(pieces.read_vocabulary())
