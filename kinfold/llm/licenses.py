@@ -1,9 +1,12 @@
 """Licence scan: a trained paragraph classifier confirmed by template comparison.
 
-A paragraph is a line of text. Its words, word pairs and triples feed a sparse
+What is judged are single lines and windows of paragraphs. A paragraph is a run of
+lines with words, comment marks passed over; its windows are the passages of about a
+template's length that hold most of the template's word pairs, across line breaks and
+inside long lines. The words, word pairs and triples of a line or window feed a sparse
 multinomial logistic regression over licence families and an unknown class. The
 probabilities are calibrated on held-out paragraphs by one temperature. A family
-is reported where its probability reaches the threshold and the paragraph also
+is reported where its probability reaches the threshold and the line or window also
 holds most of the word pairs of one of the family's templates.
 """
 
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -198,6 +202,65 @@ def fit(*, examples: int = EXAMPLES, steps: int = 150, seed: int = 11) -> Licenc
     return LicenceModel(names, weights, b.astype(np.float32), temperature, pairs)
 
 
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1] * np.uint64(31) + words[1:])
+
+
+def _template_hashes(pairs: frozenset) -> np.ndarray:
+    data = np.frombuffer(b"\n".join(a + b" " + b for a, b in sorted(pairs)) + b"\n", np.uint8)
+    return _pair_hashes(Hasher(data).spans(*word_spans(data, _GAPS)))[::2]
+
+
+def _windows(
+    words: np.ndarray, whole: np.ndarray, templates: list[tuple[int, np.ndarray]], similarity: float
+) -> Iterator[tuple[int, int, int, float]]:
+    """``family, first word, last word, similarity`` of passages that hold a template's word pairs.
+
+    ``whole`` marks the pairs of neighbours in one paragraph. Windows of one template
+    do not overlap, the most similar and then the shortest come first.
+    """
+    if len(words) < 2:
+        return
+    pair = _pair_hashes(words)
+    hits = np.flatnonzero(np.isin(pair, np.concatenate([h for _, h in templates])) & whole)
+    paragraph = np.cumsum(~whole)[hits]
+    value = pair[hits]
+    for family, hashes in templates:
+        mine = np.isin(value, hashes)
+        at, seen = hits[mine], value[mine].tolist()
+        size = len(hashes)
+        room, need = size + max(4, size // 2), similarity * size
+        # paragraphs lie further apart than a window is long
+        place = at + paragraph[mine] * (room + 1)
+        after = np.searchsorted(place, place + room)
+        found = []
+        for i in np.flatnonzero(after - np.arange(len(at)) >= need).tolist():
+            distinct, last = set(), i
+            for j in range(i, int(after[i])):
+                if seen[j] not in distinct:
+                    distinct.add(seen[j])
+                    last = j
+            if len(distinct) >= need:
+                found.append((-len(distinct) / size, int(at[last] - at[i]), int(at[i]), int(at[last]) + 1))
+        taken: set[int] = set()
+        for near, _, a, b in sorted(found):
+            if taken.isdisjoint(range(a, b + 1)):
+                taken.update(range(a, b + 1))
+                yield family, a, b, -near
+
+
+def _apart(lone: list[tuple], wide: list[tuple]) -> list[tuple]:
+    """Lines and windows in text order, of overlapping ones of a family the most similar."""
+    ranked = sorted([(-x[4], 0, x[2] - x[1], x) for x in lone] + [(-x[4], 1, x[2] - x[1], x) for x in wide])
+    kept: dict[int, list[tuple]] = {}
+    for *_, x in ranked:
+        mine = kept.setdefault(x[0], [])
+        at = bisect_left(mine, x[1], key=lambda y: y[1])
+        if (at == 0 or mine[at - 1][2] <= x[1]) and (at == len(mine) or x[2] <= mine[at][1]):
+            mine.insert(at, x)
+    return sorted((x for mine in kept.values() for x in mine), key=lambda x: x[1:3])
+
+
 LICENCES = "array<struct<family:string,start:int,end:int,probability:double,similarity:double>>"
 _KIND = pa.list_(pa.struct([
     ("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("similarity", pa.float64()),
@@ -209,8 +272,9 @@ def scan(
 ) -> DataFrame:
     """Add ``licences`` to every row: the confirmed notices of the whole text, in text order.
 
-    ``start`` and ``end`` are bytes, from the first to the last word of the
-    paragraph; ``similarity`` is the share of a template's word pairs found in it.
+    ``start`` and ``end`` are bytes, from the first to the last word of the line or
+    window; of those that overlap the most similar one of a family stays, a line
+    before a window. ``similarity`` is the share of a template's word pairs found in it.
     A null or empty text has none. Columns in ``keep`` (all by default) and repeated
     rows are kept; a ``licences`` column is replaced.
     """
@@ -222,6 +286,14 @@ def scan(
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         telling = (m.weights != 0).any(1)
+        templates = [(k, _template_hashes(t)) for k, family in enumerate(m.pairs) for t in family]
+
+        def judge(passage: bytes) -> np.ndarray:
+            features = _features(np.frombuffer(passage + b"\n", np.uint8))[0]
+            score = (m.weights[features[telling[features]]].sum(0) + m.bias) / m.temperature
+            p = np.exp(score - score.max())
+            return p / p.sum()
+
         # a paragraph without a known n-gram has the biases alone
         for batch in batches:
             for block in blocks(batch["text"]):
@@ -238,19 +310,30 @@ def scan(
                 p = p / p.sum(1, keepdims=True) if len(lines) else p
                 best = p.argmax(1) if len(lines) else np.zeros(0, np.int64)
                 word_line = np.cumsum(block.bytes == 10)[starts] if len(starts) else starts
-                found: list[list[dict]] = [[] for _ in range(len(block))]
+                # family, start, end, probability, similarity of lines, then of windows
+                lone, wide = [], []
                 for k in np.flatnonzero((best < len(m.families) - 1) & (p[np.arange(len(best)), best] >= threshold)):
                     a, b = np.searchsorted(word_line, (lines[k], lines[k] + 1))
                     start, end = int(starts[a]), int(ends[b - 1])
                     own = _pairs(block.bytes[start:end].tobytes())
                     near = max(len(own & t) / len(t) for t in m.pairs[best[k]])
                     if near >= similarity:
-                        text = int(block.owner(np.array([start]))[0])
-                        base = int(block.starts[text])
-                        found[text].append({
-                            "family": m.families[best[k]], "start": start - base, "end": end - base,
-                            "probability": float(p[k, best[k]]), "similarity": near,
-                        })
+                        lone.append((int(best[k]), start, end, float(p[k, best[k]]), near))
+                low = LOWER[block.bytes]
+                whole = (np.diff(word_line) <= 1) & (np.diff(block.owner(starts)) == 0)
+                for family, a, b, near in _windows(Hasher(low).spans(starts, ends), whole, templates, similarity):
+                    start, end = int(starts[a]), int(ends[b])
+                    chance = judge(b" ".join(low[x:y].tobytes() for x, y in zip(starts[a : b + 1], ends[a : b + 1])))
+                    if chance.argmax() == family and chance[family] >= threshold:
+                        wide.append((family, start, end, float(chance[family]), near))
+                found: list[list[dict]] = [[] for _ in range(len(block))]
+                for family, start, end, chance, near in _apart(lone, wide):
+                    text = int(block.owner(np.array([start]))[0])
+                    base = int(block.starts[text])
+                    found[text].append({
+                        "family": m.families[family], "start": start - base, "end": end - base,
+                        "probability": chance, "similarity": near,
+                    })
                 rows = batch.slice(block.first, len(block))
                 yield pa.RecordBatch.from_arrays([*(rows[c] for c in kept), pa.array(found, _KIND)], [*kept, "licences"])
 

@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import html
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -188,6 +189,29 @@ def test_licences_are_told_apart_from_look_alikes(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_hard_wrapped_notices_are_found(spark):
+    """Every family's longest notice, wrapped at 72 columns, behind comment marks and inside one long line."""
+    longest = {f: max(t, key=len) for f, t in licenses.TEMPLATES.items()}
+    rows, want = [], []
+    for family, notice in longest.items():
+        # the filler makes the notice start in the middle of a line
+        wrapped = textwrap.wrap("some words of a plain paragraph that ends half way along. " + notice + ". More plain words go on behind it until here.", 72)
+        for text in ("\n".join(wrapped), "/*\n" + "\n".join(" * " + x for x in wrapped) + "\n */", "plain words " * 60 + notice + " plain words" * 60):
+            rows.append((len(rows), "before\n\n" + text + "\n\nafter"))
+            want.append([family])
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation, either version 3 of the License, or"
+    )
+    parts = ("Permission is hereby granted, free of charge,\n\nto any person", "Unauthorized copying\n\nof this file")
+    for text, families in ((bsd, ["bsd"]), (gpl, ["gpl"]), *((x, []) for x in parts)):
+        rows.append((len(rows), text))
+        want.append(families)
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [x.family for x in got[i]] for i in got} == dict(enumerate(want))
+
+
 def test_registered_queries_run_on_whole_tables(spark):
     import __spark_entry__ as contract
     import corpus_pipeline
