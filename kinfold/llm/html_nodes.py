@@ -7,8 +7,12 @@ import re
 
 import numpy as np
 
+# An element that is dropped whole needs its end tag; without one only its tag goes,
+# except that nothing but text follows an open script, style or textarea.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>"
+    r"|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|select)(?=[\s/>])[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -33,6 +37,8 @@ _CLOSES = {
     "body": ({"head", "title"}, frozenset()),
 }
 _ALWAYS_OUT = frozenset({"head", "title"})
+# What a head may hold; anything else ends it, as text does.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes script style noscript template".split())
 _CONTROLS = frozenset({"input", "button", "option", "label"})
 
 FIELDS = ("page", "parent", "leaf", "depth", "text", "links", "linked", "controls", "end")
@@ -75,6 +81,8 @@ class Pages:
             nonlocal links, linked, controls
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
+            if text and names[-1] == "head":
+                pop(len(names) - 1)
             if text and not _ALWAYS_OUT & set(names):
                 node = self._add(stack[-1], True, names[-1], (), text)
                 self.rows["links"][node], self.rows["linked"][node] = links, min(linked, len(text))
@@ -94,11 +102,15 @@ class Pages:
                 held.append(piece)
                 linked += len(piece) if in_link else 0
             at = match.end()
-            name = match[3]
+            name = match[4]
             if name is None:
-                held.append(" " if match[1] else "")
+                held.append(" " if match[1] or match[2] else "")
                 continue
-            name, closing = name.lower(), bool(match[2])
+            name, closing = name.lower(), bool(match[3])
+            if not closing and names[-1] == "head" and name not in _IN_HEAD:
+                close_text()
+                if names[-1] == "head":
+                    pop(len(names) - 1)
             if name not in BLOCKS:
                 if name == "a":
                     in_link, links = int(not closing), links + (not closing)
@@ -121,7 +133,7 @@ class Pages:
                     pop(place)
             if name == "hr" or (name in ("html", "body") and name in names and name == "html"):
                 continue
-            stack.append(self._add(stack[-1], False, name, _attribute_tokens(match[4])))
+            stack.append(self._add(stack[-1], False, name, _attribute_tokens(match[5])))
             names.append(name)
         held.append(page[at:])
         linked += len(page) - at if in_link else 0

@@ -99,6 +99,22 @@ def test_broken_and_empty_pages(spark):
     assert main_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_text_after_unclosed_elements_and_heads_is_kept():
+    pages = {
+        "<body><svg width='1'/><p>one</p><svg-icon></svg-icon><template-part></template-part><select-box><p>two</p></body>": ["one", "two"],
+        "<p>one</p><svg viewBox='0'><p>two</p><iframe src='x'><p>three</p>": ["one", "two", "three"],
+        "<p>one</p><svg><text>out</text></svg><select><option>out</select><p>two</p>": ["one", "two"],
+        "<html><head><title>out</title><meta charset=utf-8><script>out</script><p>one<p>two": ["one", "two"],
+        "<head><title>out</title><link rel=x>one<p>two</p>": ["one", "two"],
+        "<head><title>out</title><span>one</span><p>two</p>": ["one", "two"],
+        "<p>one</p><script>var a='<p>out'": ["one"],
+    }
+    for page, want in pages.items():
+        parsed = Pages()
+        parsed.parse(page)
+        assert [x for x in parsed.texts if x] == want, page
+
+
 def test_page_text_of_the_table(spark):
     """The given pages hold their article in one element; nothing else may come out."""
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
