@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import jaccard, licenses, main_text, mixing, pieces, quality, rotated_codes, suffixes, toxicity, warc
+from kinfold.llm import (
+    byte_net,
+    collocations,
+    jaccard,
+    licenses,
+    main_text,
+    mixing,
+    pieces,
+    quality,
+    rotated_codes,
+    suffixes,
+    toxicity,
+    warc,
+    whitening,
+)
 from kinfold.llm.blocks import bound_batches
 from kinfold.session import materialize
 
@@ -82,6 +96,31 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(counts, cutoffs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op12_byte_net(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    net = byte_net.fit(docs, _table(spark, folder, "labels"))
+    held_out = F.coalesce(byte_net.fold() == byte_net.HELD_OUT, F.lit(False))
+    return byte_net.score(docs, net, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, folder, "embeddings"), keep=["vec_id"])
+    return white.select(
+        "vec_id",
+        "component",
+        "n",
+        F.expr("try_cast(deviation as long)").alias("deviation"),  # null where it passes 64 bits
+        "whitened",
+        "explained",
+        "identity_error",
+        F.col("deviation").alias("deviation_exact"),
+    )
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_licenses": op2_licenses,
@@ -93,6 +132,51 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_byte_net": op12_byte_net,
+    "op13_whitening": op13_whitening,
 }
 
-SQL: dict[str, str] = {}
+# Counts phrases of every length directly; brackets of RE2 classes as in the contract.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+kept AS (SELECT lang, w FROM split WHERE len(w) > 0),
+totals AS (SELECT lang, sum(len(w)) AS n FROM kept GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM kept, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size)
+),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+inside AS (
+  SELECT DISTINCT c.lang, array_to_string(c.w[i:i + s - 1], ' ') AS phrase, c.a
+  FROM (SELECT lang, w, a, size, s, unnest(range(1, size - s + 2)) AS i
+        FROM candidates, (SELECT unnest([2, 3, 4]) AS s) WHERE s < size) c
+),
+left_over AS (
+  SELECT c.* FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)
+),
+cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM left_over)
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n, k,
+         (1000 * c.a::HUGEINT * t.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_collocations": OP11_SQL}
