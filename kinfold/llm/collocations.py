@@ -337,7 +337,7 @@ def phrases(
     for k in range(2, max_words + 1):
         counts = ids.mapInArrow(_count_pairs, "lang string, a long, b long, c long")
         counts = counts.groupBy("lang", "a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-        pairs = _ranked(counts, ["a", "b"])
+        pairs = _ranked(materialize(counts), ["a", "b"])  # the range sort reads its input twice
         left = level.select("lang", F.col("id").alias("a"), F.col("a").alias("__la"), F.col("phrase").alias("__lp"), F.col("pre").alias("__pre"))
         right = level.select("lang", F.col("id").alias("b"), F.col("a").alias("__ra"), F.col("last").alias("__last"), F.col("suf").alias("__suf"))
         level = materialize(
