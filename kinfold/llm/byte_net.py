@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from kinfold.llm.blocks import blocks, bound_batches
 
 WINDOW, FILTERS, HIDDEN = 6, 24, 16
-CHUNK = 256  # positions of a chunk
+CHUNK = 128  # positions of a chunk
 STEP = CHUNK // 2
 MAX_TRAINING_TEXTS = 4_000
-MAX_TRAINING_CHUNKS = 12  # drawn from each training text, evenly over the whole of it
+MAX_TRAINING_CHUNKS = 24  # drawn from each training text, evenly over the whole of it
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
-_SLICE = 96  # half chunks looked up at a time
+BATCH = 32
+_SLICE = 192  # half chunks looked up at a time
 _PAD = b"\0" * WINDOW
 
 
@@ -131,6 +132,7 @@ def fit(
     max_texts: int = MAX_TRAINING_TEXTS,
     max_chunks: int = MAX_TRAINING_CHUNKS,
     epochs: int = 10,
+    min_steps: int = 600,
     rate: float = 4e-3,
 ) -> ByteNet:
     """Train on labelled texts outside the held-out fold, at most about ``max_texts`` of them.
@@ -139,8 +141,9 @@ def fit(
     there are no more. What reaches the driver is at most ``max_chunks`` chunks a key
     (about 3 kB), however long the texts are and however many rows share a key (the
     one of the smallest md5 counts). A key with several labels takes the smallest;
-    null keys and labels teach nothing. Without two kinds of labels every text gets
-    the share of label 1, or one half without any.
+    null keys and labels teach nothing. Few texts are gone over more often, until
+    ``min_steps`` batches are done. Without two kinds of labels every text gets the
+    share of label 1, or one half without any.
     """
     bound_batches(docs.sparkSession)
     known = (
@@ -166,10 +169,11 @@ def fit(
     found = one.toArrow().sort_by([("digest", "ascending"), ("label", "ascending")])
     size = CHUNK + WINDOW - 1
     texts = [np.frombuffer(x, np.uint8).reshape(-1, size) for x in found["chunks"].to_pylist()]
+    epochs = max(epochs, -(-min_steps * BATCH // max(1, len(texts))))
     return train(texts, (found["label"].to_numpy() > 0).astype(float), epochs=epochs, rate=rate)
 
 
-def train(texts: list[np.ndarray], wanted: np.ndarray, *, epochs: int, rate: float, batch: int = 32, seed: int = 11) -> ByteNet:
+def train(texts: list[np.ndarray], wanted: np.ndarray, *, epochs: int, rate: float, batch: int = BATCH, seed: int = 11) -> ByteNet:
     """Adam over batches of texts, given as chunks of bytes, with a falling rate."""
     net = ByteNet.start()
     if not len(wanted) or wanted.min() == wanted.max():
