@@ -16,6 +16,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from kinfold.llm.blocks import bound_batches
 from kinfold.llm.html_nodes import Pages
 
-TRAINING_PAGES = 600
-TREES = 60
+TRAINING_PAGES = 1000
+TREES = 80
 DEPTH = 4
 BINS = 32
 _RATE = 0.15
@@ -105,49 +106,91 @@ def training_pages(count: int = TRAINING_PAGES, seed: int = 3) -> list[tuple[str
             return named(div, OUTER[kind], body).replace(">", f"{attribute}>", 1)
         return named(div, OUTER[kind], rng.choice([f"<ul>{links(2, 6)}</ul>", f"<span>{words(2, 8)}</span>", f"<p>{words(2, 12)}</p>"]))
 
+    def inline(text: str) -> str:
+        kind = rng.random()
+        if kind < 0.15:
+            return f"<b>{text}</b>"
+        if kind < 0.2:
+            return f"<a href='/z'>{text[:6]}</a>{text[6:]}"
+        return f"<span>{text}</span>" if kind < 0.25 else text
+
     pages = []
     for _ in range(count):
         main: list[str] = []
+        # what holds the paragraphs of this page: elements of their own, or one run of lines
+        prose = rng.choices(["p", "div", "span", "br", "pre", "dd", "section"], [60, 14, 4, 12, 3, 3, 4])[0]
 
         def block(tag: str, low: int, high: int) -> str:
             text = words(low, high)
             main.append(text)
-            inline = rng.random()
-            if inline < 0.15:
-                text = f"<b>{text}</b>"
-            elif inline < 0.2:
-                text = f"<a href='/z'>{text[:6]}</a>{text[6:]}"
-            return f"<{tag}>{text}" + rng.choice([f"</{tag}>", f"</{tag}>", f"</{tag}>", ""] if tag == "p" else [f"</{tag}>"])
+            ends = [f"</{tag}>", f"</{tag}>", f"</{tag}>", ""] if tag == "p" else [f"</{tag}>"]
+            return f"<{tag}>{inline(text)}" + rng.choice(ends)
+
+        def lines(low: int, high: int) -> str:
+            made = [words(low, high) for _ in range(rng.choice([1, 2, 3, 6]))]
+            main.append(" ".join(made))
+            return rng.choice(["<br>", "<br><br>", "<br />"]).join(map(inline, made))
+
+        def paragraph(low: int, high: int) -> str:
+            if prose == "br":
+                return lines(low, high)
+            if prose == "span":  # a box around an inline element
+                return f"<div>{block('span', low, high)}</div>"
+            if prose == "dd":
+                return f"<dl>{block('dt', 1, 5)}{block('dd', low, high)}</dl>"
+            return block(prose, low, high)
 
         body = []
         if rng.random() < 0.85:
             body.append(block("h1", 2, 12))
-        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
+        run, plain = False, rng.choice([0.72, 0.72, 0.95, 1.0])
+        for _ in range(rng.choices([1, 2, 3, 5, 8, 14, 30, 70], [20, 14, 14, 14, 14, 12, 8, 4])[0]):
             kind = rng.random()
-            if kind < 0.72:
-                body.append(block("p", rng.choice([1, 3, 8]), rng.choice([12, 50, 160])))
-            elif kind < 0.8:
+            if kind < plain:
+                if prose == "br" and run:  # two runs without a border would be one
+                    body.append(block("h2", 1, 8))
+                body.append(paragraph(rng.choice([1, 3, 8]), rng.choice([12, 50, 160])))
+                run = prose == "br"
+                continue
+            run = False
+            if kind < plain + 0.3 * (1 - plain):
                 body.append(block(rng.choice(["h2", "h3"]), 1, 8))
-            elif kind < 0.86:
+            elif kind < plain + 0.46 * (1 - plain):
                 body.append("<ul>" + "".join(block("li", 2, 25) for _ in range(rng.randint(2, 6))) + "</ul>")
-            elif kind < 0.9:
-                body.append("<blockquote>" + block("p", 5, 60) + "</blockquote>")
-            elif kind < 0.93:
+            elif kind < plain + 0.57 * (1 - plain):
+                body.append("<blockquote>" + block(rng.choice(["p", "div"]), 5, 60) + "</blockquote>")
+            elif kind < plain + 0.66 * (1 - plain):
                 body.append(f"<table><tr>{block('td', 1, 8)}{block('td', 1, 8)}</tr></table>")
+            elif kind < plain + 0.75 * (1 - plain):
+                body.append(f"<figure><img src='i.png'>{block('figcaption', 2, 20)}</figure>")
             else:
                 body.append(outer(rng.choice(["ad", "aside", "share", "notice", "form"])))
         inside = "".join(body)
+        # names of the outer parts on the article itself: a page with a sidebar, a post with comments
+        wrong = " ".join(rng.choice(["has-", "with-", "no-", "post-", ""]) + rng.choice(OUTER[k].split()) for k in rng.sample(sorted(OUTER), 2))
         article = rng.choice([
             f"<article>{inside}</article>", f"<article>{inside}</article>", f"<main>{inside}</main>",
             named("article", INNER, inside), named("div", INNER, inside), named("div", INNER, named("div", INNER, inside)),
             f"<main>{named('div', INNER, inside)}</main>", named("section", INNER, inside), f"<main><article>{inside}</article></main>",
+            f"<{(tag := rng.choice(['article', 'main', 'div', 'section']))} class='{wrong}'>{inside}</{tag}>",
+            f"<div><div>{inside}</div></div>",
         ])
         if rng.random() < 0.2 and "comment" not in article:
             article = article.replace("</article>", outer("comments") + "</article>")
         before = [outer(k) for k in ("header", "nav", "notice", "ad", "share", "form") if rng.random() < 0.45]
         after = [outer(k) for k in ("comments", "aside", "share", "ad", "form", "footer", "notice") if rng.random() < 0.4]
         rng.shuffle(before)
+        layout = rng.random()
+        if layout < 0.2:  # a table as the frame of the page
+            cells = [f"<td>{article}</td>", f"<td>{rng.choice([links(2, 8), outer('nav'), rng.choice(['<br>', ' | ', ' ']).join(f'<a href=/m>{words(1, 2)}</a>' for _ in range(rng.randint(2, 8)))])}</td>"]
+            rng.shuffle(cells)
+            article = f"<table><tr>{''.join(cells)}</tr></table>"
         page = "".join(before) + article + "".join(after)
+        if layout > 0.92:  # a form around the whole page
+            page = f"<form id='{rng.choice(['aspnetForm', 'form1', 'mainform'])}' method='post'><input type='hidden'>{page}</form>"
+        elif layout > 0.86:
+            article_form = f"<form action='/'>{article}</form>"
+            page = "".join(before) + article_form + "".join(after)
         if rng.random() < 0.3:
             page = named("div", "wrapper container page site wrap layout root", page)
         tail = "</body></html>" if rng.random() < 0.9 else ""
@@ -223,8 +266,9 @@ def _chances(model: NodeModel, features: np.ndarray) -> np.ndarray:
     return total
 
 
+@lru_cache(2)
 def fit(count: int = TRAINING_PAGES, trees: int = TREES, seed: int = 3) -> NodeModel:
-    """Fit on ``count`` made pages; a fixed amount of work on the driver."""
+    """Fit on ``count`` made pages; a fixed amount of work on the driver, done once a process."""
     pages, keep = Pages(), []
     for page, main in training_pages(count, seed):
         first = len(pages.tags)

@@ -128,6 +128,47 @@ def test_page_text_of_the_table(spark):
         assert r.text == "\n\n".join(x for x in blocks if x)
 
 
+ONE = "Many words stand here and make a sentence of the article, with commas and such. Another one follows it now."
+TWO = "The second paragraph says more about the matter, and it goes on for quite a while before it stops at last."
+MENU = "<ul class='menu'><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>Sport</a></li></ul>"
+SHAPES = {
+    "text between line breaks": (f'{MENU}<div class="content">{ONE}<br><br>{TWO}</div><div class="footer">Copyright 2020 Someone</div>', f"{ONE} {TWO}"),
+    "plain boxes": (f"{MENU}<div>{ONE}</div><div>{TWO}</div><footer>(c) 2020</footer>", f"{ONE}\n\n{TWO}"),
+    "nested boxes": (f"{MENU}<div><div><div>{ONE}</div><div>{TWO}</div></div></div><footer>(c) 2020</footer>", f"{ONE}\n\n{TWO}"),
+    "misleading names": (f'{MENU}<article class="has-sidebar with-comments"><h1>A title of it</h1><p>{ONE}</p><p>{TWO}</p></article>', f"A title of it\n\n{ONE}\n\n{TWO}"),
+    "form in main": (f"{MENU}<main><form><p>{ONE}</p><p>{TWO}</p></form></main>", f"{ONE}\n\n{TWO}"),
+    "form around the page": (f"<form id='aspnetForm'><input type=hidden>{MENU}<div class=content><p>{ONE}</p><p>{TWO}</p></div><div class=footer>Copyright 2020</div></form>", f"{ONE}\n\n{TWO}"),
+    "layout table": (f"<table><tr><td><a href=/h>Home</a><br><a href=/n>News</a></td><td><h1>A title of it</h1><p>{ONE}</p><p>{TWO}</p></td></tr></table>", f"A title of it\n\n{ONE}\n\n{TWO}"),
+    "bare text in a layout table": (f"<table><tr><td><a href=/h>Home</a><a href=/n>News</a></td><td>{ONE}<br><br>{TWO}</td></tr></table>", f"{ONE} {TWO}"),
+    "preformatted": (f"{MENU}<article><h1>Title here</h1><pre>{ONE}</pre><pre>{TWO}</pre></article>", f"Title here\n\n{ONE}\n\n{TWO}"),
+    "spans": (f"{MENU}<div class=post><span>{ONE}</span><br><span>{TWO}</span></div><div class=sidebar>Related things</div>", f"{ONE} {TWO}"),
+    "captions": (f"{MENU}<article><p>{ONE}</p><figure><img><figcaption>A picture of the thing in question</figcaption></figure><p>{TWO}</p></article>", f"{ONE}\n\nA picture of the thing in question\n\n{TWO}"),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_article_text_is_kept_wherever_it_stands(shape):
+    body, want = SHAPES[shape]
+    page = f"<html><head><title>x</title></head><body>{body}</body></html>"
+    assert main_text.extract_pages(main_text.fit(), [page]) == [want]
+
+
+def test_held_out_made_pages():
+    pages = main_text.training_pages(200, seed=99)
+    got = main_text.extract_pages(main_text.fit(), [p for p, _ in pages])
+    right = wrong = missed = 0
+    for (_, main), text in zip(pages, got):
+        want, have = {" ".join(t.replace("&amp;", "&").split()) for t in main}, set(text.split("\n\n")) - {""}
+        right, wrong, missed = right + sum(map(len, want & have)), wrong + sum(map(len, have - want)), missed + sum(map(len, want - have))
+    assert right >= 0.97 * (right + wrong) and right >= 0.97 * (right + missed)
+
+
+def test_a_very_long_page_comes_out_whole():
+    parts = [f"<p>{ONE} Part {i} of it.</p>" for i in range(3000)]
+    page = f"<body>{MENU}<article><h1>Title here</h1>{''.join(parts)}</article><footer>(c) 2020</footer></body>"
+    assert main_text.extract_pages(main_text.fit(), [page])[0].count(ONE) == 3000
+
+
 def exact_neighbours(rows, k):
     found = {}
     for i, v in rows:
