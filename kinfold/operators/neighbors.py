@@ -1,10 +1,11 @@
 """Exact and approximate nearest neighbours within one set of vectors.
 
-The set is cut into blocks of bounded bytes by a hash of the id. Every pair of
-blocks meets in one group; the group emits, for each query in either block, only
-the rows that can still be among its best, never all pairs. A window over the
-per-block winners then gives the final rank. Nothing is collected or broadcast,
-and a task holds two blocks whatever the size of the input.
+A set of one block is searched at once. A larger one is cut into cells around
+pivots, and cells that the angles rule out are left out (see ``arcs``). Sets
+searched side by side, and buckets, are cut into blocks by a hash of the id; every
+pair of blocks meets in one group. A group emits, for each query, only the rows
+that can still be among its best, never all pairs, and a window over these winners
+gives the final rank. A task holds two blocks whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def knn_self_join(
     id_col: str = "posting_id",
     vec_col: str = "embedding",
     carry: Sequence[str] = (),
+    within: Sequence[str] = (),
     block_rows: int | None = None,
 ) -> DataFrame:
     """Best ``k`` rows of the set for each row, by inner product, itself included.
@@ -50,19 +52,48 @@ def knn_self_join(
     that keeps a prefix of the ranking, it is applied early. ``k=None`` keeps
     every pair at or above the threshold. Persist ``vectors`` first if they are
     costly: one small job reads their count and length to size the blocks.
+
+    ``within`` names columns that part the rows into sets searched in one job but
+    each for itself; the result keeps these columns. Rows with a null among them
+    belong to no set, and sets may differ in the length of their vectors.
     """
     if k is None and threshold is None:
         raise ValueError("give k, threshold or both")
     rows = vectors.where(F.col(vec_col).isNotNull())
+    if within:
+        return _knn_within(rows, list(within), k, threshold, id_col, vec_col, list(carry), block_rows)
     n_rows, dim = _shape(rows, vec_col)
     blocks = _block_count(n_rows, dim, block_rows, rows.sparkSession)
-    placed = rows.withColumn("_cell", F.lit(0)).withColumn("_blocks", F.lit(blocks))
-    pairs = blocks * (blocks + 1) // 2
-    found = _meet(placed, id_col, vec_col, carry, k, threshold, partitions=pairs)
-    if k is None:
-        return _ranked(found, None)
-    # One block holds the whole set: its local ranks are final.
-    return found if blocks == 1 else _ranked(found.drop("rank"), k)
+    if blocks == 1:
+        placed = rows.withColumn("_cell", F.lit(0)).withColumn("_blocks", F.lit(1))
+        found = _meet(placed, id_col, vec_col, carry, k, threshold, partitions=1)
+        # One block holds the whole set: its local ranks are final.
+        return found if k is not None else _ranked(found, None)
+    from kinfold.operators.arcs import arc_join
+
+    per_block = math.ceil(n_rows / blocks)
+    found = arc_join(
+        rows, blocks, per_block, dim, id_col=id_col, vec_col=vec_col, carry=carry, k=k, threshold=threshold
+    )
+    return _ranked(found, k)
+
+
+def _knn_within(rows, within, k, threshold, id_col, vec_col, carry, block_rows) -> DataFrame:
+    for c in within:
+        rows = rows.where(F.col(c).isNotNull())
+    size = F.size(vec_col)
+    sets = rows.groupBy(*within).agg(F.count("*").alias("_n"), F.min(size).alias("_low"), F.max(size).alias("_high"))
+    if sets.where("_low <> _high").limit(1).count():
+        raise ValueError("vectors of a set differ in length")
+    per_block = F.lit(block_rows) if block_rows else F.greatest(
+        F.lit(_MIN_BLOCK_ROWS), F.floor(F.lit(_BLOCK_BYTES) / (4 * F.col("_high")))
+    )
+    sets = sets.select(*within, F.ceil(F.col("_n") / per_block).cast("int").alias("_blocks"))
+    placed = rows.join(sets, within).withColumn("_cell", F.struct(*within))
+    both = [*within, *[c for c in carry if c not in within]]
+    found = _meet(placed, id_col, vec_col, both, k, threshold)
+    found = found.withColumnsRenamed({f"query_{c}": c for c in within}).drop(*[f"neighbor_{c}" for c in within])
+    return _ranked(found, k, within)
 
 
 def similarity_join(
@@ -139,9 +170,9 @@ def tables_needed(threshold: float, bits: int, recall: float) -> int:
     return math.ceil(math.log1p(-recall) / math.log1p(-together))
 
 
-def _ranked(found: DataFrame, k: int | None) -> DataFrame:
+def _ranked(found: DataFrame, k: int | None, within: Sequence[str] = ()) -> DataFrame:
     """Rank in the query; with ``k`` Spark prunes to k per query before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "neighbor_id")
+    order = Window.partitionBy(*within, "query_id").orderBy(F.desc("sim"), "neighbor_id")
     ranked = found.drop("rank").withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)
@@ -304,13 +335,22 @@ def best_pairs(
     corpus_rank: np.ndarray,
     k: int | None,
     threshold: float | None,
+    floors: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield ``(query, corpus, sim)`` index arrays, each query's rows together and best first."""
+    """Yield ``(query, corpus, sim)`` index arrays, each query's rows together and best first.
+
+    Pairs below a query's entry in ``floors`` may be left out.
+    """
     asked = _Copies(queries, np.arange(len(queries)), None)
+    least = None
+    if floors is not None:
+        least = np.full(len(asked.vectors), np.inf)
+        np.minimum.at(least, np.repeat(np.arange(len(asked.vectors)), asked.sizes), floors[asked.members])
     held = _Copies(corpus, corpus_rank, k)
     for start in range(0, len(asked.vectors), _QUERY_TILE):
         tile = asked.vectors[start : start + _QUERY_TILE]
-        row, col, sim = _candidates(tile, held.vectors, k, threshold)
+        own = None if least is None else least[start : start + _QUERY_TILE]
+        row, col, sim = _candidates(tile, held.vectors, k, threshold, own)
         row, col, sim = _cut_distinct(row, col, sim, held.sizes, k)
         at, member = held.expand(col)
         row, sim = row[at], sim[at]
@@ -337,7 +377,7 @@ def _single_below(floor):
     return np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None]
 
 
-def _candidates(tile, corpus, k, threshold):
+def _candidates(tile, corpus, k, threshold, least=None):
     """Every distinct pair of the tile that can still be in the answer, scores rounded.
 
     Products are first taken in single precision. Their error is at most
@@ -349,6 +389,8 @@ def _candidates(tile, corpus, k, threshold):
     reach *= np.sqrt(np.einsum("ij,ij->i", corpus, corpus, dtype=np.float64).max(initial=0))
     margin = tile.shape[1] * 2.0**-23 * reach + _SLACK
     floor = np.full(len(tile), -np.inf if threshold is None else threshold - margin, np.float64)
+    if least is not None:
+        floor = np.maximum(floor, least - margin)
     rows, cols, rough = [], [], []
     for start in range(0, len(corpus), _CORPUS_TILE):
         scores = tile @ corpus[start : start + _CORPUS_TILE].T

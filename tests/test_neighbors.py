@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from kinfold.operators import arcs
 from kinfold.operators import neighbors as nb
 
 
@@ -137,3 +138,90 @@ def test_recall_does_not_depend_on_the_number_of_rows(spark):
     assert few <= many
     exact = {(i, j) for i, j in zip(*np.nonzero(rows @ rows.T >= 0.6))}
     assert len(many) / len(exact) >= 0.95 and many <= exact
+
+
+def clustered(rng, groups, per_group, d, noise=0.05):
+    v = np.repeat(unit(rng, groups, d), per_group, axis=0)
+    v = v + noise * rng.standard_normal(v.shape)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("k,threshold", [(6, None), (6, 0.9), (None, 0.95)])
+def test_cells_out_of_reach_are_left_out_and_nothing_is_lost(spark, k, threshold):
+    v = clustered(np.random.default_rng(11), 20, 12, 6)
+    df = table(spark, v)
+    assert collected(nb.knn_self_join(df, k=k, threshold=threshold, block_rows=12)) == brute(v, list(range(240)), k, threshold)
+    plain = df.select(nb.F.col("posting_id").alias("_id"), nb.F.col("embedding").alias("_vec"))
+    pivots = arcs._pivots(plain, 20, 6)
+    placed = arcs.place(plain, pivots)
+    cells = arcs.cells_of(placed, pivots)
+    floors = None
+    if k is not None:
+        own = {}  # the k-th best inside a row's own cell
+        rows = placed.collect()
+        for r in rows:
+            sims = sorted((float(np.dot(np.float32(r._vec).astype(float), np.float32(o._vec).astype(float))) for o in rows if o._cell == r._cell), reverse=True)
+            if len(sims) >= k:
+                own[r._id] = sims[k - 1]
+        floors = spark.createDataFrame(list(own.items()), "_id long, _floor double")
+    sent = sum(len(r._to) for r in arcs.route(placed, cells, floors, threshold).collect())
+    # all pairs of blocks would send each of 240 rows to some twenty cells
+    assert sent < 0.35 * 240 * len(pivots)
+
+
+def test_bounds_hold_for_vectors_of_any_length():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        d = int(rng.integers(1, 6))
+        members = rng.standard_normal((30, d)) * rng.choice([0.0, 0.1, 1.0, 50.0], (30, 1))
+        queries = rng.standard_normal((20, d)) * rng.choice([0.0, 0.5, 9.0], (20, 1))
+        pivots = unit(rng, 3, d)
+        angle, length = arcs.angles_to(pivots, members)
+        cell = angle.argmin(axis=1)
+        mine = angle[np.arange(30), cell]
+        stats = np.zeros((5, 3))
+        for c in range(3):
+            if (cell == c).any():
+                at = cell == c
+                stats[:, c] = mine[at].min(), mine[at].max(), length[at].min(), length[at].max(), at.sum()
+        cells = arcs.Cells(pivots, *stats)
+        q_angle, q_length = arcs.angles_to(pivots, queries)
+        reach = cells.reach(q_angle, q_length)
+        products = queries @ members.T
+        for c in range(3):
+            at = cell == c
+            if not at.any():
+                assert (reach[:, c] == -np.inf).all()
+                continue
+            assert (products[:, at].max(axis=1) <= reach[:, c]).all()
+            if length[at].min() > 0:
+                floor = rng.standard_normal(20) * q_length
+                low, high = arcs.window(q_angle[:, c], q_length, floor, length[at].min(), length[at].max())
+                hit = products[:, at] >= floor[:, None]
+                inside = (mine[at][None, :] >= low[:, None]) & (mine[at][None, :] <= high[:, None])
+                assert (inside | ~hit).all()
+
+
+@pytest.mark.parametrize("block_rows", [None, 15])
+def test_vectors_of_mixed_lengths_and_zeros_match_brute_force(spark, block_rows):
+    rng = np.random.default_rng(6)
+    v = unit(rng, 100, 4) * rng.choice([0.0, 0.2, 1.0, 7.0], (100, 1))
+    v[60:] = v[60]
+    got = collected(nb.knn_self_join(table(spark, v), k=8, block_rows=block_rows))
+    assert got == brute(v, list(range(100)), 8, None)
+
+
+@pytest.mark.parametrize("block_rows", [None, 9])
+def test_sets_side_by_side_are_searched_each_for_itself(spark, block_rows):
+    rng = np.random.default_rng(7)
+    a, b = unit(rng, 30, 4), unit(rng, 40, 6)
+    rows = [("a", i, [float(x) for x in v], 1) for i, v in enumerate(a)] + [("b", i, [float(x) for x in v], 2) for i, v in enumerate(b)]
+    rows += [(None, 3, [1.0], 3)]
+    df = spark.createDataFrame(rows, "name string, posting_id long, embedding array<float>, g int").repartition(3)
+    found = nb.knn_self_join(df, k=5, within=["name"], carry=["g"], block_rows=block_rows)
+    assert found.columns == ["query_id", "rank", "neighbor_id", "sim", "name", "query_g", "neighbor_g"]
+    for name, v, g in (("a", a, 1), ("b", b, 2)):
+        own = found.where(nb.F.col("name") == name)
+        assert collected(own) == brute(v, list(range(len(v))), 5, None)
+        assert {(r.query_g, r.neighbor_g) for r in own.collect()} == {(g, g)}
+    assert found.where("name is null").count() == 0
