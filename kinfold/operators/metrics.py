@@ -29,14 +29,18 @@ def _check_ks(recall_ks: Sequence[int]) -> None:
         raise ValueError("recall_ks must be 1 or more")
 
 
-def _with_group_size(rows: DataFrame, id_col: str, group_col: str) -> DataFrame:
+def _with_group_size(rows: DataFrame, id_col: str, group_col: str, by: Sequence[str] = ()) -> DataFrame:
+    group = F.col(group_col)
+    if by:  # sets side by side: a group counts inside its set
+        group = F.when(group.isNotNull(), F.struct(*by, group_col))
+    keyed = rows.withColumn("_set", group)
     sizes = (
-        rows.where(F.col(group_col).isNotNull())
-        .groupBy(group_col)
+        keyed.where("_set is not null")
+        .groupBy("_set")
         .agg(F.count("*").alias("_size"))
         .withColumn("_weight", F.col("_size"))
     )
-    return hot_key_lookup(rows, sizes, group_col, weight="_weight", spread_by=id_col)
+    return hot_key_lookup(keyed, sizes, "_set", weight="_weight", spread_by=id_col).drop("_set")
 
 
 def _metric_columns(recall_ks: Sequence[int]) -> list[Column]:
@@ -111,14 +115,16 @@ def metrics_from_neighbors(
     id_col: str = "posting_id",
     group_col: str = "label_group",
     stratum_col: str = "stratum",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The same metrics from long-form neighbours that carry both groups.
 
     No lookup by retrieved id is needed: the neighbour search brought the group.
+    ``by`` names columns, of both inputs, that part them into sets scored side by side.
     """
     _check_ks(recall_ks)
-    base = products.select(id_col, group_col, stratum_col)
-    return _join_counts(base, with_hits(neighbors, group_col), recall_ks, id_col, group_col)
+    base = products.select(*by, id_col, group_col, stratum_col)
+    return _join_counts(base, with_hits(neighbors, group_col), recall_ks, id_col, group_col, by)
 
 
 def with_hits(neighbors: DataFrame, group_col: str) -> DataFrame:
@@ -126,10 +132,10 @@ def with_hits(neighbors: DataFrame, group_col: str) -> DataFrame:
     return neighbors.withColumn("hit", F.coalesce(same, F.lit(False)))
 
 
-def _join_counts(base, hits, recall_ks, id_col, group_col) -> DataFrame:
-    counts = hits.groupBy("query_id").agg(*_hit_counts(F.lit(True), recall_ks))
+def _join_counts(base, hits, recall_ks, id_col, group_col, by=()) -> DataFrame:
+    counts = hits.groupBy(*by, "query_id").agg(*_hit_counts(F.lit(True), recall_ks))
     counts = counts.withColumnRenamed("query_id", id_col)
-    joined = _with_group_size(base, id_col, group_col).join(counts, id_col, "left")
+    joined = _with_group_size(base, id_col, group_col, by).join(counts, [*by, id_col], "left")
     return joined.select(*base.columns, *_metric_columns(recall_ks))
 
 
@@ -185,21 +191,22 @@ def metrics_by_threshold(
     id_col: str = "posting_id",
     group_col: str = "label_group",
     stratum_col: str = "stratum",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Per-row metrics at every threshold, from one neighbour search at the lowest.
 
     A higher threshold keeps a prefix of a query's list, so conditional counts in
     one aggregate serve all thresholds; neighbours are neither searched again nor
-    multiplied by the grid.
+    multiplied by the grid. ``by`` parts both inputs into sets scored side by side.
     """
     _check_ks(recall_ks)
     counts = []
     for i, t in enumerate(thresholds):
         counts += _hit_counts(F.col("sim") >= float(t), recall_ks, f"_t{i}")
-    per_query = with_hits(neighbors, group_col).groupBy("query_id").agg(*counts)
-    base = products.select(id_col, group_col, stratum_col)
-    joined = _with_group_size(base, id_col, group_col).join(
-        per_query.withColumnRenamed("query_id", id_col), id_col, "left"
+    per_query = with_hits(neighbors, group_col).groupBy(*by, "query_id").agg(*counts)
+    base = products.select(*by, id_col, group_col, stratum_col)
+    joined = _with_group_size(base, id_col, group_col, by).join(
+        per_query.withColumnRenamed("query_id", id_col), [*by, id_col], "left"
     )
     names = ["_got", "_hits", *[f"_hits{k}" for k in recall_ks]]
     grid = F.array(
@@ -221,13 +228,14 @@ def summarize_grid(
     id_col: str = "posting_id",
     group_col: str = "label_group",
     stratum_col: str = "stratum",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """``threshold`` and the mean of every metric as ``avg_<metric>``, by threshold."""
-    columns = metric_columns(grid, ("threshold", id_col, group_col, stratum_col))
+    """``threshold`` and the mean of every metric as ``avg_<metric>``, by threshold (and ``by``)."""
+    columns = metric_columns(grid, (*by, "threshold", id_col, group_col, stratum_col))
     return (
-        grid.groupBy("threshold")
+        grid.groupBy(*by, "threshold")
         .agg(*[F.avg(f"`{c}`").alias(f"avg_{c}") for c in columns])
-        .orderBy("threshold")
+        .orderBy(*by, "threshold")
     )
 
 

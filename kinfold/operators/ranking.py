@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.session import materialize
+
 
 def hash_order(seed: int | str, *columns: str) -> Column:
     """A reproducible shuffle key: md5 over the seed and the columns, as hex text."""
@@ -45,6 +47,23 @@ def rank_by_value(
     return _offset_rank(bucketed, counts, [], [F.col(column)], name).drop("_value")
 
 
+def rank_by_order(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """1-based rank of each row over the whole table by any sort order; ties fall as they come.
+
+    A range sort written once, and the row counts of its partitions: no window sees
+    more than one row a partition, whatever the order's values repeat.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumn("_part", F.shiftright("_place", 33)))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition of the sort
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return placed.join(F.broadcast(counts), "_part").withColumn(name, rank).drop("_part", "_place", "_first", "_before")
+
+
 def _offset_rank(
     bucketed: DataFrame, counts: DataFrame, within: list[str], order: list[Column], name: str
 ) -> DataFrame:

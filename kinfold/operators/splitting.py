@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.joins import HOT_ROWS, hot_key_lookup
 from kinfold.operators.quantiles import quantile_row
-from kinfold.operators.ranking import hash_order, rank_by_hash
+from kinfold.operators.ranking import hash_order, rank_by_hash, rank_by_order
 from kinfold.session import materialize
 
 
-_MAX_STRATA = 1_000
-
-
 def assign_stratum(
     groups: DataFrame,
     vision_std_col: str = "multiples_score_std",
@@ -65,6 +62,45 @@ def split_quotas(counts: dict[str, int], train_ratio: float) -> dict[str, tuple[
     return {s: (train[s], val[s]) for s in counts}
 
 
+def share_out(sizes: DataFrame, count: str, total: int, whole: int, name: str, stratum: str) -> DataFrame:
+    """Add ``name``: the share of ``total`` of each stratum by its ``count``; leftovers go to the largest remainders.
+
+    Equal remainders go by stratum, null last. Strata are ranked by a range sort, so
+    their number does not matter.
+    """
+    exact = F.col(count) / F.lit(float(whole)) * F.lit(float(total))
+    parts = sizes.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    order = [F.desc(F.col("_exact") - F.col("_floor")), F.asc_nulls_last(stratum)]
+    ranked = rank_by_order(parts, *order, name="_at")
+    spare = total - (ranked.agg(F.sum("_floor")).first()[0] or 0)
+    return ranked.withColumn(name, (F.col("_floor") + (F.col("_at") <= spare).cast("long")).cast("long")).drop(
+        "_exact", "_floor", "_at"
+    )
+
+
+def quota_table(counts: DataFrame, train_ratio: float, *, stratum: str = "stratum") -> DataFrame:
+    """``stratum, count, train, val``: how many groups of each stratum go to train and to val; the rest is test.
+
+    ``counts`` has a stratum (null is one) and the ``count`` of its groups in each row.
+    """
+    counts = materialize(counts.select(stratum, "count"))
+    n, strata, least = counts.agg(F.sum("count"), F.count("*"), F.min("count")).first()
+    if not n:
+        return counts.withColumns({"train": F.lit(0).cast("long"), "val": F.lit(0).cast("long")})
+    held = math.ceil((1.0 - train_ratio) * n)
+    test = math.ceil(held * 0.5)
+    if least < 2:
+        few = [str(r[0]) for r in counts.where("count < 2").orderBy(stratum).select(stratum).limit(10).collect()]
+        raise ValueError(f"strata with fewer than two groups: {few}")
+    if min(n - held, held - test, test) < strata:
+        raise ValueError(f"{n} groups are too few to put every stratum in every split")
+    train = share_out(counts, "count", n - held, n, "train", stratum)
+    left = materialize(train.withColumn("_left", F.col("count") - F.col("train")))
+    if left.agg(F.min("_left")).first()[0] < 2:
+        raise ValueError("a stratum keeps fewer than two groups outside train")
+    return share_out(left, "_left", held - test, held, "val", stratum).drop("_left")
+
+
 def stratified_group_split(
     groups: DataFrame,
     *,
@@ -72,33 +108,29 @@ def stratified_group_split(
     stratify_col: str = "stratum",
     split_ratios: Sequence[float] = (0.7, 0.15, 0.15),
     random_seed: int = 42,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``split``. Only the first ratio counts; the rest is halved into val and test.
 
     Groups are drawn in md5 order of seed and group. Ranks come from bucket
-    offsets, so a stratum (null is one) is never sorted in one task; the driver sees one count
-    per stratum. The group table is written once, since it is read three times.
+    offsets, so a stratum (null is one) is never sorted in one task, and the quotas
+    are a table of any number of strata that meets the groups without moving a large
+    stratum to one task. The group table is written once, since it is read three times.
     """
     groups = materialize(groups)
-    counts = {
-        r[stratify_col]: r["count"]
-        for r in groups.groupBy(stratify_col).count().limit(_MAX_STRATA + 1).collect()
-    }
-    if len(counts) > _MAX_STRATA:
-        raise ValueError(f"more than {_MAX_STRATA} strata in {stratify_col}")
-    quotas = split_quotas(counts, split_ratios[0])
+    quotas = quota_table(groups.groupBy(stratify_col).count(), split_ratios[0], stratum=stratify_col)
     keyed = groups.withColumn("_order", hash_order(random_seed, group_col))
     ranked = rank_by_hash(keyed, "_order", within=[stratify_col], name="_rank")
-    split = F.lit(None).cast("string")
-    for stratum, (train, val) in quotas.items():
-        here = F.col(stratify_col).eqNullSafe(F.lit(stratum))
-        part = (
-            F.when(F.col("_rank") <= train, "train")
-            .when(F.col("_rank") <= train + val, "val")
-            .otherwise("test")
-        )
-        split = F.when(here, part).otherwise(split)
-    return ranked.withColumn("split", split).select(*groups.columns, "split")
+    # a struct is a key also where the stratum is null
+    ranked = ranked.withColumn("_key", F.struct(F.col(stratify_col).alias("stratum")))
+    lookup = quotas.select(F.struct(F.col(stratify_col).alias("stratum")).alias("_key"), "train", "val", F.col("count").alias("_weight"))
+    joined = hot_key_lookup(ranked, lookup, "_key", weight="_weight", spread_by=group_col, hot_rows=hot_rows)
+    split = (
+        F.when(F.col("_rank") <= F.col("train"), "train")
+        .when(F.col("_rank") <= F.col("train") + F.col("val"), "val")
+        .otherwise("test")
+    )
+    return joined.withColumn("split", split).select(*groups.columns, "split")
 
 
 def assign_rows(

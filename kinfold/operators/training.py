@@ -1,20 +1,27 @@
-"""Fitting a projection head with the ArcFace loss, data-parallel over the executors.
+"""Fitting projection heads with the ArcFace loss, data-parallel over the executors.
 
-The driver holds only the head and the optimiser state, whose size is set by the
-two dimensions. A step is two Spark jobs over the step's rows: sums for the batch
+Heads of several variants of the same rows (one vector column each) are fitted in
+one loop: they share samples and steps, so their number does not add jobs. The
+driver holds only the heads and the optimiser states, whose size is set by the two
+dimensions. A step is two Spark jobs over the step's rows: sums for the batch
 statistics, then sums for the gradient. Tasks send one row of sums each, added up
 pairwise on the executors when there are many tasks.
+
+With very many classes the softmax is what costs. Then the classes, not the rows,
+are dealt to the tasks: a batch, whose size is a parameter, goes to all of them,
+each draws only the directions of its own range of classes, and two rounds combine
+the parts: the sums of the softmax, then the slopes.
 """
 
 from __future__ import annotations
 
 import copy
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import matrix
@@ -28,7 +35,7 @@ from kinfold.operators.projection import (
     apply_head,
 )
 from kinfold.operators.ranking import hash_order, rank_by_hash
-from kinfold.operators.sampling import class_ids, m_per_class_sample
+from kinfold.operators.sampling import class_ids, m_per_class_sample, random_batches, ranked_rows
 from kinfold.session import materialize
 
 # How the validation split is retrieved after each epoch.
@@ -39,6 +46,9 @@ RETRIEVAL_RECALL_KS = (5, 10, 50)
 # AdamW moments.
 _BETA1, _BETA2, _ADAM_EPS = 0.9, 0.999, 1e-8
 _CLASS_BLOCK = 2048
+# Beyond so many classes the softmax is dealt to the tasks by class, in ranges of so many blocks.
+SHARD_CLASSES = 1 << 16
+SHARD_BLOCKS = 8
 _COS_LIMIT = 1 - 1e-7
 _FAN_IN = 32
 _TASK_BYTES = 16 << 20
@@ -60,44 +70,57 @@ def arcface_loss_and_gradient(
     Class directions are fixed and drawn from the seed block by block, so they
     need no table and memory stays bounded for any number of classes.
     """
-    n, dim = e.shape
-    margin = np.deg2rad(margin_degrees)
-    blocks = range(0, n_classes, _CLASS_BLOCK)
-
-    def directions(start: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, start // _CLASS_BLOCK])
-        w = rng.standard_normal((_CLASS_BLOCK, dim))
-        w /= np.linalg.norm(w, axis=1, keepdims=True)
-        return w[: n_classes - start]
-
-    def logits(start: int, w: np.ndarray):
-        cos = np.clip(e @ w.T, -_COS_LIMIT, _COS_LIMIT)
-        mine = np.flatnonzero((labels >= start) & (labels < start + len(w)))
-        at = labels[mine] - start
-        angle = np.arccos(cos[mine, at])
-        cos[mine, at] = np.cos(angle + margin)
-        return scale * cos, mine, at, angle
+    starts = range(0, n_classes, _CLASS_BLOCK)
+    options = (n_classes, np.deg2rad(margin_degrees), scale, seed)
+    top, total, own = log_sums(e, labels, starts, *options)
+    loss = top + np.log(total) - own
+    return loss, slopes(e, labels, starts, top, total, *options) if gradient else None
+
+
+def _directions(start: int, n_classes: int, dim: int, seed: int) -> np.ndarray:
+    """Unit directions of the block of classes that begins at ``start``."""
+    rng = np.random.default_rng([seed, start // _CLASS_BLOCK])
+    w = rng.standard_normal((_CLASS_BLOCK, dim))
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    return w[: n_classes - start]
+
+
+def _logits(e, labels, start: int, w: np.ndarray, margin: float, scale: float):
+    """Scaled cosines with the margin on the true class; which rows have it here, where, and its angle."""
+    cos = np.clip(e @ w.T, -_COS_LIMIT, _COS_LIMIT)
+    mine = np.flatnonzero((labels >= start) & (labels < start + len(w)))
+    at = labels[mine] - start
+    angle = np.arccos(cos[mine, at])
+    cos[mine, at] = np.cos(angle + margin)
+    return scale * cos, mine, at, angle
+
 
+def log_sums(e, labels, starts, n_classes: int, margin: float, scale: float, seed: int):
+    """Over the blocks of classes in ``starts``: each row's largest logit, the sum of
+    exponentials relative to it, and the logit of its own class (0 if not among them)."""
+    n, dim = e.shape
     top, total, own = np.full(n, -np.inf), np.zeros(n), np.zeros(n)
-    for start in blocks:
-        z, mine, at, _ = logits(start, directions(start))
+    for start in starts:
+        z, mine, at, _ = _logits(e, labels, start, _directions(start, n_classes, dim, seed), margin, scale)
         peak = np.maximum(top, z.max(axis=1))
         total = total * np.exp(top - peak) + np.exp(z - peak[:, None]).sum(axis=1)
         top = peak
         own[mine] = z[mine, at]
-    loss = top + np.log(total) - own
-    if not gradient:
-        return loss, None
+    return top, total, own
+
+
+def slopes(e, labels, starts, top, total, n_classes: int, margin: float, scale: float, seed: int) -> np.ndarray:
+    """The share of the blocks in ``starts`` in the gradient of the loss by each row."""
     slope = np.zeros_like(e)
-    for start in blocks:
-        w = directions(start)
-        z, mine, at, angle = logits(start, w)
+    for start in starts:
+        w = _directions(start, n_classes, e.shape[1], seed)
+        z, mine, at, angle = _logits(e, labels, start, w, margin, scale)
         d = np.exp(z - top[:, None]) / total[:, None]
         d[mine, at] -= 1.0
         d *= scale
         d[mine, at] *= np.sin(angle + margin) / np.sin(angle)
         slope += d @ w
-    return loss, slope
+    return slope
 
 
 def keep_mask(row_keys: np.ndarray, width: int, seed: int, step: int) -> np.ndarray:
@@ -112,7 +135,9 @@ def keep_mask(row_keys: np.ndarray, width: int, seed: int, step: int) -> np.ndar
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= DROPOUT
 
 
-def _summed(rows: DataFrame, partial: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray]:
+def _summed(
+    rows: DataFrame, partial: Callable[[pa.RecordBatch], list[np.ndarray]], n_tasks: int | None = None
+) -> list[np.ndarray]:
     """Add up arrays that ``partial`` computes per batch: in the task, then across tasks."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +159,8 @@ def _summed(rows: DataFrame, partial: Callable[[pa.RecordBatch], list[np.ndarray
 
     schema = "shapes array<array<int>>, data binary"
     parts = rows.mapInArrow(per_task, schema)
-    n_tasks = rows.rdd.getNumPartitions()
+    if n_tasks is None:
+        n_tasks = 1 + (rows.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0)
     while n_tasks > _FAN_IN:
         n_tasks = -(-n_tasks // _FAN_IN)
         slot = F.pmod(F.spark_partition_id(), F.lit(n_tasks))
@@ -194,7 +220,14 @@ class Fit:
 
 
 def train_step(
-    head: ProjectionHead,
+    head: ProjectionHead, batch: DataFrame, n_classes: int, **options
+) -> tuple[float, dict[str, np.ndarray]]:
+    """``train_steps`` for one head over a batch with columns embedding, class_id, row_key."""
+    return train_steps([head], batch.select("class_id", "row_key", "embedding"), n_classes, **options)[0]
+
+
+def train_steps(
+    heads: Sequence[ProjectionHead],
     batch: DataFrame,
     n_classes: int,
     *,
@@ -202,105 +235,246 @@ def train_step(
     scale: float,
     seed: int,
     step: int,
-) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and gradients over ``batch`` (columns embedding, class_id, row_key).
+    n_tasks: int | None = None,
+    shard_classes: int = SHARD_CLASSES,
+) -> list[tuple[float, dict[str, np.ndarray]]]:
+    """Mean loss and gradients of each head over ``batch``: class_id, row_key, then a vector for each head.
 
-    Also moves the head's running batch statistics.
+    Also moves the heads' running batch statistics. Beyond ``shard_classes`` classes
+    the softmax is dealt to the tasks by class.
     """
+    loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
 
     def moments(part: pa.RecordBatch) -> list[np.ndarray]:
-        z = head.linear(matrix(part.column(0)))
-        return [np.float64(len(z)), z.sum(axis=0), (z * z).sum(axis=0)]
+        sums = [np.float64(part.num_rows)]
+        for i, head in enumerate(heads):
+            z = head.linear(matrix(part.column(2 + i)))
+            sums += [z.sum(axis=0), (z * z).sum(axis=0)]
+        return sums
 
-    n, total, squares = _summed(batch, moments)
+    n, *found = _summed(batch, moments, n_tasks)
     if n < 2:
         raise ValueError("a training batch needs two rows")
-    mean = total / n
-    var = np.maximum(squares / n - mean * mean, 0.0)
-    deviation = np.sqrt(var + BN_EPS)
-
-    def gradient_sums(part: pa.RecordBatch) -> list[np.ndarray]:
-        x = matrix(part.column(0))
-        labels = part.column(1).to_numpy()
-        keep = keep_mask(part.column(2).to_numpy(), len(head.bias), seed, step) / (1 - DROPOUT)
-        normed = (head.linear(x) - mean) / deviation
+    n = float(n)
+    stats = []
+    for total, squares in zip(found[::2], found[1::2]):
+        mean = total / n
+        stats.append((mean, np.maximum(squares / n - mean * mean, 0.0)))
+
+    def forward(part: pa.RecordBatch, i: int):
+        """Vectors, normed values, kept shares, lengths and unit rows of one head."""
+        head, (mean, var) = heads[i], stats[i]
+        x = matrix(part.column(2 + i))
+        keep = keep_mask(part.column(1).to_numpy(), len(head.bias), seed, step) / (1 - DROPOUT)
+        normed = (head.linear(x) - mean) / np.sqrt(var + BN_EPS)
         dropped = (normed * head.bn_gamma + head.bn_beta) * keep
         length = np.maximum(np.linalg.norm(dropped, axis=1, keepdims=True), 1e-12)
-        unit = dropped / length
-        loss, slope = arcface_loss_and_gradient(
-            unit, labels, n_classes, margin_degrees=margin_degrees, scale=scale, seed=seed
-        )
-        slope -= (slope * unit).sum(axis=1, keepdims=True) * unit
+        return x, normed, keep, length, dropped / length
+
+    def backward(x, normed, keep, length, unit, loss, slope) -> list[np.ndarray]:
+        slope = slope - (slope * unit).sum(axis=1, keepdims=True) * unit
         dy = slope / length * keep / n
         return [loss.sum(), dy.sum(axis=0), (dy * normed).sum(axis=0), dy.T @ x, normed.T @ x, x.sum(axis=0)]
 
-    loss, beta, gamma, dy_x, normed_x, x_sum = _summed(batch, gradient_sums)
-    lever = (head.bn_gamma / deviation)[:, None]
-    weight = lever * (dy_x - np.outer(beta / n, x_sum) - (gamma / n)[:, None] * normed_x)
-    # Batch normalisation removes any shift, so the bias has no gradient.
-    gradients = {
-        "weight": weight,
-        "bias": np.zeros_like(head.bias),
-        "bn_gamma": gamma,
-        "bn_beta": beta,
-    }
-    head.bn_mean = (1 - BN_MOMENTUM) * head.bn_mean + BN_MOMENTUM * mean
-    head.bn_var = (1 - BN_MOMENTUM) * head.bn_var + BN_MOMENTUM * var * n / (n - 1)
-    return float(loss / n), gradients
+    def gradient_sums(part: pa.RecordBatch) -> list[np.ndarray]:
+        labels, sums = part.column(0).to_numpy(), []
+        for i in range(len(heads)):
+            state = forward(part, i)
+            sums += backward(*state, *arcface_loss_and_gradient(state[-1], labels, n_classes, **loss_options))
+        return sums
+
+    if n_classes <= shard_classes:
+        sums = _summed(batch, gradient_sums, n_tasks)
+    else:
+        # one batch, whose size is a parameter
+        rows = batch.toArrow().combine_chunks()
+        part = rows.to_batches()[0]
+        states = [forward(part, i) for i in range(len(heads))]
+        units = [state[-1] for state in states]
+        found = sharded_softmax(batch.sparkSession, units, part.column(0).to_numpy(), n_classes, **loss_options)
+        sums = []
+        for state, (loss, slope) in zip(states, found):
+            sums += backward(*state, loss, slope)
+    results = []
+    for i, (head, (mean, var)) in enumerate(zip(heads, stats)):
+        loss, beta, gamma, dy_x, normed_x, x_sum = sums[6 * i : 6 * i + 6]
+        lever = (head.bn_gamma / np.sqrt(var + BN_EPS))[:, None]
+        weight = lever * (dy_x - np.outer(beta / n, x_sum) - (gamma / n)[:, None] * normed_x)
+        # Batch normalisation removes any shift, so the bias has no gradient.
+        gradients = {
+            "weight": weight,
+            "bias": np.zeros_like(head.bias),
+            "bn_gamma": gamma,
+            "bn_beta": beta,
+        }
+        head.bn_mean = (1 - BN_MOMENTUM) * head.bn_mean + BN_MOMENTUM * mean
+        head.bn_var = (1 - BN_MOMENTUM) * head.bn_var + BN_MOMENTUM * var * n / (n - 1)
+        results.append((float(loss / n), gradients))
+    return results
 
 
-def _validation_loss(head, val, n_classes, margin_degrees, scale, seed) -> float:
-    """Mean over batches of their mean loss, as the training loss is reported."""
+def sharded_softmax(
+    spark: SparkSession,
+    units: Sequence[np.ndarray],
+    labels: np.ndarray,
+    n_classes: int,
+    *,
+    margin_degrees: float,
+    scale: float,
+    seed: int,
+    shard_blocks: int = SHARD_BLOCKS,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Loss and gradient of each unit row, the classes dealt to tasks in ranges of ``shard_blocks`` blocks.
+
+    Every task does the same work however many classes there are; more classes are
+    more tasks. The first round brings back three numbers a row and task, the second
+    adds up one slope a row.
+    """
+    blocks = -(-n_classes // _CLASS_BLOCK)
+    shards = -(-blocks // shard_blocks)
+    options = (n_classes, np.deg2rad(margin_degrees), scale, seed)
+    batch = spark.sparkContext.broadcast((list(units), labels))  # one batch of rows
+    ranges = spark.range(0, shards, 1, shards)
+
+    def starts_of(shard: int) -> range:
+        return range(shard * shard_blocks * _CLASS_BLOCK, min(n_classes, (shard + 1) * shard_blocks * _CLASS_BLOCK), _CLASS_BLOCK)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, own_labels = batch.value
+        for part in batches:
+            for shard in part.column(0).to_pylist():
+                packed = []
+                for e in rows:
+                    packed += log_sums(e, own_labels, starts_of(shard), *options)
+                yield _packed(packed)
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(r["shapes"], r["data"]) for r in table.to_pylist()]
+        return pa.Table.from_batches([_packed(_joined(parts))])
+
+    schema = "shapes array<array<int>>, data binary"
+    found, left = ranges.mapInArrow(sums, schema), shards
+    while left > _FAN_IN:
+        left = -(-left // _FAN_IN)
+        found = found.groupBy(F.pmod(F.spark_partition_id(), F.lit(left)).alias("slot")).applyInArrow(merge, schema)
+    whole = _joined([_unpacked(r["shapes"], r["data"]) for r in found.collect()])
+    tops = spark.sparkContext.broadcast(whole)
+
+    def slope_sums(part: pa.RecordBatch) -> list[np.ndarray]:
+        rows, own_labels = batch.value
+        total = [np.zeros_like(e) for e in rows]
+        for shard in part.column(0).to_pylist():
+            for i, e in enumerate(rows):
+                total[i] += slopes(e, own_labels, starts_of(shard), tops.value[3 * i], tops.value[3 * i + 1], *options)
+        return total
+
+    slope = _summed(ranges, slope_sums, shards)
+    losses = [whole[3 * i] + np.log(whole[3 * i + 1]) - whole[3 * i + 2] for i in range(len(units))]
+    return list(zip(losses, slope))
+
+
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Softmax sums of disjoint ranges of classes as those of their union."""
+    whole = [a.copy() for a in parts[0]]
+    for part in parts[1:]:
+        for i in range(0, len(whole), 3):
+            peak = np.maximum(whole[i], part[i])
+            whole[i + 1] = whole[i + 1] * np.exp(whole[i] - peak) + part[i + 1] * np.exp(part[i] - peak)
+            whole[i] = peak
+            whole[i + 2] = whole[i + 2] + part[i + 2]  # only one range holds a row's class
+    return whole
+
+
+def _validation_losses(heads: Sequence[ProjectionHead], val: DataFrame, n_classes: int, options: dict) -> list[float]:
+    """For each head the mean over batches of their mean loss, as the training loss is reported.
+
+    ``val`` holds class_id, batch, then a vector for each head.
+    """
+    names = [f"loss{i}" for i in range(len(heads))]
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
-                loss, _ = arcface_loss_and_gradient(
-                    head.project(matrix(part.column(0))),
-                    part.column(1).to_numpy(),
-                    n_classes,
-                    margin_degrees=margin_degrees,
-                    scale=scale,
-                    seed=seed,
-                    gradient=False,
-                )
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(loss)], names=["batch", "loss"])
+                columns = [part.column(1)]
+                for i, head in enumerate(heads):
+                    unit = head.project(matrix(part.column(2 + i)))
+                    labels = part.column(0).to_numpy()
+                    loss, _ = arcface_loss_and_gradient(unit, labels, n_classes, **options, gradient=False)
+                    columns.append(pa.array(loss))
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", *names])
 
-    scored = val.select("embedding", "class_id", "batch").mapInArrow(losses, "batch long, loss double")
-    return scored.groupBy("batch").agg(F.avg("loss").alias("loss")).agg(F.avg("loss")).first()[0]
+    scored = val.mapInArrow(losses, ", ".join(["batch long", *[f"{n} double" for n in names]]))
+    by_batch = scored.groupBy("batch").agg(*[F.avg(n).alias(n) for n in names])
+    return list(by_batch.agg(*[F.avg(n) for n in names]).first())
 
 
 def validation_metrics(
-    head: ProjectionHead,
+    heads: Mapping[str, tuple[ProjectionHead, str]],
     val: DataFrame,
     *,
     id_col: str = "posting_id",
     group_col: str = "label_group",
-) -> dict[str, float]:
-    """Mean retrieval metrics of the projected validation rows among themselves."""
+) -> dict[str, dict[str, float]]:
+    """Mean retrieval metrics of the validation rows among themselves, projected by each head.
+
+    ``heads`` maps a name to a head and its vector column. One search and one
+    aggregate serve all of them.
+    """
+    projected = None
+    for name, (head, column) in heads.items():
+        rows = val.select(id_col, group_col, F.col(column).alias("embedding"))
+        rows = apply_head(rows, head).withColumn("_head", F.lit(name))
+        projected = rows if projected is None else projected.unionByName(rows)
+    projected = materialize(projected)
     found = knn_self_join(
-        apply_head(val, head),
-        k=RETRIEVAL_K,
-        threshold=RETRIEVAL_THRESHOLD,
-        id_col=id_col,
-        carry=[group_col],
+        projected, k=RETRIEVAL_K, threshold=RETRIEVAL_THRESHOLD, id_col=id_col, carry=[group_col], within=["_head"]
     )
     rows = mx.metrics_from_neighbors(
-        val.withColumn("stratum", F.lit(None).cast("string")),
+        projected.withColumn("stratum", F.lit(None).cast("string")),
         found,
         RETRIEVAL_RECALL_KS,
         id_col=id_col,
         group_col=group_col,
+        by=["_head"],
     )
-    means = mx.summarize_metrics(rows, id_col=id_col, group_col=group_col).first().asDict()
+    columns = mx.metric_columns(rows, ("_head", id_col, group_col, "stratum"))
+    means = rows.groupBy("_head").agg(*[F.avg(f"`{c}`").alias(c) for c in columns]).collect()  # a row a head
     return {
-        (c if c.startswith("recall-") else f"avg_{c}"): float(means[c]) for c in means
+        r["_head"]: {(c if c.startswith("recall-") else f"avg_{c}"): float(r[c]) for c in columns} for r in means
     }
 
 
-def fit_head(
+class _Run:
+    """One head on its way: optimiser, best state so far, epochs without progress."""
+
+    def __init__(self, column: str, input_dim: int, projection_dim: int, seed: int, weight_decay: float) -> None:
+        self.column, self.input_dim = column, input_dim
+        self.head = ProjectionHead.initial(input_dim, projection_dim, seed)
+        self.optimiser = _AdamW(self.head, weight_decay)
+        self.best: tuple[ProjectionHead, dict[str, float]] | None = None
+        self.best_f1, self.misses = 0.0, 0
+        self.losses: list[float] = []
+        self.history: list[tuple[int, str, float]] = []
+
+    def close_epoch(self, epoch: int, rate: float, val_loss: float, scores: dict[str, float]) -> None:
+        log = {"train_loss": float(np.mean(self.losses)), "val_loss": val_loss, **scores, "learning_rate": float(rate)}
+        self.history += [(epoch, name, value) for name, value in log.items()]
+        self.losses = []
+        if scores["avg_f1"] > self.best_f1:
+            self.best, self.best_f1, self.misses = (copy.deepcopy(self.head), scores), scores["avg_f1"], 0
+        else:
+            self.misses += 1
+
+
+def fit_head(train: DataFrame, val: DataFrame, *, vec_col: str = "embedding", fusion_type: str | None = None, **options) -> Fit:
+    """``fit_heads`` for one vector column."""
+    return fit_heads(train, val, {vec_col: vec_col}, fusion_types={vec_col: fusion_type}, **options)[vec_col]
+
+
+def fit_heads(
     train: DataFrame,
     val: DataFrame,
+    vec_cols: Mapping[str, str],
     *,
     projection_dim: int = 512,
     samples_per_class: int = 4,
@@ -311,18 +485,22 @@ def fit_head(
     margin_degrees: float = 28.6,
     scale: float = 64.0,
     early_stopping_patience: int = 5,
-    fusion_type: str | None = None,
+    batches_per_epoch: int | None = None,
+    fusion_types: Mapping[str, str | None] | None = None,
+    shard_classes: int = SHARD_CLASSES,
     seed: int = 42,
     id_col: str = "posting_id",
     label_col: str = "label_group",
-    vec_col: str = "embedding",
-) -> Fit:
-    """Train a head on ``train``, keep the one with the best F1 on ``val``.
-
-    Classes span both splits. Stops after ``early_stopping_patience`` epochs
-    without a strictly better F1, and raises if F1 never leaves zero.
+) -> dict[str, Fit]:
+    """Train a head for each vector column of ``train``, keep those with the best F1 on ``val``.
+
+    ``vec_cols`` maps a variant's name to its column. The heads see the same
+    samples, and each gets what it would get alone. Classes span both splits. An epoch
+    is one pass over the classes, or ``batches_per_epoch`` random batches. A head stops
+    after ``early_stopping_patience`` epochs without a strictly better F1; one whose F1
+    never leaves zero raises.
     """
-    columns = [F.col(id_col), F.col(label_col), F.col(vec_col).alias("embedding")]
+    columns = [F.col(id_col), F.col(label_col), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(vec_cols.values())]]
     train, val = materialize(train.select(*columns)), materialize(val.select(*columns))
     ids = materialize(class_ids(train, val, label_col=label_col))
     n_classes = ids.count()
@@ -333,32 +511,37 @@ def fit_head(
     )
     batch = F.floor((F.col("_rank") - 1) / batch_size).cast("long")
     val = materialize(ranked.withColumn("batch", batch).drop("_rank", "_order"))
-    first = train.select(F.size("embedding")).first()
+    first = train.select(*[F.size(f"_v{i}") for i in range(len(vec_cols))]).first()
     if first is None:
         raise ValueError("no training rows")
-    head = ProjectionHead.initial(first[0], projection_dim, seed)
-    optimiser = _AdamW(head, weight_decay)
+    runs = {
+        name: _Run(f"_v{i}", first[i], projection_dim, seed, weight_decay) for i, name in enumerate(vec_cols)
+    }
     # An epoch's sample has m rows per class; at least as many parts as there are cores.
-    bytes_parts = -(-n_classes * samples_per_class * 4 * first[0] // _TASK_BYTES)
+    bytes_parts = -(-n_classes * samples_per_class * 4 * sum(first) // _TASK_BYTES)
     parts = max(bytes_parts, train.sparkSession.sparkContext.defaultParallelism)
     loss_options = {"margin_degrees": margin_degrees, "scale": scale, "seed": seed}
-    best, best_f1, misses, done = None, 0.0, 0, 0
-    history: list[tuple[int, str, float]] = []
+    placed = None
+    if batches_per_epoch is not None:
+        placed = ranked_rows(train, seed=seed, id_col=id_col, label_col=label_col)
+    done = 0
     for epoch in range(1, num_epochs + 1):
+        active = {name: r for name, r in runs.items() if r.misses < early_stopping_patience}
+        if not active:
+            break
         rate = learning_rate / 2 * (1 + np.cos(np.pi * (epoch - 1) / num_epochs))
-        sample = (
-            m_per_class_sample(
-                train,
-                m=samples_per_class,
-                batch_size=batch_size,
-                seed=seed,
-                epoch=epoch,
-                id_col=id_col,
-                label_col=label_col,
+        options = {"m": samples_per_class, "batch_size": batch_size, "seed": seed, "epoch": epoch}
+        if batches_per_epoch is None:
+            drawn = m_per_class_sample(train, id_col=id_col, label_col=label_col, **options)
+        else:
+            drawn = random_batches(
+                train, batches=batches_per_epoch, id_col=id_col, label_col=label_col, ranked=placed, **options
             )
+        sample = (
+            drawn
             # One slot, one row key: repeats of a row get their own dropout.
             .withColumn("row_key", F.col("row_key").bitwiseXOR(F.col("slot").cast("long")))
-            .select("embedding", "class_id", "row_key", "step")
+            .select("class_id", "row_key", *[r.column for r in active.values()], "step")
             # Rows of every step lie in all partitions, sorted by step, so a step runs
             # on as many tasks as there are parts and skips the other cached batches.
             .repartition(parts, "row_key")
@@ -367,35 +550,30 @@ def fit_head(
         )
         try:
             steps = sample.agg(F.max("step")).first()[0] + 1
-            losses = []
+            heads = [r.head for r in active.values()]
             for step in range(steps):
                 part = sample.where(F.col("step") == step).drop("step")
-                loss, gradients = train_step(
-                    head, part, n_classes, step=done, **loss_options
+                results = train_steps(
+                    heads, part, n_classes, step=done, n_tasks=parts, shard_classes=shard_classes, **loss_options
                 )
-                optimiser.update(head, gradients, rate)
-                losses.append(loss)
+                for r, (loss, gradients) in zip(active.values(), results):
+                    r.optimiser.update(r.head, gradients, rate)
+                    r.losses.append(loss)
                 done += 1
         finally:
             sample.unpersist()
-        scores = validation_metrics(head, val, id_col=id_col, group_col=label_col)
-        epoch_log = {
-            "train_loss": float(np.mean(losses)),
-            "val_loss": _validation_loss(head, val, n_classes, margin_degrees, scale, seed),
-            **scores,
-            "learning_rate": float(rate),
-        }
-        history += [(epoch, name, value) for name, value in epoch_log.items()]
-        if scores["avg_f1"] > best_f1:
-            best, best_f1, misses = (copy.deepcopy(head), scores), scores["avg_f1"], 0
-        else:
-            misses += 1
-            if misses >= early_stopping_patience:
-                break
-    if best is None:
-        raise ValueError("validation F1 never rose above zero; no head to keep")
-    parameters = {
-        "input_dim": first[0],
+        scores = validation_metrics(
+            {name: (r.head, r.column) for name, r in active.items()}, val, id_col=id_col, group_col=label_col
+        )
+        losses = _validation_losses(
+            heads, val.select("class_id", "batch", *[r.column for r in active.values()]), n_classes, loss_options
+        )
+        for (name, r), loss in zip(active.items(), losses):
+            r.close_epoch(epoch, rate, loss, scores[name])
+    lost = [name for name, r in runs.items() if r.best is None]
+    if lost:
+        raise ValueError(f"validation F1 never rose above zero for {lost}; no head to keep")
+    settings = {
         "projection_dim": projection_dim,
         "samples_per_class": samples_per_class,
         "num_classes": n_classes,
@@ -406,6 +584,13 @@ def fit_head(
         "margin": margin_degrees,
         "scale": scale,
         "early_stopping_patience": early_stopping_patience,
-        "fusion_type": fusion_type or "none",
     }
-    return Fit(best[0], best[1], parameters, history)
+    fusion = fusion_types or {}
+    return {
+        name: Fit(
+            *r.best,
+            {"input_dim": r.input_dim, **settings, "fusion_type": fusion.get(name) or "none"},
+            r.history,
+        )
+        for name, r in runs.items()
+    }

@@ -8,7 +8,7 @@ import pytest
 
 from kinfold.operators import encoding, training
 from kinfold.operators.projection import BN_EPS, DROPOUT, ProjectionHead, apply_head
-from kinfold.plans.variants import run_variants
+from kinfold.plans.variants import fit_variants, run_variants
 
 
 def test_text_encoding_batches_and_cleaning(spark):
@@ -166,3 +166,97 @@ def test_variants_skip_missing_inputs_and_tune_on_val(spark):
         val, test = part[part.split == "val"], part[part.split == "test"]
         assert len(val) == 9 and len(test) == 1
         assert test.threshold.iloc[0] == val.sort_values(["avg_f1", "threshold"], ascending=[False, True]).threshold.iloc[0]
+
+
+def test_heads_fitted_together_are_those_fitted_alone(spark):
+    df = clusters(spark).withColumn("other", training.F.reverse("embedding")).withColumn(
+        "long", training.F.concat("embedding", "other")
+    )
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    options = dict(projection_dim=12, num_epochs=3, batch_size=16, learning_rate=0.02, scale=8.0, margin_degrees=5.0)
+    both = training.fit_heads(train, val, {"a": "embedding", "b": "long"}, **options)
+    for name, column in (("a", "embedding"), ("b", "long")):
+        alone = training.fit_head(train, val, vec_col=column, **options)
+        assert both[name].head.weight == pytest.approx(alone.head.weight, abs=1e-6)
+        assert both[name].head.bn_var == pytest.approx(alone.head.bn_var, abs=1e-6)
+        assert [h[:2] for h in both[name].history] == [h[:2] for h in alone.history]
+        assert [h[2] for h in both[name].history] == pytest.approx([h[2] for h in alone.history], abs=1e-6)
+        assert both[name].parameters["input_dim"] == len(both[name].head.weight[0])
+
+
+def test_a_head_stops_while_others_go_on(spark):
+    df = clusters(spark).withColumn("flat", training.F.transform("embedding", lambda x: x * 0 + 1.0).cast("array<float>"))
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    fits = training.fit_heads(
+        train, val, {"good": "embedding", "flat": "flat"}, projection_dim=8, num_epochs=6, batch_size=16,
+        learning_rate=0.05, scale=8.0, margin_degrees=5.0, early_stopping_patience=1,
+    )
+    epochs = {name: max(h[0] for h in fit.history) for name, fit in fits.items()}
+    assert epochs["flat"] == 2  # equal vectors give the same F1 in every epoch
+    assert epochs["good"] >= epochs["flat"]
+
+
+@pytest.mark.parametrize("n_classes,shard_blocks", [(100, 8), (5000, 1), (9000, 2), (90_000, 1)])
+def test_sharded_softmax_is_the_whole_one(spark, n_classes, shard_blocks):
+    """Blocks hold 2,048 classes; 44 shards are more than are merged at once."""
+    rng = np.random.default_rng(0)
+    units = []
+    for dim in (3, 4):
+        e = rng.standard_normal((9, dim))
+        units.append(e / np.linalg.norm(e, axis=1, keepdims=True))
+    labels = rng.integers(0, n_classes, 9)
+    options = {"margin_degrees": 20.0, "scale": 8.0, "seed": 3}
+    found = training.sharded_softmax(spark, units, labels, n_classes, shard_blocks=shard_blocks, **options)
+    for e, (loss, slope) in zip(units, found):
+        want_loss, want_slope = training.arcface_loss_and_gradient(e, labels, n_classes, **options)
+        assert loss == pytest.approx(want_loss) and slope == pytest.approx(want_slope, abs=1e-9)
+
+
+def test_joined_sums_of_class_ranges_are_those_of_all():
+    rng = np.random.default_rng(2)
+    e = rng.standard_normal((6, 5))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    labels = np.array([0, 3, 2100, 4500, 1, 6000])
+    options = (6200, 0.1, 8.0, 3)
+    parts = [list(training.log_sums(e, labels, [start], *options)) for start in (0, 2048, 4096)]
+    for joined in (training._joined(parts), training._joined(parts[::-1])):
+        for got, want in zip(joined, training.log_sums(e, labels, (0, 2048, 4096), *options)):
+            assert got == pytest.approx(want)
+
+
+def test_a_step_with_dealt_classes_is_the_same_step(spark):
+    rng = np.random.default_rng(1)
+    n_classes = 5000  # three blocks
+    rows = [([float(x) for x in rng.standard_normal(4)], int(rng.integers(0, n_classes)), int(k)) for k in range(40)]
+    batch = spark.createDataFrame(rows, "embedding array<float>, class_id long, row_key long").repartition(3)
+    options = {"margin_degrees": 10.0, "scale": 5.0, "seed": 2, "step": 0}
+    results = []
+    for shard in (10_000, 100):
+        head = ProjectionHead.initial(4, 3, seed=5)
+        results.append((*training.train_step(head, batch, n_classes, shard_classes=shard, **options), head.bn_mean))
+    (loss, gradients, mean), (loss2, gradients2, mean2) = results
+    assert loss == pytest.approx(loss2) and mean == pytest.approx(mean2)
+    for name in gradients:
+        assert gradients[name] == pytest.approx(gradients2[name], abs=1e-9)
+
+
+def test_the_whole_matrix_has_every_variant_frozen_and_projected(spark):
+    df = clusters(spark)
+    images = df.select("posting_id", "embedding")
+    titles = df.select("posting_id", training.F.reverse("embedding").alias("embedding"))
+    options = dict(projection_dim=8, num_epochs=2, batch_size=16, learning_rate=0.02, scale=8.0, margin_degrees=5.0)
+    rows = df.drop("embedding")
+    fits = fit_variants(rows, {"images": images, "titles": titles}, **options)
+    assert {n: f.parameters["fusion_type"] for n, f in fits.items()} == {
+        "images": "none", "titles": "none", "multimodal_concat": "concat", "multimodal_sum": "sum"
+    }
+    heads = {n: f.head for n, f in fits.items()}
+    got = run_variants(rows, {"images": images, "titles": titles}, heads=heads).toPandas()
+    assert len(got) == 4 * 2 * 10
+    assert got.groupby(["variant", "head", "split"]).size().to_dict() == {
+        (v, h, s): n for v in heads for h in ("frozen", "projected") for s, n in (("val", 9), ("test", 1))
+    }
+    # a vector and its reverse agree on all similarities, alone and side by side
+    frozen = got[got["head"] == "frozen"].set_index(["variant", "split", "threshold"])["avg_f1"]
+    assert frozen.loc["images"].tolist() == pytest.approx(frozen.loc["titles"].tolist())
+    assert frozen.loc["images"].tolist() == pytest.approx(frozen.loc["multimodal_concat"].tolist())
