@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import re
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text as fx
 from kinfold.functions.stopwords import default_stop_words
-from kinfold.operators.ngrams import common_ngrams, ngram_counts, ngram_report
+from kinfold.operators.ngrams import common_ngrams, frequent_ngrams, ngram_counts, ngram_report
 
 # Titles of our own around every rule. A phrase goes with the white space after it.
 WRAPPED = [(f"kopi {phrase.upper() if i % 2 else phrase}  bubuk", "kopi bubuk") for i, phrase in enumerate(fx.SLANG_PHRASES)]
@@ -102,3 +104,45 @@ def test_report(titles):
     assert 0 < len(report["ngrams"]) <= 10
     empty = ngram_report(titles, min_frequency=99, stop_words=[]).first()
     assert empty["ngrams"] == [] and empty["total_titles"] == 10
+
+
+@pytest.mark.parametrize("lo,hi,floor", [(1, 1, 2), (2, 4, 2), (2, 4, 5), (3, 5, 3), (2, 3, 1)])
+def test_frequent_ngrams_are_the_counted_ones_above_the_floor(spark, lo, hi, floor):
+    rng = random.Random(9)
+    words = ["tas", "Tas", "kecil", "merah", "é", "x1", "the", "of", *[f"rare{i}" for i in range(40)]]
+    texts = [" ".join(rng.choices(words[:8], k=rng.randint(0, 9)) + rng.choices(words, k=rng.randint(0, 4))) for _ in range(150)]
+    texts += [None, "", "tas " * 300, texts[3], texts[3]]
+    df = spark.createDataFrame([(t,) for t in texts], "title string").repartition(4)
+    options = dict(min_n=lo, max_n=hi, stop_words=["of"])
+    want = {tuple(r) for r in ngram_counts(df, **options).where(f"doc_freq >= {floor}").collect()}
+    assert {tuple(r) for r in frequent_ngrams(df, min_frequency=floor, **options).collect()} == want and want
+
+
+def test_a_full_bloom_filter_costs_no_result(spark, monkeypatch):
+    from kinfold.operators import ngrams
+
+    monkeypatch.setattr(ngrams, "_MOST_BITS", 10)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(30)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "title string").repartition(3)
+    options = dict(min_n=1, max_n=3, stop_words=[])
+    want = {tuple(r) for r in ngram_counts(df, **options).where("doc_freq >= 2").collect()}
+    assert {tuple(r) for r in frequent_ngrams(df, min_frequency=2, **options).collect()} == want
+
+
+def test_bloom_filters_hold_what_they_were_given(spark):
+    from kinfold.operators import ngrams
+
+    rows = [([f"a{i}", f"b{i % 7}"],) for i in range(500)]
+    bloom, bits = ngrams._bloom_of(spark.createDataFrame(rows, "words array<string>").repartition(5), 2)
+    import pyarrow as pa
+
+    hashes = ngrams._gram_hashes(ngrams._token_hashes(pa.array([w for (pair,) in rows for w in pair])), 2)[::2]
+    assert len(bloom) << 6 == 1 << bits and ngrams._holds(bloom, bits, hashes).all()
+    others = ngrams._gram_hashes(ngrams._token_hashes(pa.array([f"z{i}" for i in range(4000)])), 2)
+    assert ngrams._holds(bloom, bits, others).mean() < 0.1
+
+
+def test_no_rows_have_no_frequent_ngrams(spark):
+    df = spark.createDataFrame([], "title string")
+    assert frequent_ngrams(df, min_frequency=1, stop_words=[]).count() == 0
