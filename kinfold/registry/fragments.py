@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import profile, splitting
+from kinfold.operators.projection import ProjectionHead
 from kinfold.session import materialize
 
 SCORES = ("multiples_score", "indonesian_score")
@@ -119,6 +121,25 @@ def unsigned_zero(value: str) -> str:
     return f"CASE WHEN {value} = 0 THEN CAST(0 AS DOUBLE) ELSE {value} END"
 
 
+def unit_list(vector: str) -> str:
+    """A list of doubles at unit length, through single precision."""
+    norm = f"greatest(sqrt(list_dot_product({vector}, {vector})), 1e-12)"
+    return f"list_transform({vector}, lambda x: CAST(CAST(x / {norm} AS FLOAT) AS DOUBLE))"
+
+
+def fixed_head(width: int = 64) -> ProjectionHead:
+    """A head whose weights follow a formula the oracle can repeat."""
+    j, i = np.mgrid[0:8, 0:width]
+    head = ProjectionHead.initial(width, 8)
+    head.weight = ((j * 7 + i * 3) % 11 - 5.0) / 10
+    head.bias = np.arange(8) / 10
+    head.bn_gamma = 1 + np.arange(8) / 8
+    head.bn_beta = np.arange(8) / 100
+    head.bn_mean = np.arange(8) / 20
+    head.bn_var = 1 + np.arange(8) / 4
+    return head
+
+
 def neighbors_sql(source: str, k: int) -> str:
     """Best k of ``source`` for each of its rows as CTE ``neighbors``."""
     return f"""pairs AS (

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.functions.text import WORD
+from kinfold.functions.text import SLANG_PHRASES, WORD
 from kinfold.operators import encoding, language, projection, sampling, training
 from kinfold.operators.embeddings import select_split
 from kinfold.operators.prototypes import class_prototypes
 from kinfold.plans import profiling, variants
 from kinfold.registry.fragments import (
     LISTINGS,
+    PRODUCT_ASSIGNMENTS,
     PRODUCTS,
     assigned_products,
+    fixed_head,
     listings,
     products,
     profile_sql,
     table,
+    unit_list,
     unsigned_zero,
 )
+from kinfold.registry.text import clean_sql
 from kinfold.registry.vectors import PROTOTYPES
 from kinfold.session import materialize
 from kinfold.sources.tables import run_log as log_rows
@@ -65,7 +68,6 @@ def text_embeddings(spark, folder):
         lambda: encoding.HashedWords(_DIM),
         text_col="text",
         id_col="doc_id",
-        clean=False,
     )
     return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).select(
         "doc_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
@@ -107,53 +109,60 @@ def m_per_class_sample(spark, folder):
     return sampling.m_per_class_sample(rows)
 
 
-def _fixed_head() -> projection.ProjectionHead:
-    """A head whose weights follow a formula the oracle can repeat."""
-    j, i = np.mgrid[0:8, 0:_IN]
-    head = projection.ProjectionHead.initial(_IN, 8)
-    head.weight = ((j * 7 + i * 3) % 11 - 5.0) / 10
-    head.bias = np.arange(8) / 10
-    head.bn_gamma = 1 + np.arange(8) / 8
-    head.bn_beta = np.arange(8) / 100
-    head.bn_mean = np.arange(8) / 20
-    head.bn_var = 1 + np.arange(8) / 4
-    return head
+def random_batches(spark, folder):
+    """An epoch of random batches over all listings, classes and rows drawn anew for every batch."""
+    rows = listings(spark, folder).select("posting_id", "label_group")
+    return sampling.random_batches(rows)
 
 
 def projection_apply(spark, folder):
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("posting_id"), "embedding")
-    stored = _fixed_head().to_table(spark)
+    stored = fixed_head().to_table(spark)
     projected = projection.apply_head(vectors, projection.ProjectionHead.from_table(stored))
     return projected.select("posting_id", F.posexplode("embedding").alias("pos", "value")).select(
         "posting_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
     )
 
 
-def _fit(spark, folder):
-    rows = assigned_products(spark, folder).select("posting_id", "label_group", "split", "embedding")
-    return training.fit_head(
-        select_split(rows, "train"),
-        select_split(rows, "val"),
-        projection_dim=32,
-        num_epochs=2,
-        scale=20.0,
-        margin_degrees=11.5,
-    )
+# The published configuration of training: scale 20, a margin of 0.2 radians.
+_LOSS = {"scale": 20.0, "margin_degrees": 11.459155902616466}
 
 
 def projection_fit(spark, folder):
-    """The log of a short training run: losses, validation metrics and rates by epoch."""
-    fit = _fit(spark, folder)
+    """The log of a training run with early stopping: losses, validation metrics and rates by epoch."""
+    rows = assigned_products(spark, folder).select("posting_id", "label_group", "split", "embedding")
+    fit = training.fit_head(select_split(rows, "train"), select_split(rows, "val"), **_LOSS)
     return log_rows(spark, "registered", "metric_learning", fit.history)
 
 
-def variant_matrix(spark, folder):
+def _variant_inputs(spark, folder):
     assigned = assigned_products(spark, folder)
     images = assigned.select("posting_id", "embedding")
     titles = materialize(encoding.encode_texts(assigned, lambda: encoding.HashedWords(_IN)))
-    return variants.run_variants(
-        assigned.drop("embedding"), {"images": images, "titles": titles}
-    )
+    return assigned.drop("embedding"), {"images": images, "titles": titles}
+
+
+def _six(df):
+    return df.select(*[F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def variant_matrix(spark, folder):
+    """Four variants, frozen and by the head fitted on each, over the grid of val and at the best threshold of test."""
+    assigned, modalities = _variant_inputs(spark, folder)
+    fits = variants.fit_variants(assigned, modalities, **_LOSS)
+    return _six(variants.run_variants(assigned, modalities, heads={name: f.head for name, f in fits.items()}))
+
+
+def variant_matrix_frozen(spark, folder):
+    return _six(variants.run_variants(*_variant_inputs(spark, folder)))
+
+
+def variant_matrix_fixed_heads(spark, folder):
+    """Both halves of the matrix with heads whose weights follow a formula."""
+    assigned, modalities = _variant_inputs(spark, folder)
+    widths = {"images": _IN, "titles": _IN, "multimodal_concat": 2 * _IN, "multimodal_sum": _IN}
+    heads = {name: fixed_head(width) for name, width in widths.items()}
+    return _six(variants.run_variants(assigned, modalities, heads=heads))
 
 
 def profile_job(spark, folder):
@@ -179,9 +188,12 @@ QUERIES = {
         image_embeddings,
         class_ids,
         m_per_class_sample,
+        random_batches,
         projection_apply,
         projection_fit,
         variant_matrix,
+        variant_matrix_frozen,
+        variant_matrix_fixed_heads,
         profile_job,
     )
 }
@@ -204,7 +216,89 @@ gram_profile AS (
   FROM (SELECT DISTINCT gram, n FROM seen) g JOIN space t USING (n)
   LEFT JOIN seen s ON s.gram = g.gram AND s.lang = t.lang)"""
 
+
+
+def _clean(column: str) -> str:
+    return clean_sql(f"coalesce({column}, 'nan')", SLANG_PHRASES)["clean"]
+
+
+_VARIANTS = f"""{PRODUCT_ASSIGNMENTS},
+title_words AS (
+  SELECT posting_id, unnest(regexp_extract_all(lower({_clean("title")}), '{WORD}+')) AS w FROM assigned),
+title_codes AS (SELECT posting_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM title_words),
+title_sums AS (
+  SELECT posting_id, h % {_IN} AS pos, sum(CASE WHEN h // {_IN} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS v
+  FROM title_codes GROUP BY posting_id, pos),
+title_filled AS (
+  SELECT a.posting_id, list(coalesce(v, 0) ORDER BY p) AS v
+  FROM assigned a CROSS JOIN (SELECT unnest(range({_IN})) AS p) r
+  LEFT JOIN title_sums t ON t.posting_id = a.posting_id AND t.pos = r.p GROUP BY a.posting_id),
+paired AS (
+  SELECT a.posting_id, label_group, stratum, split, embedding AS x, {unit_list("v")} AS y
+  FROM assigned a JOIN title_filled USING (posting_id) WHERE split IN ('val', 'test')),
+joined AS (
+  SELECT *, list_concat(x, y) AS xy,
+         list_transform(list_zip(x, y), lambda z: CAST(CAST(z[1] + z[2] AS FLOAT) AS DOUBLE)) AS s FROM paired),
+vectors AS (
+  SELECT 'images' AS variant, posting_id, label_group, split, x AS v FROM joined
+  UNION ALL SELECT 'titles', posting_id, label_group, split, y FROM joined
+  UNION ALL SELECT 'multimodal_concat', posting_id, label_group, split, {unit_list("xy")} FROM joined
+  UNION ALL SELECT 'multimodal_sum', posting_id, label_group, split, {unit_list("s")} FROM joined)"""
+
+# The fixed heads: the linear map, batch normalisation with fixed statistics, unit length.
+_HEADED = f""",
+coded AS (
+  SELECT variant, posting_id, label_group, split, j,
+         sum(x * ((j * 7 + i * 3) % 11 - 5) / 10.0::DOUBLE) + j / 10.0::DOUBLE AS z
+  FROM (SELECT *, unnest(range(len(v))) AS i, unnest(v) AS x FROM vectors) CROSS JOIN (SELECT unnest(range(8)) AS j)
+  GROUP BY variant, posting_id, label_group, split, j),
+normed AS (
+  SELECT variant, posting_id, label_group, split,
+         list((z - j / 20.0::DOUBLE) / sqrt(1 + j / 4.0::DOUBLE + 1e-5) * (1 + j / 8.0::DOUBLE)
+              + j / 100.0::DOUBLE ORDER BY j) AS v
+  FROM coded GROUP BY variant, posting_id, label_group, split),
+sets AS (
+  SELECT 'frozen' AS head, * FROM vectors
+  UNION ALL SELECT 'projected', variant, posting_id, label_group, split, {unit_list("v")} FROM normed)"""
+
+_MATRIX = """,
+pairs AS (
+  SELECT a.variant, a.head, a.split, a.posting_id AS q, b.posting_id AS n, a.label_group = b.label_group AS hit,
+         round(list_dot_product(a.v, b.v), 9) AS sim
+  FROM sets a JOIN sets b USING (variant, head, split)),
+found AS (
+  SELECT *, row_number() OVER (PARTITION BY variant, head, split, q ORDER BY sim DESC, n) AS rank
+  FROM pairs QUALIFY rank <= 51),
+groups AS (SELECT variant, head, split, label_group, count(*) AS size FROM sets GROUP BY ALL),
+steps AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
+counted AS (
+  SELECT s.variant, s.head, s.split, s.posting_id, threshold, any_value(g.size) AS size, count(n) AS got,
+         count(*) FILTER (hit) AS hits, count(*) FILTER (hit AND rank <= 5) AS h5,
+         count(*) FILTER (hit AND rank <= 10) AS h10, count(*) FILTER (hit AND rank <= 50) AS h50
+  FROM sets s JOIN groups g USING (variant, head, split, label_group) CROSS JOIN steps
+  LEFT JOIN found f ON f.variant = s.variant AND f.head = s.head AND f.split = s.split
+    AND f.q = s.posting_id AND sim >= threshold
+  GROUP BY s.variant, s.head, s.split, s.posting_id, threshold),
+ratios AS (
+  SELECT *, CASE WHEN got > 0 THEN hits / CAST(got AS DOUBLE) ELSE 0 END AS p, hits / CAST(size AS DOUBLE) AS r
+  FROM counted),
+means AS (
+  SELECT variant, head, split, threshold, avg(p) AS avg_precision, avg(r) AS avg_recall,
+         avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS avg_f1,
+         avg(h5 / CAST(size AS DOUBLE)) AS "avg_recall-5", avg(h10 / CAST(size AS DOUBLE)) AS "avg_recall-10",
+         avg(h50 / CAST(size AS DOUBLE)) AS "avg_recall-50"
+  FROM ratios GROUP BY variant, head, split, threshold),
+best AS (
+  SELECT variant, head, threshold FROM means WHERE split = 'val'
+  QUALIFY row_number() OVER (PARTITION BY variant, head ORDER BY round(avg_f1, 12) DESC, threshold) = 1)
+SELECT variant, head, split, threshold, round(avg_precision, 6) AS avg_precision, round(avg_recall, 6) AS avg_recall,
+       round(avg_f1, 6) AS avg_f1, round("avg_recall-5", 6) AS "avg_recall-5",
+       round("avg_recall-10", 6) AS "avg_recall-10", round("avg_recall-50", 6) AS "avg_recall-50"
+FROM means WHERE split = 'val' OR (variant, head, threshold) IN (SELECT variant, head, threshold FROM best)"""
+
 SQL = {
+    "variant_matrix_frozen": f"WITH {_VARIANTS},\nsets AS (SELECT 'frozen' AS head, * FROM vectors){_MATRIX}",
+    "variant_matrix_fixed_heads": f"WITH {_VARIANTS}{_HEADED}{_MATRIX}",
     "language_profile": f"WITH {_PROFILE} SELECT gram, lang, round(logp, 6) AS logp FROM gram_profile",
     "language_scores": f"""WITH {_PROFILE},
 sums AS (
@@ -216,7 +310,7 @@ whole AS (
 powers AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS p FROM whole)
 SELECT doc_id, lang, round(p / sum(p) OVER (PARTITION BY doc_id), 5) AS score FROM powers""",
     "text_embeddings": f"""WITH words AS (
-  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '{WORD}+')) AS w FROM documents),
+  SELECT doc_id, unnest(regexp_extract_all(lower({_clean("text")}), '{WORD}+')) AS w FROM documents),
 coded AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM words),
 totals AS (
   SELECT doc_id, h % {_DIM} AS pos, sum(CASE WHEN h // {_DIM} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS v
@@ -283,6 +377,37 @@ slots AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS slot)
 SELECT posting_id, label_group, CAST(step AS INTEGER) AS step, slot
 FROM drawn JOIN classes USING (label_group) JOIN slots ON slot % least(n, 4) = pos - 1
 WHERE pos <= 4""",
+    "random_batches": f"""WITH {LISTINGS},
+classes AS (
+  SELECT label_group, count(*) AS size, row_number() OVER (ORDER BY label_group) - 1 AS class
+  FROM listings GROUP BY label_group),
+placed AS (
+  SELECT posting_id, label_group, class, size,
+         row_number() OVER (PARTITION BY label_group ORDER BY md5(concat('42:', posting_id))) - 1 AS pos
+  FROM listings JOIN classes USING (label_group)),
+steps AS (SELECT unnest(range(390)) AS step, (SELECT count(*) FROM classes) AS n),
+class_tries AS (SELECT step, n, unnest(range(CASE WHEN n <= 256 THEN n ELSE 256 END)) AS t FROM steps),
+class_draws AS (
+  SELECT step, CASE WHEN n <= 256 THEN t ELSE CAST('0x' || substr(md5(concat_ws(':', 42, 1, 'class', step, t)), 1, 12) AS BIGINT) % n END AS class,
+         CASE WHEN n <= 256 THEN md5(concat_ws(':', 42, 1, 'class', step, t)) ELSE lpad(CAST(t AS VARCHAR), 12, '0') END AS o
+  FROM class_tries),
+chosen AS (
+  SELECT step, class FROM (SELECT step, class, min(o) AS o FROM class_draws GROUP BY step, class)
+  QUALIFY row_number() OVER (PARTITION BY step ORDER BY o) <= 64),
+held AS (SELECT step, class, size FROM chosen JOIN classes USING (class)),
+row_tries AS (SELECT step, class, size, unnest(range(CASE WHEN size <= 32 THEN size ELSE 32 END)) AS t FROM held WHERE size >= 4),
+row_draws AS (
+  SELECT step, class, CASE WHEN size <= 32 THEN t ELSE CAST('0x' || substr(md5(concat_ws(':', 42, 1, 'row', step, class, t)), 1, 12) AS BIGINT) % size END AS pos,
+         CASE WHEN size <= 32 THEN md5(concat_ws(':', 42, 1, 'row', step, class, t)) ELSE lpad(CAST(t AS VARCHAR), 12, '0') END AS o
+  FROM row_tries),
+within AS (
+  SELECT step, class, pos, row_number() OVER (PARTITION BY step, class ORDER BY o) - 1 AS slot
+  FROM (SELECT step, class, pos, min(o) AS o FROM row_draws GROUP BY step, class, pos) QUALIFY slot < 4),
+again AS (
+  SELECT step, class, CAST('0x' || substr(md5(concat_ws(':', 42, 1, 'again', step, class, slot)), 1, 12) AS BIGINT) % size AS pos, slot
+  FROM held CROSS JOIN (SELECT unnest(range(4)) AS slot) WHERE size < 4)
+SELECT posting_id, label_group, CAST(step AS INTEGER) AS step, CAST(slot AS INTEGER) AS slot
+FROM (SELECT * FROM within UNION ALL SELECT * FROM again) JOIN placed USING (class, pos)""",
     "projection_apply": """WITH cells AS (
   SELECT vec_id, j, sum(x * ((j * 7 + i * 3) % 11 - 5) / 10.0::DOUBLE) + j / 10.0::DOUBLE AS z
   FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)

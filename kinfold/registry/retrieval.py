@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinfold.operators import metrics as mx
 from kinfold.operators import neighbors as nb
+from kinfold.operators import vector_index
 from kinfold.operators.embeddings import attach_embeddings, select_split
 from kinfold.plans import retrieval as job
 from kinfold.registry.fragments import (
     PRODUCT_ASSIGNMENTS,
     assigned_products,
+    fixed_head,
     metrics_sql,
     neighbors_sql,
     one_threshold,
     table,
+    unit_list,
     unsigned_zero,
 )
-from kinfold.session import materialize
+from kinfold.session import ensure_checkpoint_dir, materialize
 
 _K = 51
 _AT = 0.2
@@ -56,6 +62,27 @@ def approx_similarity_join(spark, folder):
     return _rounded(nb.approx_similarity_join(_vectors(spark, folder), 0.5, k=_K))
 
 
+_LISTS, _PROBES, _NEAR = 8, 3, 10
+
+
+def index_search(spark, folder):
+    """A stored index with centroids by formula, searched by every vector in its three nearest lists."""
+    j, i = np.mgrid[0:_LISTS, 0:64]
+    vectors = _vectors(spark, folder)
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(vectors, centroids=((j * 7 + i * 3) % 11 - 5.0) / 40).save(path)
+    stored = vector_index.VectorIndex.load(spark, path)
+    return _rounded(vector_index.search(stored, vectors, vectors, k=_NEAR, probes=_PROBES))
+
+
+def index_recall(spark, folder):
+    """Lists a fitted index needs for nine tenths of the exact neighbours, measured on a sample of rows."""
+    vectors = _vectors(spark, folder)
+    index = vector_index.build_index(vectors)
+    probes, recall = vector_index.probes_for(index, vectors, recall=0.9, k=_NEAR)
+    return spark.createDataFrame([(len(index.centroids), probes, recall)], "lists int, probes int, recall double")
+
+
 def split_vectors(spark, folder):
     """The test split with its vectors, as rounded components."""
     assigned = assigned_products(spark, folder)
@@ -74,6 +101,14 @@ def retrieval_lists(spark, folder):
     )
 
 
+def retrieval_lists_projected(spark, folder):
+    """The retrieval job with a head: vectors projected before the search."""
+    assigned = assigned_products(spark, folder)
+    return job.retrieve(
+        assigned.drop("embedding"), [_vectors(spark, folder)], split="test", k=_K, threshold=_AT, head=fixed_head()
+    )
+
+
 def retrieval_lists_fused(spark, folder):
     """Two modalities by concatenation; a vector and its reverse agree on every similarity."""
     assigned = assigned_products(spark, folder)
@@ -113,11 +148,24 @@ def metrics_by_stratum(spark, folder):
     return _rounded(mx.summarize_by_stratum(_metrics(spark, folder)))
 
 
-def evaluate_lists(spark, folder):
-    """Metrics the long way: JSON lists decoded and every id looked up."""
+def _evaluation(spark, folder):
     rows, found = _with_neighbors(spark, folder)
     lists = job.retrieval_lists(rows, found, columns=("posting_id", "label_group", "stratum"))
-    return _rounded(job.evaluate(materialize(lists)).rows)
+    return job.evaluate(materialize(lists))
+
+
+def evaluate_lists(spark, folder):
+    """Metrics the long way: JSON lists decoded and every id looked up."""
+    return _rounded(_evaluation(spark, folder).rows)
+
+
+def evaluate_overall(spark, folder):
+    """The evaluation job's means over all lists."""
+    return _rounded(_evaluation(spark, folder).overall)
+
+
+def evaluate_by_stratum(spark, folder):
+    return _rounded(_evaluation(spark, folder).by_stratum)
 
 
 def threshold_grid(spark, folder):
@@ -149,14 +197,19 @@ QUERIES = {
         similarity_join,
         knn_above_threshold,
         approx_similarity_join,
+        index_search,
+        index_recall,
         split_vectors,
         retrieval_lists,
+        retrieval_lists_projected,
         retrieval_lists_fused,
         running_matches,
         retrieval_metrics,
         metrics_overall,
         metrics_by_stratum,
         evaluate_lists,
+        evaluate_overall,
+        evaluate_by_stratum,
         threshold_grid,
         threshold_rows,
         best_threshold,
@@ -216,5 +269,30 @@ FROM neighbors WHERE sim >= {_AT}""",
     "split_grid": f"""WITH {PRODUCT_ASSIGNMENTS}, {_VAL},\n{neighbors_sql('val', _K)}, {_GRID_AT},
 {metrics_sql('val', 't.t')} {_SUMMARY}""",
 }
+SQL["evaluate_overall"] = SQL["metrics_overall"]
+SQL["evaluate_by_stratum"] = SQL["metrics_by_stratum"]
+SQL["index_search"] = f"""WITH {_VECTORS},
+centroids AS (
+  SELECT j, list(((j * 7 + i * 3) % 11 - 5) / 40.0::DOUBLE ORDER BY i) AS c
+  FROM (SELECT unnest(range({_LISTS})) AS j) CROSS JOIN (SELECT unnest(range(64)) AS i) GROUP BY j),
+places AS (
+  SELECT posting_id, embedding, j, row_number() OVER (
+    PARTITION BY posting_id ORDER BY round(0.5 * list_dot_product(c, c) - list_dot_product(embedding, c), 9), j) AS place
+  FROM vectors CROSS JOIN centroids),
+pairs AS (
+  SELECT a.posting_id AS q, b.posting_id AS n,
+         {unsigned_zero("round(list_dot_product(a.embedding, b.embedding), 9)")} AS sim
+  FROM places a JOIN places b USING (j) WHERE a.place <= {_PROBES} AND b.place = 1)
+SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, n AS neighbor_id, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, n) AS rank FROM pairs) WHERE rank <= {_NEAR}"""
+_HEADED_TEST = f"""test AS (SELECT * REPLACE (projected AS embedding) FROM (
+  SELECT a.*, {unit_list("y")} AS projected FROM assigned a
+  JOIN (SELECT posting_id, list(y ORDER BY j) AS y FROM (
+    SELECT posting_id, j, (sum(x * ((j * 7 + i * 3) % 11 - 5) / 10.0::DOUBLE) + j / 10.0::DOUBLE - j / 20.0::DOUBLE)
+             / sqrt(1 + j / 4.0::DOUBLE + 1e-5) * (1 + j / 8.0::DOUBLE) + j / 100.0::DOUBLE AS y
+    FROM (SELECT posting_id, unnest(range(64)) AS i, unnest(embedding) AS x FROM assigned)
+    CROSS JOIN (SELECT unnest(range(8)) AS j) GROUP BY posting_id, j) GROUP BY posting_id) USING (posting_id)
+  WHERE split = 'test'))"""
+SQL["retrieval_lists_projected"] = SQL["retrieval_lists"].replace(_TEST, _HEADED_TEST)
 SQL["knn_topk_blocked"] = SQL["knn_topk"]
 SQL["retrieval_lists_fused"] = SQL["retrieval_lists"]

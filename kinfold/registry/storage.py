@@ -9,8 +9,7 @@ from pyspark.sql import types as T
 
 from kinfold.operators import metrics as mx
 from kinfold.operators.projection import ProjectionHead
-from kinfold.registry.fragments import products, table
-from kinfold.registry.learning import _fixed_head
+from kinfold.registry.fragments import fixed_head, products, table
 from kinfold.registry.retrieval import SQL as RETRIEVAL_SQL
 from kinfold.registry.retrieval import _rounded, _with_neighbors
 from kinfold.session import ensure_checkpoint_dir
@@ -59,7 +58,7 @@ def threshold_tree_round_trip(spark, folder):
 def head_round_trip(spark, folder):
     """A stored head applied to every vector."""
     path = _path(spark)
-    _fixed_head().to_table(spark).write.parquet(path)
+    fixed_head().to_table(spark).write.parquet(path)
     from kinfold.operators.projection import apply_head
 
     head = ProjectionHead.from_table(spark.read.parquet(path))

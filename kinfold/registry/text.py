@@ -18,17 +18,17 @@ _N_TOP = 50
 _EMOJI_SQL = fx.emoji_class() + "+"
 
 
-def _slang_sql() -> str:
+def _slang_sql(phrases=PHRASES) -> str:
     """Words wrapped in markers turn whole-word matching into plain matching."""
-    wrapped = ["\x03 \x02".join(p.split(" ")) for p in fx.longest_first(PHRASES)]
+    wrapped = ["\x03 \x02".join(p.split(" ")) for p in fx.longest_first(phrases)]
     return "(?i)\x02(?:" + "|".join(wrapped) + ")\x03" + fx.SPACE + "*"
 
 
-def _clean_sql(column: str) -> dict[str, str]:
+def clean_sql(column: str, phrases=PHRASES) -> dict[str, str]:
     emoji = f"regexp_replace({column}, '{_EMOJI_SQL}', '', 'g')"
     noise = f"regexp_replace({emoji}, '{fx.NOISE}', '', 'g')"
     marked = f"regexp_replace({noise}, '({fx.WORD}+)', '\x02\\1\x03', 'g')"
-    cut = f"regexp_replace({marked}, '{_slang_sql()}', '', 'g')"
+    cut = f"regexp_replace({marked}, '{_slang_sql(phrases)}', '', 'g')"
     slang = f"regexp_replace({cut}, '[\x02\x03]', '', 'g')"
     cleaned = f"trim(regexp_replace({slang}, '{fx.SPACE}+', ' ', 'g'), ' ')"
     return {"emoji": emoji, "noise": noise, "slang": slang, "clean": cleaned}
@@ -88,7 +88,7 @@ def ngram_report(spark, folder):
     return report.withColumn("ngrams", F.to_json("ngrams"))
 
 
-_STEPS = _clean_sql("coalesce(text, 'nan')")
+_STEPS = clean_sql("coalesce(text, 'nan')")
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, 'nan')), '{fx.WORD}+')"
 _KEPT = f"list_filter({_TOKENS}, lambda x: x NOT IN ({_STOP}))"

@@ -13,7 +13,7 @@ import __spark_entry__ as contract  # noqa: E402
 from check_oracle import compare, oracle_connection  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NO_ORACLE = {"approx_similarity_join", "projection_fit", "variant_matrix"}
+NO_ORACLE = {"approx_similarity_join", "index_recall", "projection_fit", "variant_matrix"}
 
 
 @pytest.fixture(scope="module")
