@@ -41,7 +41,7 @@ def rank_by_value(
     """
     as_double = df.withColumn("_value", F.col(column).cast("double"))
     cuts = as_double.approxQuantile("_value", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]  # no cuts where there are no rows
     bucketed = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket").transform(as_double)
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     return _offset_rank(bucketed, counts, [], [F.col(column)], name).drop("_value")
