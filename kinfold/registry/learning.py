@@ -74,7 +74,7 @@ def text_embeddings(spark, folder):
     )
 
 
-def _pictures(spark, folder):
+def pictures(spark, folder):
     """Each vector drawn as an 8 x 8 grey picture in Spark's image struct."""
     level = F.transform(
         "embedding",
@@ -94,7 +94,7 @@ def _pictures(spark, folder):
 
 
 def image_embeddings(spark, folder):
-    vectors = encoding.encode_images(_pictures(spark, folder))
+    vectors = encoding.encode_images(pictures(spark, folder))
     return vectors.select("posting_id", F.posexplode("embedding").alias("pos", "value")).select(
         "posting_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
     )

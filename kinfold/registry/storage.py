@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.operators import metrics as mx
+from kinfold.operators.embeddings import select_split
 from kinfold.operators.projection import ProjectionHead
-from kinfold.registry.fragments import fixed_head, products, table
+from kinfold.registry.fragments import assigned_products, fixed_head, products, table
+from kinfold.registry.learning import pictures
 from kinfold.registry.retrieval import SQL as RETRIEVAL_SQL
 from kinfold.registry.retrieval import _rounded, _with_neighbors
 from kinfold.session import ensure_checkpoint_dir
-from kinfold.sources import tables
+from kinfold.sources import images, matrix, tables
 
 
 def _path(spark) -> str:
@@ -78,6 +82,55 @@ def run_log_round_trip(spark, folder):
     return back.select("run_id", "run_name", "key", F.round(F.col("value").cast("double"), 9).alias("value"))
 
 
+def matrix_import(spark, folder):
+    """All vectors written as a matrix and its row index; the rows of the test split imported from them."""
+    path = _path(spark)
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("posting_id"), "embedding")
+    matrix.write_matrix(vectors, path)
+    test = select_split(assigned_products(spark, folder), "test").select("posting_id")
+    found = matrix.import_embeddings(spark, f"{path}/matrix", f"{path}/index", rows_per_partition=256, ids=test)
+    return found.select(
+        F.col("posting_id").cast("long").alias("posting_id"), F.posexplode("embedding").alias("pos", "value")
+    ).select("posting_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def image_folder_embeddings(spark, folder):
+    """Every vector drawn as a picture file by the tasks, read by the image source and encoded."""
+    path = _path(spark)
+    rows = pictures(spark, folder).select(
+        F.concat(F.col("posting_id").cast("string"), F.lit(".bmp")).alias("name"), F.col("image.data").alias("grey")
+    )
+    save_pictures(rows, path, side=8)
+    products_ = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("posting_id"), F.concat(F.col("vec_id").cast("string"), F.lit(".bmp")).alias("image")
+    )
+    found = images.encode_image_folder(products_, path)
+    return found.select("posting_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "posting_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
+    )
+
+
+def save_pictures(rows, path: str, *, side: int) -> None:
+    """Grey square pictures ``name, grey`` as bitmap files in ``path``, one by one as the rows come."""
+    # The header of an uncompressed picture of 24 bits a pixel.
+    size = 3 * side * side
+    header = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + size, 0, 0, 54, 40, side, side, 1, 24, 0, size, 2835, 2835, 0, 0)
+    system, inner = matrix.file_system(path)
+    system.create_dir(inner, recursive=True)
+
+    def save(batches):
+        to, folder = matrix.file_system(path)
+        for batch in batches:
+            for name, grey in zip(batch["name"].to_pylist(), batch["grey"].to_pylist()):
+                lines = [grey[i : i + side] for i in range(0, side * side, side)][::-1]  # the last line comes first
+                body = b"".join(bytes(x for g in line for x in (g, g, g)) for line in lines)
+                with to.open_output_stream(f"{folder}/{name}") as file:
+                    file.write(header + body)
+            yield pa.RecordBatch.from_arrays([batch["name"]], ["name"])
+
+    rows.mapInArrow(save, "name string").count()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +140,8 @@ QUERIES = {
         threshold_tree_round_trip,
         head_round_trip,
         run_log_round_trip,
+        matrix_import,
+        image_folder_embeddings,
     )
 }
 
@@ -109,6 +164,8 @@ concat('grid_search/threshold_', t) AS run_name, key, round(value, 9) AS value F
   UNPIVOT (SELECT threshold AS t, CAST(COLUMNS(*) AS DOUBLE) FROM ({RETRIEVAL_SQL["threshold_grid"]}))
   ON COLUMNS(* EXCLUDE (t)) INTO NAME key VALUE value)""",
         "head_round_trip": LEARNING_SQL["projection_apply"],
+        "matrix_import": RETRIEVAL_SQL["split_vectors"],
+        "image_folder_embeddings": LEARNING_SQL["image_embeddings"],
     }
 
 

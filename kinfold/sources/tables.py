@@ -131,3 +131,23 @@ def grid_log(summary: DataFrame, run_id: str, run_name: str = "grid_search") ->
 
 def append_run_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
+
+
+def commit_run_log(log: DataFrame, path: str, part: str) -> None:
+    """Write one part of one or more runs to a log table, replacing what these runs wrote as that part before.
+
+    A job that is run again adds no row twice, and one that fails leaves the table as it
+    was: Spark swaps the folders of the runs only when every task has succeeded. Other
+    runs and parts stay. Read the table with ``read_run_log``.
+    """
+    rows = log.select(*RUN_LOG_SCHEMA.names).withColumn("part", F.lit(part))
+    # a run's log is small: one file each
+    rows.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_id", "part"
+    ).parquet(path)
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All committed rows; a filter on ``run_id`` reads the folders of those runs only."""
+    schema = T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField("part", T.StringType())])
+    return spark.read.schema(schema).parquet(path).select(*RUN_LOG_SCHEMA.names, "part")

@@ -156,3 +156,64 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
         ensure_checkpoint_dir(session("spark://host:7077"))
     assert ensure_checkpoint_dir(session("yarn", "/shared")) == "/shared"
     assert ensure_checkpoint_dir(session("local")) and ensure_checkpoint_dir(session("local[4]"))
+
+
+def stored_matrix(spark, tmp_path, n=50):
+    values = np.random.default_rng(2).standard_normal((n, 3)).astype(np.float32)
+    rows = [(f'id "{i:03d}" \\ é', [float(x) for x in values[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "posting_id string, embedding array<float>").repartition(6)
+    matrix.write_matrix(df, str(tmp_path / "m"))
+    return {r[0]: r[1] for r in rows}
+
+
+def test_a_written_matrix_comes_back(spark, tmp_path):
+    want = stored_matrix(spark, tmp_path)
+    for step in (7, 65536):
+        df = matrix.import_embeddings(spark, str(tmp_path / "m" / "matrix"), str(tmp_path / "m" / "index"), rows_per_partition=step)
+        assert {r["posting_id"]: r["embedding"] for r in df.collect()} == want
+
+
+def test_only_wanted_ranges_of_a_matrix_are_read(spark, tmp_path):
+    """Half of the file is cut off: what is not read cannot fail."""
+    values = np.arange(80, dtype="<f4").reshape(40, 2)
+    header = json.dumps({"embeddings": {"dtype": "F32", "shape": [40, 2], "data_offsets": [0, values.nbytes]}}).encode()
+    path, index = tmp_path / "m.bin", tmp_path / "index.json"
+    path.write_bytes(struct.pack("<Q", len(header)) + header + values.tobytes()[: values.nbytes // 2])
+    index.write_text(json.dumps({str(i): f"p{i}" for i in range(40)}))
+    ids = spark.createDataFrame([("p3",), ("p17",), ("p3",)], "posting_id string")
+    df = matrix.import_embeddings(spark, str(path), str(index), rows_per_partition=4, ids=ids)
+    assert {r["posting_id"]: r["embedding"] for r in df.collect()} == {"p3": [6.0, 7.0], "p17": [34.0, 35.0]}
+    whole = matrix.read_matrix(spark, str(path), rows_per_partition=4)
+    for condition, rows in (("row < 6", range(6)), ("row >= 4 and row <= 9", range(4, 10)), ("row = 19", [19]), ("row in (2, 5)", [2, 5]), ("row > 3 and row < 4", [])):
+        assert sorted(r["row"] for r in whole.where(condition).collect()) == list(rows)
+    reader = matrix.MatrixReader({"path": str(path), "rowsPerPartition": "4"})
+    assert len(reader.partitions()) == 10
+    list(reader.pushFilters([matrix.GreaterThan(("row",), 7), matrix.LessThanOrEqual(("row",), 12)]))
+    assert [(p.start, p.stop) for p in reader.partitions()] == [(8, 12), (12, 16)]
+    with pytest.raises(Exception, match="no row for id|unpack|buffer|size"):
+        matrix.import_embeddings(spark, str(path), str(index), ids=spark.createDataFrame([("unknown",)], "posting_id string")).collect()
+
+
+def test_committed_log_parts_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "log")
+    settings = tables.run_log(spark, "007", "fit", {"lr": 0.1})
+    tables.commit_run_log(settings, path, "settings")
+    tables.commit_run_log(tables.run_log(spark, "007", "fit", [(1, "f1", 0.5), (2, "f1", 0.6)]), path, "metrics")
+    tables.commit_run_log(tables.run_log(spark, "8", "fit", [(1, "f1", 0.1)]), path, "metrics")
+    rows = lambda: sorted(tuple(r) for r in tables.read_run_log(spark, path).select("run_id", "part", "key", "value").collect())
+    want = [("007", "metrics", "f1", "0.5"), ("007", "metrics", "f1", "0.6"), ("007", "settings", "lr", "0.1"), ("8", "metrics", "f1", "0.1")]
+    assert rows() == want
+    tables.commit_run_log(settings, path, "settings")  # the job is run again
+    assert rows() == want
+
+    def fails(batches):
+        for batch in batches:
+            yield batch
+        raise RuntimeError("lost")
+
+    broken = tables.run_log(spark, "007", "fit", [(9, "f1", 0.9)]).repartition(2).mapInArrow(fails, tables.RUN_LOG_SCHEMA)
+    with pytest.raises(Exception, match="lost"):
+        tables.commit_run_log(broken, path, "metrics")
+    assert rows() == want
+    tables.commit_run_log(tables.run_log(spark, "007", "fit", [(1, "f1", 0.7)]), path, "metrics")
+    assert rows() == [("007", "metrics", "f1", "0.7"), *want[2:]]
