@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
 
 # Frequent Indonesian function words.
 INDONESIAN = (
@@ -19,6 +23,17 @@ INDONESIAN = (
 ).split()
 
 
+@lru_cache(1)
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's English list, read from the library's own resource, so no session is needed."""
+    for jar in sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as archive:
+            return tuple(archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    from pyspark.ml.feature import StopWordsRemover  # a client without jars asks the session
+
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def default_stop_words() -> list[str]:
     """Union of the English and Indonesian lists."""
-    return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(INDONESIAN))
+    return sorted(set(english_stop_words()) | set(INDONESIAN))

@@ -36,7 +36,7 @@ from kinfold.operators.projection import (
 )
 from kinfold.operators.ranking import hash_order, rank_by_hash
 from kinfold.operators.sampling import class_ids, m_per_class_sample, random_batches, ranked_rows
-from kinfold.session import materialize
+from kinfold.session import materialize, scratch
 
 # How the validation split is retrieved after each epoch.
 RETRIEVAL_K = 51
@@ -562,9 +562,10 @@ def fit_heads(
                 done += 1
         finally:
             sample.unpersist()
-        scores = validation_metrics(
-            {name: (r.head, r.column) for name, r in active.items()}, val, id_col=id_col, group_col=label_col
-        )
+        with scratch(val.sparkSession):  # projected rows are needed for their metrics only
+            scores = validation_metrics(
+                {name: (r.head, r.column) for name, r in active.items()}, val, id_col=id_col, group_col=label_col
+            )
         losses = _validation_losses(
             heads, val.select("class_id", "batch", *[r.column for r in active.values()]), n_classes, loss_options
         )

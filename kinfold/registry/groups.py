@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import profile, quantiles, splitting
+from kinfold.operators import profile, quantiles, sampling, splitting
+from kinfold.operators.embeddings import select_split
+from kinfold.plans import profiling
 from kinfold.registry.fragments import (
     LISTINGS,
     SCORES,
@@ -106,6 +108,28 @@ def split_null_stratum(spark, folder):
     return splitting.stratified_group_split(groups).select("label_group", "stratum", "split")
 
 
+def split_job(spark, folder):
+    """The split job: its three distributions and, by split and stratum, the rows it assigned."""
+    rows = listings(spark, folder)
+    split = profiling.split_groups(rows, rounded_profile(rows))
+    named = lambda df, name: df.select(
+        F.lit(name).alias("table"), F.col(df.columns[0]).alias("value"), F.lit(None).cast("string").alias("stratum"), "count"
+    )
+    counts = named(split.stratum_counts, "strata").unionByName(named(split.group_counts, "groups"))
+    both = split.assignments.groupBy("split", "stratum").count().select(
+        F.lit("assignments").alias("table"), F.col("split").alias("value"), "stratum", "count"
+    )
+    return counts.unionByName(named(split.row_counts, "rows")).unionByName(both)
+
+
+def train_val_classes(spark, folder):
+    """Class ids over the labels of two splits together, and each row of both with its class."""
+    rows = _assignments(spark, folder).select("posting_id", "label_group", "split")
+    train, val = select_split(rows, "train"), select_split(rows, "val")
+    ids = sampling.class_ids(train, val)
+    return train.unionByName(val).join(ids, "label_group").select("posting_id", "label_group", "split", "class_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -125,6 +149,8 @@ QUERIES = {
         quantiles_bracketed,
         hot_key_assignments,
         split_null_stratum,
+        split_job,
+        train_val_classes,
     )
 }
 
@@ -192,6 +218,18 @@ FROM listings l JOIN splits s USING (label_group) GROUP BY s.split""",
     "group_sizes": f"""WITH {LISTINGS} SELECT label_group, count(*) AS count
 FROM listings WHERE label_group IS NOT NULL GROUP BY label_group""",
 }
+SQL["split_job"] = f"""{_SPLITS},
+rows AS (SELECT l.posting_id, s.split, s.stratum FROM listings l JOIN splits s USING (label_group))
+SELECT 'strata' AS "table", stratum AS value, CAST(NULL AS VARCHAR) AS stratum, count(*) AS count FROM strata GROUP BY strata.stratum
+UNION ALL SELECT 'groups', split, NULL, count(*) FROM splits GROUP BY split
+UNION ALL SELECT 'rows', split, NULL, count(*) FROM rows GROUP BY split
+UNION ALL SELECT 'assignments', split, stratum, count(*) FROM rows GROUP BY split, stratum"""
+SQL["train_val_classes"] = f"""{_SPLITS},
+rows AS (SELECT l.posting_id, label_group, s.split FROM listings l JOIN splits s USING (label_group)
+         WHERE s.split IN ('train', 'val')),
+ids AS (SELECT label_group, row_number() OVER (ORDER BY label_group) - 1 AS class_id
+        FROM (SELECT DISTINCT label_group FROM rows))
+SELECT posting_id, label_group, split, class_id FROM rows JOIN ids USING (label_group)"""
 SQL["quantiles_bracketed"] = SQL["third_quartiles"]
 SQL["hot_key_assignments"] = SQL["assignments"]
 # Of two strata the ties of the largest remainder are the only place where the name counts.

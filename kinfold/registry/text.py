@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as fx
+from kinfold.functions.stopwords import default_stop_words
 from kinfold.operators import ngrams
 from kinfold.registry.fragments import table
 from kinfold.session import spread
@@ -88,11 +89,26 @@ def ngram_report(spark, folder):
     return report.withColumn("ngrams", F.to_json("ngrams"))
 
 
+def ngram_report_default(spark, folder):
+    """The n-gram job as it is called without arguments: floor 100, top 200, both default stop word lists."""
+    report = ngrams.ngram_report(table(spark, folder, "documents"), "text")
+    return report.withColumn("ngrams", F.to_json("ngrams"))
+
+
 _STEPS = clean_sql("coalesce(text, 'nan')")
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, 'nan')), '{fx.WORD}+')"
-_KEPT = f"list_filter({_TOKENS}, lambda x: x NOT IN ({_STOP}))"
-_GRAMS = f"""kept AS (SELECT doc_id, {_KEPT} AS t FROM documents),
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_KEPT = f"list_filter({_TOKENS}, lambda x: x NOT IN ({_quoted(STOP_WORDS)}))"
+
+
+def _grams_sql(stop_words, min_frequency: int, n_top: int) -> str:
+    return f"""kept AS (
+  SELECT doc_id, list_filter({_TOKENS}, lambda x: x NOT IN ({_quoted(stop_words)})) AS t FROM documents),
 grams AS (
   SELECT doc_id, unnest(list_transform(range(1, len(t) - n + 2),
                         lambda i: array_to_string(list_slice(t, i, i + n - 1), ' '))) AS ngram
@@ -100,10 +116,19 @@ grams AS (
 per_doc AS (SELECT ngram, doc_id, count(*) AS c FROM grams GROUP BY ngram, doc_id),
 top AS (
   SELECT ngram, count(*) AS doc_freq, CAST(sum(c) AS BIGINT) AS term_freq FROM per_doc
-  GROUP BY ngram HAVING count(*) >= {_MIN_FREQUENCY}),
+  GROUP BY ngram HAVING count(*) >= {min_frequency}),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY term_freq DESC, ngram) AS rank FROM top
-  QUALIFY rank <= {_N_TOP})"""
+  QUALIFY rank <= {n_top})"""
+
+
+def _report_sql(stop_words, min_frequency: int, n_top: int) -> str:
+    return f"""WITH {_grams_sql(stop_words, min_frequency, n_top)}
+SELECT coalesce(CAST(to_json(list(ngram ORDER BY rank)) AS VARCHAR), '[]') AS ngrams, {min_frequency} AS min_frequency,
+       (SELECT count(*) FROM documents) AS total_titles FROM ranked"""
+
+
+_GRAMS = _grams_sql(STOP_WORDS, _MIN_FREQUENCY, _N_TOP)
 
 QUERIES = {
     "clean_text": clean_text,
@@ -111,6 +136,7 @@ QUERIES = {
     "word_tokens": word_tokens,
     "common_ngrams": common_ngrams,
     "ngram_report": ngram_report,
+    "ngram_report_default": ngram_report_default,
 }
 
 SQL = {
@@ -124,7 +150,6 @@ SQL = {
     "word_tokens": f"""SELECT doc_id, len({_KEPT}) AS n_tokens, array_to_string({_KEPT}, ' ') AS tokens
 FROM documents""",
     "common_ngrams": f"WITH {_GRAMS} SELECT ngram, doc_freq, term_freq, CAST(rank AS INTEGER) AS rank FROM ranked",
-    "ngram_report": f"""WITH {_GRAMS}
-SELECT CAST(to_json(list(ngram ORDER BY rank)) AS VARCHAR) AS ngrams, {_MIN_FREQUENCY} AS min_frequency,
-       (SELECT count(*) FROM documents) AS total_titles FROM ranked""",
+    "ngram_report": _report_sql(STOP_WORDS, _MIN_FREQUENCY, _N_TOP),
+    "ngram_report_default": _report_sql(default_stop_words(), 100, 200),
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +44,67 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_open_scratch: ContextVar[tuple[Scratch, ...]] = ContextVar("open_scratch", default=())
+
+
+class Scratch:
+    """The tables written while it was open; see ``scratch``."""
+
+    def __init__(self) -> None:
+        self.written: list[tuple[DataFrame, str]] = []
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        """Keep a table that ``materialize`` returned."""
+        self.kept += [entry for entry in self.written if entry[0] is table]
+        return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes, on leaving, the tables that ``materialize`` wrote inside, but those it was called with.
+
+    For work whose results are numbers or one written table: what a loop writes on the
+    way does not pile up in the shared folder. Kept tables belong to the scratch around
+    it, if there is one. After an error everything is deleted.
+    """
+    own = Scratch()
+    token = _open_scratch.set((*_open_scratch.get(), own))
+    try:
+        yield own
+    except BaseException:
+        own.kept = []
+        raise
+    finally:
+        _open_scratch.reset(token)
+        around = _open_scratch.get()
+        for entry in own.written:
+            if any(entry is kept for kept in own.kept):
+                if around:
+                    around[-1].written.append(entry)
+            else:
+                _delete(spark, entry[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage, survives lost executors, and keeps column pruning and
-    filter pushdown for the plans that read it several times.
+    filter pushdown for the plans that read it several times. The table stays until
+    the ``scratch`` it was written in ends, or for good where there is none.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kinfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    for own in _open_scratch.get()[-1:]:
+        own.written.append((table, path))
+    return table
 
 
 def spread(df: DataFrame) -> DataFrame:

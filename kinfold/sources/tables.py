@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.session import materialize
+
 PRODUCT_SCHEMA = T.StructType(
     [
         T.StructField("posting_id", T.StringType()),
@@ -49,25 +54,108 @@ RUN_LOG_SCHEMA = T.StructType(
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType = PRODUCT_SCHEMA, *, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = PRODUCT_SCHEMA,
+    *,
+    multi_line: bool = True,
+    split: bool = True,
 ) -> DataFrame:
     """CSV with a header and quoted text; columns are matched by name and none is inferred.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per
-    file; switch it off only for files known to have none. A malformed row is an error.
+    ``multi_line`` allows line breaks inside quotes. Such files are read in as many
+    tasks as any others: see ``csv_records``; the order of the rows is not kept. With
+    ``split=False`` Spark reads them instead, in order and one task a file. A malformed
+    row is an error.
     """
-    read = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", "FAILFAST")
-    )
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+    read = spark.read.option("header", True).options(**options).option("multiLine", multi_line and not split)
     # Without a schema Spark reads just the header line and types nothing.
     names = read.csv(path).columns
     fields = {f.name: f for f in schema.fields}
     full = T.StructType([fields.get(n, T.StructField(n, T.StringType())) for n in names])
-    return read.schema(full).csv(path).select(*[F.col(f"`{n}`") for n in schema.names])
+    wanted = [F.col(f"`{n}`") for n in schema.names]
+    if not (multi_line and split):
+        return read.schema(full).csv(path).select(*wanted)
+    parsed = F.from_csv("value", full.simpleString()[len("struct<") : -1].replace(":", " "), options)
+    return csv_records(spark, path).select(parsed.alias("r")).select("r.*").select(*wanted)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the records of CSV files with a header line, line breaks inside quotes included.
+
+    Whether a line is inside quotes depends on the number of quotes before it in the
+    file. A first pass counts them for each split of the files, and the lines that would
+    begin a record if the split began inside or outside quotes; the counts of earlier
+    splits tell which it is. The second pass numbers the records. Most are one line and
+    go straight through; only the lines of longer ones are grouped.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+    def runs(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple]:
+        """Per batch: its splits in order, each with the rows it has there and the quotes and lines seen before."""
+        seen: dict[tuple, list[int]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch[c].to_pylist() for c in columns)))
+            odd = pc.fill_null(pc.count_substring(batch["value"], '"'), 0).to_numpy().astype(np.int64) % 2
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                state = seen.setdefault(keys[lo], [0, 0, 0])  # quotes' parity, lines, records begun
+                before = (state[0] + np.concatenate(([0], np.cumsum(odd[lo:hi])))) % 2
+                yield batch, keys[lo], lo, hi, before[:-1], odd[lo:hi], state
+                state[0], state[1] = int(before[-1]), state[1] + hi - lo
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list[int]] = {}
+        for _, key, _, _, before, odd, _ in runs(batches, ("file", "block")):
+            sums = found.setdefault(key, [0, 0, 0])
+            sums[0] += int(odd.sum())
+            sums[1] += int((before == 0).sum())
+            sums[2] += int((before == 1).sum())
+        rows = [(*key, *sums) for key, sums in found.items()]
+        names = ["file", "block", "quotes", "outside", "inside"]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema(
+            [("file", pa.string()), *[(n, pa.int64()) for n in names[1:]]]
+        ))
+
+    splits = lines.mapInArrow(survey, "file string, block long, quotes long, outside long, inside long")
+    splits = splits.groupBy("file", "block").agg(*[F.sum(c).alias(c) for c in ("quotes", "outside", "inside")])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    entering = F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2
+    splits = splits.withColumn("_open", entering)
+    begun = F.when(F.col("_open") == 0, F.col("outside")).otherwise(F.col("inside"))
+    splits = splits.withColumn("_begun", begun).select(
+        "file", "block", "_open", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)).alias("_before")
+    )
+    # one row for each split of the files, and a broadcast leaves the lines in their order
+    placed = lines.join(F.broadcast(materialize(splits)), ["file", "block"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, key, lo, hi, before, odd, state in runs(batches, ("file", "block", "_open", "_before")):
+            _, block, opened, earlier_records = key
+            inside = (before + opened) % 2
+            record = earlier_records + state[2] + np.cumsum(inside == 0)
+            state[2] += int((inside == 0).sum())
+            at = state[1] + np.arange(hi - lo)
+            whole = (inside == 0) & (odd == 0)
+            keep = ~((block == 0) & (at == 0))  # the header
+            yield pa.RecordBatch.from_arrays(
+                [batch["value"].slice(lo, hi - lo), batch["file"].slice(lo, hi - lo), batch["block"].slice(lo, hi - lo),
+                 pa.array(at), pa.array(record, mask=whole)],
+                ["value", "file", "block", "at", "record"],
+            ).filter(pa.array(keep))
+
+    numbered = placed.mapInArrow(number, "value string, file string, block long, at long, record long")
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    long_records = numbered.where("record is not null").groupBy("file", "record").agg(parts.alias("p"))
+    joined = long_records.select(F.array_join(F.col("p.value"), "\n").alias("value"))
+    records = numbered.where("record is null").select("value").unionByName(joined)
+    ended = F.regexp_replace("value", "\r$", "")  # of files with lines that end in both characters
+    return records.select(ended.alias("value")).where(F.trim("value") != "")
 
 
 def write_csv(df: DataFrame, path: str, *, header: bool = True, mode: str = "errorifexists") -> None:

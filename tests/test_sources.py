@@ -217,3 +217,29 @@ def test_committed_log_parts_replace_themselves(spark, tmp_path):
     assert rows() == want
     tables.commit_run_log(tables.run_log(spark, "007", "fit", [(1, "f1", 0.7)]), path, "metrics")
     assert rows() == [("007", "metrics", "f1", "0.7"), *want[2:]]
+
+
+@pytest.mark.parametrize("size", [128 << 20, 40, 7])
+def test_records_with_line_breaks_are_read_in_splits(spark, tmp_path, size):
+    """Splits of a few bytes cut quoted fields anywhere; the rows are those Spark reads file by file."""
+    texts = ["plain", 'say ""hi""', "two\nlines", "\n\nlead", 'odd ""\n"" pair', "a,b", "", "é\r\nmixed", "end\n"]
+    for name in ("one.csv", "two.csv"):
+        rows = [f'{name}-{i},{i}.png,"{t}",{i % 3}' for i, t in enumerate(texts * 3)]
+        (tmp_path / name).write_bytes(("posting_id,image,title,label_group\n" + "\n".join(rows) + "\n").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = tables.read_csv(spark, str(tmp_path))
+        found = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = sorted(map(tuple, tables.read_csv(spark, str(tmp_path), split=False).collect()), key=str)
+    assert sorted(found, key=str) == want and len(want) == 54
+
+
+def test_a_malformed_record_is_an_error_in_splits_too(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("posting_id,image,title,label_group\na,b,c,notanumber\n")
+    with pytest.raises(Exception):
+        tables.read_csv(spark, str(tmp_path / "x.csv")).collect()
