@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -46,3 +47,13 @@ def test_approximate_pairs_are_a_subset_of_the_exact(spark):
 def test_entry_runs(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 1 and 0 < rows[0]["precision"] <= 1
+
+
+def test_core_queries_survive_a_missing_requirement_of_the_corpus_operators():
+    root = str(Path(__file__).resolve().parents[1])
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['ahocorasick'] = None; "
+        f"sys.path.insert(0, {root!r}); import __spark_entry__ as e; "
+        "from kinfold.registry import all_queries; assert set(e.queries()) == set(all_queries())"
+    )
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
