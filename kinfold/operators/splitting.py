@@ -7,12 +7,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.operators.joins import HOT_ROWS, hot_key_lookup
 from kinfold.operators.quantiles import quantile_row
 from kinfold.operators.ranking import hash_order, rank_by_hash, rank_by_order
 from kinfold.session import materialize
 
+# Quotas of up to so many strata are worked out on the driver and broadcast.
+FEW_STRATA = 1_000
+
 
 def assign_stratum(
     groups: DataFrame,
@@ -85,6 +89,12 @@ def quota_table(counts: DataFrame, train_ratio: float, *, stratum: str = "stratu
     """
     counts = materialize(counts.select(stratum, "count"))
     n, strata, least = counts.agg(F.sum("count"), F.count("*"), F.min("count")).first()
+    if 0 < strata <= FEW_STRATA:  # the same rule, without the jobs of a sort
+        sizes = {r[stratum]: r["count"] for r in counts.collect()}
+        quotas = split_quotas(sizes, train_ratio)
+        longs = [T.StructField(name, T.LongType()) for name in ("count", "train", "val")]
+        schema = T.StructType([counts.schema[stratum], *longs])
+        return counts.sparkSession.createDataFrame([(s, sizes[s], *quotas[s]) for s in sizes], schema)
     if not n:
         return counts.withColumns({"train": F.lit(0).cast("long"), "val": F.lit(0).cast("long")})
     held = math.ceil((1.0 - train_ratio) * n)
@@ -121,16 +131,24 @@ def stratified_group_split(
     quotas = quota_table(groups.groupBy(stratify_col).count(), split_ratios[0], stratum=stratify_col)
     keyed = groups.withColumn("_order", hash_order(random_seed, group_col))
     ranked = rank_by_hash(keyed, "_order", within=[stratify_col], name="_rank")
+    if quotas.limit(FEW_STRATA + 1).count() <= FEW_STRATA:
+        few = F.broadcast(quotas.select(F.col(stratify_col).alias("_stratum"), "train", "val"))
+        joined = ranked.join(few, F.col(stratify_col).eqNullSafe(F.col("_stratum")))
+        return _labelled(joined, groups.columns)
     # a struct is a key also where the stratum is null
     ranked = ranked.withColumn("_key", F.struct(F.col(stratify_col).alias("stratum")))
     lookup = quotas.select(F.struct(F.col(stratify_col).alias("stratum")).alias("_key"), "train", "val", F.col("count").alias("_weight"))
     joined = hot_key_lookup(ranked, lookup, "_key", weight="_weight", spread_by=group_col, hot_rows=hot_rows)
+    return _labelled(joined, groups.columns)
+
+
+def _labelled(ranked: DataFrame, columns: Sequence[str]) -> DataFrame:
     split = (
         F.when(F.col("_rank") <= F.col("train"), "train")
         .when(F.col("_rank") <= F.col("train") + F.col("val"), "val")
         .otherwise("test")
     )
-    return joined.withColumn("split", split).select(*groups.columns, "split")
+    return ranked.withColumn("split", split).select(*columns, "split")
 
 
 def assign_rows(
