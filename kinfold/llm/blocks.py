@@ -7,8 +7,9 @@ instead of many small ones and memory is bounded by the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 20
+_POWERS = BLOCK_BYTES + (1 << 16)  # a block and some overlap; 17 MB for each of the two seeds kept
+
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Session settings: Arrow batches cut by bytes, so long texts cost no more memory than
@@ -24,6 +27,26 @@ def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def releasing(work):
+    """For the generator of a task: when it ends, memory it no longer uses goes back to the system.
+
+    Python workers live on after their tasks, several beside each executor, and would
+    keep the most they ever needed.
+    """
+
+    @wraps(work)
+    def run(*args, **kwargs):
+        try:
+            yield from work(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -97,7 +120,7 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 0x5851F42D4C957F2D))
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and their inverses."""
     inverse = pow(base, -1, 1 << 64)
@@ -109,14 +132,13 @@ def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 class Hasher:
     """64-bit hashes of any spans of one byte array, from one pass of prefix sums.
 
-    The power tables are kept between arrays of up to a block's size.
+    The power tables of up to a block's size are kept between arrays.
     """
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         size = len(data) + 1
         base = _BASE + 4 * seed * 0x1234567 & _MASK | 1
-        room = 1 << max(size - 1, BLOCK_BYTES).bit_length()
-        up, down = _powers(room, base) if room <= 4 * BLOCK_BYTES else _powers.__wrapped__(size, base)
+        up, down = _powers(_POWERS, base) if size <= _POWERS else _powers.__wrapped__(size, base)
         self.down = down[:size]
         self.prefix = np.zeros(size, np.uint64)
         np.cumsum(_byte_values(seed)[data] * up[: size - 1], out=self.prefix[1:])

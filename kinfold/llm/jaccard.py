@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.blocks import LOWER, Block, Hasher, blocks, bound_batches, mix, shingles, word_spans
+from kinfold.llm.blocks import LOWER, Block, Hasher, blocks, bound_batches, mix, releasing, shingles, word_spans
 from kinfold.llm.components import components
 from kinfold.llm.suffixes import ENTRY, FOUND, bucket_count, find_ties, flushed, gathered
 from kinfold.session import materialize
@@ -81,6 +81,7 @@ def _identities(count: int, owners: np.ndarray, hashes: np.ndarray) -> tuple[np.
     return sizes, np.where(sizes > 0, mix(total + sizes.astype(np.uint64)), 0).astype(np.uint64).view(np.int64)
 
 
+@releasing
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch["text"]):
@@ -91,6 +92,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@releasing
 def _shingle_entries(batches, buckets: int, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Shingles of one share of the hash range, by bucket, with their places in the sorted set."""
 
@@ -111,6 +113,7 @@ def _shingle_entries(batches, buckets: int, turn: int, rounds: int) -> Iterator[
     yield from flushed(parts(), buckets)
 
 
+@releasing
 def _enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Points whose shared shingles suffice for a link."""
     for batch in batches:
@@ -119,6 +122,7 @@ def _enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array(100 * shared >= percent * batch["n"].to_numpy())).select(["row_id", "key", "places"])
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The shared shingles of each candidate, and how many of them are in its prefix."""
     for batch in batches:
@@ -143,6 +147,7 @@ def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             yield found.filter(pa.array((keys == rows["key"].to_numpy()) & (np.array(prefixes) > 0)))
 
 
+@releasing
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens, sizes = [], []
@@ -234,6 +239,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+@releasing
 def _join_groups(batches, percent: int) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches):
         keys = group["key"].to_numpy()
@@ -245,6 +251,7 @@ def _join_groups(batches, percent: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+@releasing
 def _nearest(batches, percent: int) -> Iterator[pa.RecordBatch]:
     """Home and window regions of every point among its region's pivots."""
     window = 2 * (100 - percent) / 100

@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from kinfold.llm.blocks import bound_batches
+from kinfold.llm.blocks import bound_batches, releasing
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
-_REMEMBERED = 500_000  # words; longer ones than _WORD characters are not kept
+_REMEMBERED = 200_000  # words; longer ones than _WORD characters are not kept
 _WORD = 64
 
 
@@ -194,6 +194,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str] | None =
     kept = [c for c in rest.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed megabyte
 
+    @releasing
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
@@ -210,6 +211,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, *, name: str = "decoded") -
     names = rest.columns
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @releasing
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.blocks import BLOCK_BYTES, Block, Hasher, bound_batches, mix, to_bytes
+from kinfold.llm.blocks import BLOCK_BYTES, Block, Hasher, bound_batches, mix, releasing, to_bytes
 from kinfold.session import materialize
 
 LENGTH = 200
 ORDER = 11  # prime; the cover has ORDER + 1 residues modulo ORDER^2 + ORDER + 1
 ROUNDS = 6
 _GRAM = 16
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 _BUCKET_ENTRIES = 1 << 20
 
 ENTRY = "bucket int, keys binary, counts binary, high binary, low binary, places binary"
@@ -161,16 +161,19 @@ def _slot(key: np.ndarray, slots: int) -> np.ndarray:
 
 
 def flushed(parts: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs what the blocks give whenever a million entries have come together."""
+    """Packs what the blocks give whenever a quarter of a million entries have come together."""
     held, count = [], 0
     for part in parts:
         held.append(part)
         count += len(part[0])
         if count >= _FLUSH:
-            yield from _pack(buckets, *_joined(held))
-            held, count = [], 0
+            whole = _joined(held)
+            held, count = [], 0  # the parts go before their union is sorted
+            yield from _pack(buckets, *whole)
     if count:
-        yield from _pack(buckets, *_joined(held))
+        whole = _joined(held)
+        held = []
+        yield from _pack(buckets, *whole)
 
 
 def _joined(parts: list[tuple]) -> list:
@@ -186,6 +189,7 @@ def _unseen(groups: Iterator[tuple]) -> Iterator[tuple]:
             yield tuple([x for x, ok in zip(column, fresh) if ok] for column in group)
 
 
+@releasing
 def _cover_entries(batches, buckets: int, length: int, order: int) -> Iterator[pa.RecordBatch]:
     modulus, residues = difference_cover(order)
     sampled = np.zeros(modulus, bool)
@@ -207,6 +211,7 @@ def _cover_entries(batches, buckets: int, length: int, order: int) -> Iterator[p
     yield from flushed(parts(), buckets)
 
 
+@releasing
 def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
     def parts():
         for keys, texts, runs in _unseen(_read(batches, ("places",))):
@@ -241,6 +246,7 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
     yield from flushed(parts(), buckets)
 
 
+@releasing
 def find_ties(batches, slots: int) -> Iterator[pa.RecordBatch]:
     """Sorts the entries of this task's buckets and gives the places of repeated values by text."""
     held, names = [], ["slot", "keys", "counts", "places"]
@@ -277,6 +283,7 @@ def find_ties(batches, slots: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names)
 
 
+@releasing
 def _union(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """The union of the runs of each text of this task's slots, each run made longer by ``reach``."""
     keys, runs = [], []
@@ -372,6 +379,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, as_text: bool = Fal
     joined = rest.withColumn("_at", F.xxhash64("text")).join(marks, F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
     names = rest.columns
 
+    @releasing
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[] for _ in added]

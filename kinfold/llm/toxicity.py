@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from kinfold.llm.blocks import Block, Hasher, blocks, bound_batches, lower_latin, mix, word_spans
+from kinfold.llm.blocks import Block, Hasher, blocks, bound_batches, lower_latin, mix, releasing, word_spans
 
 FEATURE_BITS = 18
 MAX_TRAINING_ROWS = 8_000
@@ -76,6 +77,7 @@ def _log_none(scores: np.ndarray, first: np.ndarray, count: int, owner: np.ndarr
     return np.bincount(owner, weights=-np.logaddexp(0, scores), minlength=count)
 
 
+@releasing
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch["text"]):
@@ -171,6 +173,25 @@ def _descend(toxic, words, bags, steps: int, rate: float, decay: float, screen:
     return SentenceModel(weights, float(w[-1]))
 
 
+def chance(model: SentenceModel, text: Column) -> Column:
+    """The noisy-or of a text's sentences as a column: only the text goes to Python and one double comes back.
+
+    0 for a text without words or a null text.
+    """
+    shared = SparkSession.active().sparkContext.broadcast(model)  # a fixed 2 MB
+
+    @arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        fitted, parts = shared.value, [np.zeros(0)]
+        for block in blocks(texts):
+            features, first, owner, _, _ = _featurise(block)
+            sums = np.add.reduceat(fitted.weights[features], first) if len(first) else np.zeros(0)
+            parts.append(-np.expm1(_log_none(sums + fitted.bias, first, len(block), owner)))
+        return pa.array(np.concatenate(parts))
+
+    return scored(text)
+
+
 def score(
     docs: DataFrame, model: SentenceModel, *, threshold: float = 0.5, keep: list[str] | None = None
 ) -> DataFrame:
