@@ -11,10 +11,11 @@ construction with a difference cover.
    follow. Two suffixes that agree on ``length`` bytes have equally ranked samples
    within ``v`` positions, so a suffix without a repeated rank nearby is unique and
    is never sorted.
-2. Suffix buckets. The other suffixes go to buckets by the smallest 16-byte hash
-   in their first ``length`` bytes, which keeps neighbouring suffixes together.
-   Buckets are sorted a share of them at a time, so what is on disk and in memory
-   is bounded; ties are runs of one 96-bit hash of the ``length`` bytes.
+2. Suffix buckets. The other suffixes go to buckets by a hash of their first
+   ``length`` bytes, so a line that many texts share among different neighbours
+   spreads over all buckets. Buckets are sorted a share of them at a time, so what is
+   on disk and in memory is bounded; ties are runs of one 96-bit hash of the
+   ``length`` bytes.
 
 Inside a batch equal keys are merged before the shuffle, so a passage that a third
 of all texts share arrives once per batch. Texts are named by a 64-bit hash;
@@ -37,7 +38,6 @@ from kinfold.session import materialize
 LENGTH = 200
 ORDER = 11  # prime; the cover has ORDER + 1 residues modulo ORDER^2 + ORDER + 1
 ROUNDS = 6
-_GRAM = 16
 _FLUSH = 1 << 18
 _BUCKET_ENTRIES = 1 << 20
 
@@ -227,21 +227,17 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
             at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             if not len(at):
                 continue
-            grams = np.full(len(data), ~np.uint64(0))
-            every = np.arange(len(data) - _GRAM + 1)
-            grams[: len(every)] = s.hasher.spans(every, every + _GRAM)
-            span, step = length - _GRAM + 1, 1
-            while 2 * step <= span:
-                grams[:-step] = np.minimum(grams[:-step], grams[step:])
-                step *= 2
-            anchor = mix(np.minimum(grams[at], grams[at + span - step]))
-            mine = anchor % np.uint64(rounds) == turn
-            at, anchor = at[mine], anchor[mine]
+            high = s.hasher.spans(at, at + length)
+            # equal strings share bucket and round, whatever else their texts have in common
+            share = (high >> np.uint64(20)) % np.uint64(buckets * rounds)
+            mine = share % np.uint64(rounds) == turn
+            if not mine.any():
+                continue
+            at, high, share = at[mine], high[mine], share[mine]
             segment, place = s.positions()
             other = Hasher(data, 1).spans(at, at + length)
             key = np.array(keys, np.int64)[s.text[segment[at]]]
-            bucket = ((anchor >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            yield bucket, key, s.hasher.spans(at, at + length), (other >> np.uint64(32)).astype(np.uint32), place[at]
+            yield (share // np.uint64(rounds)).astype(np.int64), key, high, (other >> np.uint64(32)).astype(np.uint32), place[at]
 
     yield from flushed(parts(), buckets)
 

@@ -105,6 +105,32 @@ def _batch(key: int, text: bytes):
     return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([text.decode()])], ["key", "text"])
 
 
+def test_a_line_of_many_texts_fills_no_bucket(spark):
+    """120 bytes in a third of the texts, among other neighbours each time: its suffixes spread over all buckets."""
+    rng = random.Random(6)
+    line = "".join(rng.choices("abcdefgh ", k=120))
+    other = lambda: "".join(rng.choices("ijklmnop ", k=300))
+    texts = [other() + line + other() if i % 3 == 0 else other() + other() for i in range(600)]
+    places = np.array([[300 - 100, 420]], np.int32).tobytes()
+    batch = _batches([(i, t, places) for i, t in enumerate(texts) if i % 3 == 0])
+    sizes = Counter()
+    for turn in range(4):
+        for found in suffixes._suffix_entries(iter([batch]), 16, 200, 133, turn, 4):
+            for bucket, high in zip(found["bucket"].to_pylist(), found["high"].to_pylist()):
+                sizes[turn, bucket] += len(high) // 8
+    assert len(sizes) == 64 and max(sizes.values()) < 2 * np.median(list(sizes.values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert suffixes.remove_repeats(docs).where("n_removed > 0").isEmpty()
+    assert suffixes.remove_repeats(docs, length=100, order=7).where("n_removed between 120 and 140").count() == 200
+
+
+def _batches(rows):
+    import pyarrow as pa
+
+    keys, texts, places = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts), pa.array(places, pa.binary())], ["key", "text", "places"])
+
+
 def test_difference_cover_holds_every_difference_once():
     for order in (2, 3, 5, 7, 11):
         modulus, residues = suffixes.difference_cover(order)
