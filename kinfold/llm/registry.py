@@ -63,7 +63,7 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     captured = F.date_format(F.timestamp_seconds(F.col("page_id") + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     captures = _table(spark, folder, "pages").withColumn("captured", captured)
     history = warc.capture_history(captures)
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "part", "place")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_rotated_codes(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,4 +179,68 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 WHERE rank <= 2000
 """
 
-SQL: dict[str, str] = {"op11_collocations": OP11_SQL}
+# Every string of 200 bytes by its md5; what no span covers is put together again.
+OP1_SQL = r"""
+WITH bytes AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+starts AS (SELECT r, doc_id, t, unnest(range(0, octet_length(t) - 199)) AS p FROM bytes WHERE octet_length(t) >= 200),
+hashed AS (SELECT r, p, md5(t[p + 1:p + 200]) AS h FROM starts),
+again AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT r, p FROM hashed WHERE h IN (SELECT h FROM again)),
+marked AS (SELECT r, p, p > coalesce(max(p + 200) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM hits),
+numbered AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS g FROM marked),
+spans AS (SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, g),
+gaps AS (
+  SELECT r, g, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT s.r, max(g) + 1, max(s.b), any_value(octet_length(t)) FROM spans s JOIN bytes USING (r) GROUP BY s.r),
+kept AS (SELECT r, string_agg(hex(t[a + 1:b]), '' ORDER BY g) AS k FROM gaps JOIN bytes USING (r) WHERE b > a GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN n_removed IS NULL THEN sha256(t) ELSE sha256(unhex(coalesce(k, ''))) END AS kept_sha256
+FROM bytes LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+# Equal sets are one point; points that share a shingle are compared, links followed to the end.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS k, s FROM sets),
+points AS (SELECT k, any_value(n) AS n, any_value(s) AS s FROM named WHERE k IS NOT NULL GROUP BY k),
+shingles AS (SELECT k, n, hash(unnest(s)) AS h FROM points),
+shared AS (SELECT * FROM shingles WHERE h IN (SELECT h FROM shingles GROUP BY h HAVING count(*) > 1)),
+pairs AS (
+  SELECT a.k AS a, b.k AS b FROM shared a JOIN shared b ON a.h = b.h AND a.k < b.k
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT k AS a, k AS b FROM points UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT k, min(doc_id) AS doc_id FROM named WHERE k IS NOT NULL GROUP BY k),
+component AS (SELECT r.a AS k, min(l.doc_id) AS component_id FROM reach r JOIN least l ON l.k = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM named LEFT JOIN component USING (k)
+"""
+
+# Five hexadecimal digits are four digits of base 32.
+OP6_SQL = r"""
+WITH payload AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+digests AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM payload),
+coded AS (
+  SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest
+  FROM digests),
+last AS (SELECT h, max(page_id) AS page FROM digests GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> page THEN page END AS refers_to
+FROM coded JOIN last USING (h)
+"""
+
+# None for the others: models (2, 8, 9, 10, 12), an automaton (3), hash-drawn order (5), eigenvectors (13), and
+# sums of doubles whose last digit depends on their order (7).
+SQL: dict[str, str] = {
+    "op1_suffixes": OP1_SQL,
+    "op4_jaccard": OP4_SQL,
+    "op6_warc": OP6_SQL,
+    "op11_collocations": OP11_SQL,
+}

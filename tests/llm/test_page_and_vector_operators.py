@@ -298,3 +298,49 @@ def test_stages_keep_the_columns_and_their_decisions_take_effect(spark):
             assert after.agg(F.sum("n_chars")).first()[0] < before.agg(F.sum("n_chars")).first()[0]
             assert after.where("n_chars <> length(text)").isEmpty()
         ids, before = left, after
+
+
+CLASHES = ["score", "sentences", "predicted", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "key", "tag", "row_id", "size", "taken", "ids", "component"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string")))
+    docs = docs.cache()
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = stage(spark, before, FOLDER).cache()
+        assert before.columns == docs.columns
+    assert before.count() > 50
+    for name in CLASHES:
+        assert before.where(F.col(name) != F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string"))).isEmpty()
+    last = corpus_pipeline.STAGES[-1][1](spark, before, FOLDER)
+    assert last.columns == ["doc_id", "source", "n_pieces", "ids"] and last.count() == before.count()
+
+
+def test_stages_take_nulls_empty_texts_and_empty_tables(spark):
+    import corpus_pipeline
+
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    rows = [(900001, None, None, None, None), (900002, "", "en", "s", 0), (None, " \n", "en", None, 2), (900003, "a few words", None, "s", 11)]
+    rows += [rows[3], (900004, "w " * 40_000, "en", "s", 80_000)]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, FOLDER).cache()
+            assert after.columns == docs.columns, name
+            if not docs.isEmpty() and name in ("toxicity", "near_duplicates", "repeats"):
+                assert {r.doc_id for r in after.collect()} == {900001, 900002, None, 900003, 900004}, name
+            docs = after
+        corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+
+
+def test_chances_of_a_column_are_the_scores(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")
+    )
+    model = toxicity.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    both = toxicity.score(docs, model).withColumn("chance", toxicity.chance(model, F.col("text")))
+    assert both.where("score <> chance").isEmpty() and both.where("doc_id < 0").select("chance").distinct().collect() == [(0.0,)]
