@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,13 +112,16 @@ def language_scores(
 ) -> DataFrame:
     """Per id the share of each language: ``id, scores array<double>`` summing to 1.
 
-    Every distinct word is scored once, then the words of the rows meet their
-    scores. A profile or word table of at most ``broadcast_grams`` rows and
-    64 MB is broadcast, and the words of a row never move; a larger one is joined after
-    each row's repeats are counted, and the join may split words that most rows
-    hold. A text without letters scores evenly.
+    A profile of at most ``broadcast_grams`` rows and 64 MB travels to every task as a
+    sorted table, in which the n-grams of a batch's distinct words are looked up: rows
+    are scored where they are read. With a larger one every distinct word of the table
+    is scored once in a join, and the words of the rows meet their scores: by broadcast
+    up to the same bounds, else after each row's repeats are counted. A text without
+    letters scores evenly.
     """
     texts = spread(rows.select(id_col, as_text(F.col(text_col)).alias("_text")))
+    if model.grams <= min(broadcast_grams, _BROADCAST_BYTES // (16 + 8 * len(model.languages))):
+        return _scored_in_rows(texts, model, id_col)
     words = texts.select(id_col, F.explode(letter_words(F.col("_text"))).alias("word"))
     distinct = words.select("word").distinct()
     grams = distinct.select("word", F.explode(letter_ngrams(F.col("word"), model.max_n)).alias("gram"))
@@ -144,6 +150,80 @@ def language_scores(
     )
 
 
+def gram_hashes(words: pa.Array, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length its n-grams of all words, in order: the length, 64-bit hashes, and whose they are."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # letters from here to the word's end
+    held = np.zeros(len(points), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, max_n + 1):
+            tail = np.zeros(len(points), np.uint64)
+            tail[: max(0, len(points) - n + 1)] = points[n - 1 :]
+            held = (held ^ (tail + np.uint64(0x9E3779B97F4A7C15) * np.uint64(n))) * np.uint64(0xBF58476D1CE4E5B9)
+            held ^= held >> np.uint64(29)
+            whole = np.flatnonzero(left >= n)
+            yield n, held[whole], owner[whole]
+
+
+@dataclass(frozen=True)
+class _Packed:
+    """A profile in memory: sorted hashes of its n-grams and their log-probabilities."""
+
+    hashes: np.ndarray
+    logp: np.ndarray
+    unseen: np.ndarray
+
+    @staticmethod
+    def of(model: LanguageModel) -> _Packed:
+        table = model.profile.toArrow()
+        grams = table["gram"].combine_chunks()
+        hashes = np.zeros(len(grams), np.uint64)
+        sizes = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
+        for n, found, owner in gram_hashes(grams, model.max_n):
+            own = sizes[owner] == n  # the whole gram
+            hashes[owner[own]] = found[own]
+        logp = table["logp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(grams), -1)
+        order = np.argsort(hashes)
+        return _Packed(hashes[order], logp[order], np.array(model.unseen))
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """Sums of the log-probabilities of each word's n-grams, a column for each language."""
+        total = np.zeros((len(words), self.unseen.shape[1]))
+        for n, found, owner in gram_hashes(words, len(self.unseen)):
+            values = np.broadcast_to(self.unseen[n - 1], (len(found), self.unseen.shape[1]))
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+                values = np.where((self.hashes[at] == found)[:, None], self.logp[at], values)
+            for lang in range(total.shape[1]):
+                total[:, lang] += np.bincount(owner, values[:, lang], len(words))
+        return total
+
+
+def _scored_in_rows(texts: DataFrame, model: LanguageModel, id_col: str) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(_Packed.of(model))  # at most 64 MB
+    count = len(model.languages)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = shared.value
+        for batch in batches:
+            lists = batch["words"]
+            coded = lists.flatten().dictionary_encode()
+            by_word = packed.of_words(coded.dictionary.cast(pa.string()))
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            sums = np.column_stack([np.bincount(row, by_word[word, i], batch.num_rows) for i in range(count)])
+            powers = np.exp(sums - sums.max(axis=1, keepdims=True))
+            shares = powers / powers.sum(axis=1, keepdims=True)
+            ends = pa.array(np.arange(0, shares.size + 1, count, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.ListArray.from_arrays(ends, pa.array(shares.ravel()))], [id_col, "scores"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    words = texts.select(id_col, letter_words(F.col("_text")).alias("words"))
+    return words.mapInArrow(score, f"`{id_col}` {kind}, scores array<double>")
+
+
 def target_score(scores: str, model: LanguageModel, target: str) -> Column:
     """The share of one language."""
     return F.get(F.col(scores), F.lit(model.languages.index(target)))
