@@ -17,65 +17,117 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinfold.llm.blocks import LOWER, Hasher, blocks, bound_batches, mix, word_spans
+from kinfold.llm.blocks import LOWER, Block, Hasher, blocks, bound_batches, mix, word_spans
 
 FEATURE_BITS = 16
-EXAMPLES = 240  # made paragraphs per family
+EXAMPLES = 80  # made paragraphs per family
 UNKNOWN = "unknown"
+_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-# Customary notices of each licence family, as licensors publish them.
-TEMPLATES = {
+# Public names and short identifiers of each licence family.
+NAMES = {
+    "0bsd": (["Zero-Clause BSD"], ["0BSD"]),
+    "afl": (["Academic Free License"], ["AFL-3.0"]),
+    "agpl": (["GNU Affero General Public License", "AGPL"], ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"]),
+    "apache-2.0": (["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"], ["Apache-2.0"]),
+    "artistic": (["Artistic License 2.0"], ["Artistic-2.0"]),
+    "boost": (["Boost Software License, Version 1.0"], ["BSL-1.0"]),
+    "bsd": (["BSD 3-Clause License", "BSD 2-Clause License", "BSD License"], ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"]),
+    "cc-by": (["CC BY 4.0", "Creative Commons Attribution 4.0 International License"], ["CC-BY-3.0", "CC-BY-4.0"]),
+    "cc-by-nc": (["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"], ["CC-BY-NC-4.0"]),
+    "cc-by-nc-sa": (["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"], ["CC-BY-NC-SA-4.0"]),
+    "cc-by-nd": (["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"], ["CC-BY-ND-4.0"]),
+    "cc-by-sa": (["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"], ["CC-BY-SA-3.0", "CC-BY-SA-4.0"]),
+    "cc0": (["CC0 1.0"], ["CC0-1.0"]),
+    "cddl": (["Common Development and Distribution License"], ["CDDL-1.0", "CDDL-1.1"]),
+    "epl": (["Eclipse Public License"], ["EPL-1.0", "EPL-2.0"]),
+    "eupl": (["European Union Public Licence"], ["EUPL-1.2"]),
+    "gpl": (["GNU General Public License", "GNU GPL"], ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"]),
+    "isc": (["ISC License"], ["ISC"]),
+    "lgpl": (["GNU Lesser General Public License", "GNU LGPL"], ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"]),
+    "lppl": (["LaTeX Project Public License"], ["LPPL-1.3c"]),
+    "mit": (["MIT License", "MIT"], ["MIT", "MIT-0"]),
+    "mpl-2.0": (["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"], ["MPL-2.0"]),
+    "ms-pl": (["Microsoft Public License"], ["MS-PL"]),
+    "ncsa": (["University of Illinois/NCSA Open Source License"], ["NCSA"]),
+    "odbl": (["Open Database License"], ["ODbL-1.0"]),
+    "ofl": (["SIL Open Font License, Version 1.1"], ["OFL-1.1"]),
+    "osl": (["Open Software License"], ["OSL-3.0"]),
+    "postgresql": (["PostgreSQL License"], ["PostgreSQL"]),
+    "python": (["Python Software Foundation License"], ["PSF-2.0", "Python-2.0"]),
+    "unlicense": (["The Unlicense"], ["Unlicense"]),
+    "wtfpl": (["Do What The F*ck You Want To Public License"], ["WTFPL"]),
+    "zlib": (["zlib License"], ["Zlib"]),
+}
+# Customary notices of the families, as licensors publish them.
+NOTICES = {
+    "agpl": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "mit": [
-        "Released under the MIT License",
-        "Licensed under the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
     ],
+    "boost": ["Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE or copy at boost.org"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License",
         "Use of this source code is governed by a BSD-style license",
     ],
+    "cc0": ["released under CC0 1.0", "dedicated to the public domain under the CC0 1.0 Universal dedication"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "lgpl": [
-        "licensed under the GNU Lesser General Public License",
-        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    ],
-    "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-        "Licensed under the Mozilla Public License 2.0",
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ],
-    "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc0": ["released under CC0 1.0", "dedicated to the public domain under the CC0 1.0 Universal dedication"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
     "proprietary": ["All rights reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential"],
 }
+RESERVED = "proprietary"
+# Notices of fewer word pairs than this must be there whole.
+_SHORT = 8
+# A bare "all rights reserved" belongs to another licence that lies within this many bytes.
+_NEAR = 600
+
+
+def _templates() -> dict[str, list[str]]:
+    found = {}
+    for family in sorted({*NAMES, *NOTICES}):
+        names, ids = NAMES.get(family, ([], []))
+        found[family] = [
+            *NOTICES.get(family, []),
+            *[f"{lead} {name}" for name in names for lead in ("Licensed under the", "Released under the", "License:")],
+            # names of three words or more need no lead
+            *[name for name in names if len(_TERM.findall(name.lower().encode())) >= 4],
+            *[f"{lead} {x}" for x in ids for lead in ("SPDX-License-Identifier:", "License:")],
+        ]
+        # short names as people write them, without an article
+        found[family] += [f"Licensed under {name}" for name in names if len(name) <= 16]
+    return found
+
+
 # Sentences with the same words that grant nothing.
 DECOYS = [
     "the driver lost his license after the race", "she studied at MIT and later worked in public service", "a version of the story was released in spring",
     "the general public was not invited", "permission to enter is granted at the door", "the file is under the table", "a license to fish costs four dollars",
-    "they reserved all rooms of the hotel", "the apache helicopter landed", "free software is often discussed", "we use the source and the binary", "version two of the plan",
+    "they reserved all rooms of the hotel", "you have the right to remain and all rights reserved by the hotel", "the apache helicopter landed", "free software is often discussed", "we use the source and the binary", "version two of the plan",
 ]
 
+TEMPLATES = _templates()
+
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 @dataclass(frozen=True)
@@ -89,6 +141,11 @@ class LicenceModel:
     pairs: tuple[tuple[frozenset, ...], ...]
 
 
+def needed(size: int, similarity: float) -> float:
+    """Word pairs of a template of ``size`` pairs that confirm it."""
+    return size if size < _SHORT else similarity * size
+
+
 def _pairs(text: bytes) -> frozenset:
     words = _TERM.findall(text.lower())
     return frozenset(zip(words, words[1:]))
@@ -135,7 +192,7 @@ def _examples(seed: int, count: int) -> list[tuple[bytes, int]]:
             before = noise(0, 6) if rng.random() < 0.3 else ["Copyright", "(c)", str(rng.randint(1990, 2030)), *noise(1, 2)] if rng.random() < 0.2 else []
             after = noise(0, 8) if rng.random() < 0.3 else []
             made.append((" ".join([*before, *words, *after]).encode(), label))
-    for _ in range(4 * count):
+    for _ in range(12 * count):
         words = noise(3, 40)
         if rng.random() < 0.5:
             decoy = rng.choice(DECOYS).split()
@@ -149,8 +206,9 @@ def _examples(seed: int, count: int) -> list[tuple[bytes, int]]:
     return made
 
 
-def fit(*, examples: int = EXAMPLES, steps: int = 150, seed: int = 11) -> LicenceModel:
-    """Fit on made paragraphs, calibrate on a fifth of them; a fixed amount of work on the driver."""
+@lru_cache(2)
+def fit(*, examples: int = EXAMPLES, steps: int = 80, seed: int = 11) -> LicenceModel:
+    """Fit on made paragraphs, calibrate on a fifth of them; a fixed amount of work on the driver, done once a process."""
     made = _examples(seed, examples)
     names = (*TEMPLATES, UNKNOWN)
     labels = np.array([y for _, y in made])
@@ -213,8 +271,8 @@ def _template_hashes(pairs: frozenset) -> np.ndarray:
 
 def _windows(
     words: np.ndarray, whole: np.ndarray, templates: list[tuple[int, np.ndarray]], similarity: float
-) -> Iterator[tuple[int, int, int, float]]:
-    """``family, first word, last word, similarity`` of passages that hold a template's word pairs.
+) -> Iterator[tuple[int, int, int, float, int]]:
+    """``family, first word, last word, similarity, pairs of the template`` of passages that hold a template's word pairs.
 
     ``whole`` marks the pairs of neighbours in one paragraph. Windows of one template
     do not overlap, the most similar and then the shortest come first.
@@ -229,7 +287,7 @@ def _windows(
         mine = np.isin(value, hashes)
         at, seen = hits[mine], value[mine].tolist()
         size = len(hashes)
-        room, need = size + max(4, size // 2), similarity * size
+        room, need = size + max(4, size // 2), needed(size, similarity)
         # paragraphs lie further apart than a window is long
         place = at + paragraph[mine] * (room + 1)
         after = np.searchsorted(place, place + room)
@@ -246,19 +304,44 @@ def _windows(
         for near, _, a, b in sorted(found):
             if taken.isdisjoint(range(a, b + 1)):
                 taken.update(range(a, b + 1))
-                yield family, a, b, -near
+                yield family, a, b, -near, size
+
+
+_STOPS = frozenset(b".,;:!?\n\r)]")
 
 
-def _apart(lone: list[tuple], wide: list[tuple]) -> list[tuple]:
-    """Lines and windows in text order, of overlapping ones of a family the most similar."""
-    ranked = sorted([(-x[4], 0, x[2] - x[1], x) for x in lone] + [(-x[4], 1, x[2] - x[1], x) for x in wide])
-    kept: dict[int, list[tuple]] = {}
+def _ends(data: np.ndarray, ends: np.ndarray, own: frozenset, templates: tuple, starts: np.ndarray) -> bool:
+    """Whether a very short notice that a line holds is followed by a stop, as at the end of a sentence."""
+    words = [data[x:y].tobytes().lower() for x, y in zip(starts, ends)]
+    for t in templates:
+        if len(t) < 4 and t <= own:
+            for i in range(len(words) - len(t)):
+                if all((words[i + k], words[i + k + 1]) in t for k in range(len(t))) and data[ends[i + len(t)]] in _STOPS:
+                    return True
+    return False
+
+
+def _apart(lone: list[tuple], wide: list[tuple], block: Block, reserved: int, short: int = 4) -> list[tuple]:
+    """Lines and windows in text order; a span has one family.
+
+    Of overlapping ones that with most word pairs of its template stays, then the more
+    similar, then the shorter. A bare reservation of rights yields to any other licence near it.
+    """
+    ranked = sorted([(-x[4] * x[5], -x[4], x[2] - x[1], 0, x) for x in lone] + [(-x[4] * x[5], -x[4], x[2] - x[1], 1, x) for x in wide])
+    kept: list[tuple] = []
     for *_, x in ranked:
-        mine = kept.setdefault(x[0], [])
-        at = bisect_left(mine, x[1], key=lambda y: y[1])
-        if (at == 0 or mine[at - 1][2] <= x[1]) and (at == len(mine) or x[2] <= mine[at][1]):
-            mine.insert(at, x)
-    return sorted((x for mine in kept.values() for x in mine), key=lambda x: x[1:3])
+        at = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or x[2] <= kept[at][1]):
+            kept.insert(at, x)
+    text = block.owner(np.array([x[1] for x in kept], np.int64)) if kept else []
+
+    def yields(i: int) -> bool:
+        x = kept[i]
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(kept) and text[j] == text[i] and kept[j][0] != reserved]
+        bare = x[0] == reserved and x[5] < short
+        return bare and any(max(kept[j][1] - x[2], x[1] - kept[j][2]) <= _NEAR for j in near)
+
+    return [x for i, x in enumerate(kept) if not yields(i)]
 
 
 LICENCES = "array<struct<family:string,start:int,end:int,probability:double,similarity:double>>"
@@ -273,8 +356,10 @@ def scan(
     """Add ``licences`` to every row: the confirmed notices of the whole text, in text order.
 
     ``start`` and ``end`` are bytes, from the first to the last word of the line or
-    window; of those that overlap the most similar one of a family stays, a line
-    before a window. ``similarity`` is the share of a template's word pairs found in it.
+    window; of those that overlap one stays. Templates of under eight word pairs must be
+    there whole and need no chance, very short ones must also end a sentence; of longer ones
+    ``similarity`` of the pairs suffices, and the classifier must agree. A bare "all rights
+    reserved" near another licence belongs to that one.
     A null or empty text has none. Columns in ``keep`` (all by default) and repeated
     rows are kept; a ``licences`` column is replaced.
     """
@@ -316,18 +401,21 @@ def scan(
                     a, b = np.searchsorted(word_line, (lines[k], lines[k] + 1))
                     start, end = int(starts[a]), int(ends[b - 1])
                     own = _pairs(block.bytes[start:end].tobytes())
-                    near = max(len(own & t) / len(t) for t in m.pairs[best[k]])
-                    if near >= similarity:
-                        lone.append((int(best[k]), start, end, float(p[k, best[k]]), near))
+                    # the template that covers most, whole ones first
+                    near, size = max((len(own & t) / len(t), len(t)) for t in m.pairs[best[k]])
+                    if near * size >= needed(size, similarity) and (size >= 4 or _ends(block.bytes, ends[a:b], own, m.pairs[best[k]], starts[a:b])):
+                        lone.append((int(best[k]), start, end, float(p[k, best[k]]), near, size))
                 low = LOWER[block.bytes]
                 whole = (np.diff(word_line) <= 1) & (np.diff(block.owner(starts)) == 0)
-                for family, a, b, near in _windows(Hasher(low).spans(starts, ends), whole, templates, similarity):
+                for family, a, b, near, size in _windows(Hasher(low).spans(starts, ends), whole, templates, similarity):
                     start, end = int(starts[a]), int(ends[b])
                     chance = judge(b" ".join(low[x:y].tobytes() for x, y in zip(starts[a : b + 1], ends[a : b + 1])))
-                    if chance.argmax() == family and chance[family] >= threshold:
-                        wide.append((family, start, end, float(chance[family]), near))
+                    if size < 4 and block.bytes[end] not in _STOPS:
+                        continue
+                    if size < _SHORT or (chance.argmax() == family and chance[family] >= threshold):
+                        wide.append((family, start, end, float(chance[family]), near, size))
                 found: list[list[dict]] = [[] for _ in range(len(block))]
-                for family, start, end, chance, near in _apart(lone, wide):
+                for family, start, end, chance, near, _ in _apart(lone, wide, block, m.families.index(RESERVED)):
                     text = int(block.owner(np.array([start]))[0])
                     base = int(block.starts[text])
                     found[text].append({

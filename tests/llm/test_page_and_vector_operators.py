@@ -246,6 +246,45 @@ def test_licences_are_told_apart_from_look_alikes(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+NOTICES = [
+    ("SPDX-License-Identifier: BSD-3-Clause", ["bsd"]),
+    ("// SPDX-License-Identifier: LGPL-2.1-only", ["lgpl"]),
+    ("SPDX-License-Identifier: CC-BY-4.0", ["cc-by"]),
+    ("License: MIT", ["mit"]),
+    ("License: ISC", ["isc"]),
+    ("it under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation", ["agpl"]),
+    ("Copyright (c) 2020 Someone. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+     "modification, are permitted provided that the following conditions are met:", ["bsd"]),
+    ("You have the right to remain. All rights reserved by the hotel.", []),
+    ("Some prose. Copyright 2001 Foo Inc. All rights reserved.", ["proprietary"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice", ["isc"]),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["mit"]),
+    ("the accompanying materials are made available under the terms of the Eclipse Public License v2.0", ["epl"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa"]),
+    ("Licensed under the MIT License or Licensed under the Apache License, Version 2.0.", ["mit", "apache-2.0"]),
+    ("the license of a driver and the apache version 2 of it", []),
+]
+
+
+def test_a_span_has_one_family_and_whole_short_notices(spark):
+    """All in one batch, and each with its neighbours repeated: a text's notices do not depend on other texts."""
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)] + [(i + 100, t) for i, (t, _) in enumerate(NOTICES[::-1])]
+    got = {r.doc_id: [x.family for x in r.licences] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [f for _, f in NOTICES]
+    assert [got[100 + i] for i in range(len(NOTICES))] == [f for _, f in NOTICES[::-1]]
+
+
+def test_every_identifier_names_its_family(spark):
+    rows, want = [], []
+    for family, (_, ids) in licenses.NAMES.items():
+        for x in ids:
+            rows.append((len(rows), f"# SPDX-License-Identifier: {x}\nimport os"))
+            want.append([family])
+    got = {r.doc_id: [x.family for x in r.licences] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_hard_wrapped_notices_are_found(spark):
     """Every family's longest notice, wrapped at 72 columns, behind comment marks and inside one long line."""
     longest = {f: max(t, key=len) for f, t in licenses.TEMPLATES.items()}
