@@ -11,11 +11,12 @@ construction with a difference cover.
    follow. Two suffixes that agree on ``length`` bytes have equally ranked samples
    within ``v`` positions, so a suffix without a repeated rank nearby is unique and
    is never sorted.
-2. Suffix buckets. The other suffixes go to buckets by a hash of their first
-   ``length`` bytes, so a line that many texts share among different neighbours
-   spreads over all buckets. Buckets are sorted a share of them at a time, so what is
-   on disk and in memory is bounded; ties are runs of one 96-bit hash of the
-   ``length`` bytes.
+2. Suffix buckets. The other suffixes go to buckets by the smallest 16-byte hashes in
+   the four quarters of their first ``length`` bytes. Neighbouring suffixes mostly stay
+   together; those around a line that many texts share spread over all buckets, as some
+   quarter of them holds what is beside the line. Buckets are sorted a share of them at a
+   time, so what is on disk and in memory is bounded; ties are runs of one 96-bit hash of
+   the ``length`` bytes.
 
 Inside a batch equal keys are merged before the shuffle, so a passage that a third
 of all texts share arrives once per batch. Texts are named by a 64-bit hash;
@@ -38,6 +39,8 @@ from kinfold.session import materialize
 LENGTH = 200
 ORDER = 11  # prime; the cover has ORDER + 1 residues modulo ORDER^2 + ORDER + 1
 ROUNDS = 6
+_GRAM = 16
+QUARTERS = 4
 _FLUSH = 1 << 18
 _BUCKET_ENTRIES = 1 << 20
 
@@ -227,17 +230,29 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
             at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             if not len(at):
                 continue
-            high = s.hasher.spans(at, at + length)
-            # equal strings share bucket and round, whatever else their texts have in common
-            share = (high >> np.uint64(20)) % np.uint64(buckets * rounds)
+            # the smallest gram of each quarter: equal strings share all four, neighbours mostly too
+            quarter = length // QUARTERS
+            gram = min(_GRAM, max(1, quarter // 2))
+            low = np.full(len(data), ~np.uint64(0))
+            every = np.arange(len(data) - gram + 1)
+            low[: len(every)] = s.hasher.spans(every, every + gram)
+            span, step = quarter - gram + 1, 1
+            while 2 * step <= span:
+                low[:-step] = np.minimum(low[:-step], low[step:])
+                step *= 2
+            anchor = np.zeros(len(at), np.uint64)
+            for k in range(QUARTERS):
+                begin = at + k * quarter
+                anchor = mix(anchor * np.uint64(31) + np.minimum(low[begin], low[begin + span - step]))
+            share = (anchor >> np.uint64(20)) % np.uint64(buckets * rounds)
             mine = share % np.uint64(rounds) == turn
             if not mine.any():
                 continue
-            at, high, share = at[mine], high[mine], share[mine]
+            at, share = at[mine], share[mine]
             segment, place = s.positions()
             other = Hasher(data, 1).spans(at, at + length)
             key = np.array(keys, np.int64)[s.text[segment[at]]]
-            yield (share // np.uint64(rounds)).astype(np.int64), key, high, (other >> np.uint64(32)).astype(np.uint32), place[at]
+            yield (share // np.uint64(rounds)).astype(np.int64), key, s.hasher.spans(at, at + length), (other >> np.uint64(32)).astype(np.uint32), place[at]
 
     yield from flushed(parts(), buckets)
 
