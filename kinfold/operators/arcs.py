@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import neighbors as nb
+from kinfold.operators.neighbors import _matrix, _positions, best_pairs
 from kinfold.session import materialize
 
 # Pivots travel to every task; their bytes are bounded, larger sets get larger cells.
@@ -86,7 +87,7 @@ def place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, _TILE):
                 part = batch.slice(at, _TILE)
-                vectors = nb._matrix(part["_vec"], part.num_rows).astype(np.float64)
+                vectors = _matrix(part["_vec"], part.num_rows).astype(np.float64)
                 usable = np.isfinite(vectors).all(axis=1)
                 if not usable.any():
                     continue
@@ -132,7 +133,7 @@ def route(placed: DataFrame, cells: Cells, floors: DataFrame | None, threshold:
         for batch in batches:
             for at in range(0, batch.num_rows, _TILE):
                 part = batch.slice(at, _TILE)
-                vectors = nb._matrix(part["_vec"], part.num_rows).astype(np.float64)
+                vectors = _matrix(part["_vec"], part.num_rows).astype(np.float64)
                 angle, length = angles_to(known.pivots, vectors)
                 open_ = known.reach(angle, length) >= part["_floor"].to_numpy()[:, None]
                 if searched:
@@ -242,7 +243,7 @@ def _search(names: list[str], n_carry: int, k: int | None, threshold: float | No
         if not table.num_rows:
             return
         ids = table["_id"].combine_chunks()
-        vectors = nb._matrix(table["_vec"].combine_chunks(), table.num_rows)
+        vectors = _matrix(table["_vec"].combine_chunks(), table.num_rows)
         carried = [table[f"_c{i}"].combine_chunks() for i in range(n_carry)]
         rank = np.empty(table.num_rows, dtype=np.int64)
         rank[pc.sort_indices(ids).to_numpy()] = np.arange(table.num_rows)
@@ -268,13 +269,13 @@ def _search(names: list[str], n_carry: int, k: int | None, threshold: float | No
                 near = members[first:last]
             if not len(near):
                 continue
-            for q, c, sim in nb.best_pairs(vectors[run], vectors[near], rank[near], k, threshold, floor[run]):
+            for q, c, sim in best_pairs(vectors[run], vectors[near], rank[near], k, threshold, floor[run]):
                 q, c = run[q], near[c]
                 keep = sim >= floor[q]
                 q, c, sim = q[keep], c[keep], sim[keep]
                 if not len(q):
                     continue
-                columns = [ids.take(pa.array(q)), pa.array(nb._positions(q), type=pa.int32()), ids.take(pa.array(c)), pa.array(sim)]
+                columns = [ids.take(pa.array(q)), pa.array(_positions(q), type=pa.int32()), ids.take(pa.array(c)), pa.array(sim)]
                 for values in carried:
                     columns += [values.take(pa.array(q)), values.take(pa.array(c))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import dot
 from kinfold.operators import neighbors as nb
+from kinfold.operators.neighbors import SIM_DECIMALS
 from kinfold.session import materialize
 
 CENTROID_BYTES = 32 << 20  # centroids travel to every task
@@ -257,7 +258,7 @@ def search(
     drawn = rough.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= refine * k).drop("_place")
     originals = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("neighbor_id"), F.col(vec_col).alias("_b"))
     again = drawn.join(originals, "neighbor_id").join(routed.select(F.col("id").alias("query_id"), F.col("vec").alias("_a")), "query_id")
-    product = F.round(dot(F.col("_a"), F.col("_b")), nb.SIM_DECIMALS) + F.lit(0.0)
+    product = F.round(dot(F.col("_a"), F.col("_b")), SIM_DECIMALS) + F.lit(0.0)
     return nb._ranked(again.select("query_id", F.lit(0).alias("rank"), "neighbor_id", product.alias("sim")), k)
 
 
@@ -280,7 +281,7 @@ def exact_best(queries: DataFrame, vectors: DataFrame, *, k: int, id_col: str =
                 ok, held = _vectors(part, "v")
                 if not len(held):
                     continue
-                sims = np.round(asked @ held.T, nb.SIM_DECIMALS)
+                sims = np.round(asked @ held.T, SIM_DECIMALS)
                 width = min(k, sims.shape[1])
                 kth = np.partition(sims, sims.shape[1] - width, axis=1)[:, sims.shape[1] - width]
                 row, col = np.nonzero(sims >= kth[:, None])  # all ties stay

@@ -18,6 +18,7 @@ from kinfold.registry.retrieval import SQL as RETRIEVAL_SQL
 from kinfold.registry.retrieval import _rounded, _with_neighbors
 from kinfold.session import ensure_checkpoint_dir
 from kinfold.sources import images, matrix, tables
+from kinfold.sources.matrix import file_system
 
 
 def _path(spark) -> str:
@@ -115,11 +116,11 @@ def save_pictures(rows, path: str, *, side: int) -> None:
     # The header of an uncompressed picture of 24 bits a pixel.
     size = 3 * side * side
     header = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + size, 0, 0, 54, 40, side, side, 1, 24, 0, size, 2835, 2835, 0, 0)
-    system, inner = matrix.file_system(path)
+    system, inner = file_system(path)
     system.create_dir(inner, recursive=True)
 
     def save(batches):
-        to, folder = matrix.file_system(path)
+        to, folder = file_system(path)
         for batch in batches:
             for name, grey in zip(batch["name"].to_pylist(), batch["grey"].to_pylist()):
                 lines = [grey[i : i + side] for i in range(0, side * side, side)][::-1]  # the last line comes first

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_open_scratch: ContextVar[tuple[Scratch, ...]] = ContextVar("open_scratch", default=())
+_open_scratch: dict[int, list[Scratch]] = {}  # by thread
 
 
 class Scratch:
@@ -69,15 +69,18 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
     it, if there is one. After an error everything is deleted.
     """
     own = Scratch()
-    token = _open_scratch.set((*_open_scratch.get(), own))
+    open_here = _open_scratch.setdefault(threading.get_ident(), [])
+    open_here.append(own)
     try:
         yield own
     except BaseException:
         own.kept = []
         raise
     finally:
-        _open_scratch.reset(token)
-        around = _open_scratch.get()
+        open_here.remove(own)
+        around = list(open_here)
+        if not open_here:
+            del _open_scratch[threading.get_ident()]
         for entry in own.written:
             if any(entry is kept for kept in own.kept):
                 if around:
@@ -102,7 +105,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kinfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    for own in _open_scratch.get()[-1:]:
+    for own in _open_scratch.get(threading.get_ident(), [])[-1:]:
         own.written.append((table, path))
     return table
 
