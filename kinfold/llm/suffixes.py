@@ -11,7 +11,7 @@ construction with a difference cover.
    follow. Two suffixes that agree on ``length`` bytes have equally ranked samples
    within ``v`` positions, so a suffix without a repeated rank nearby is unique and
    is never sorted.
-2. Suffix buckets. The other suffixes go to buckets by the smallest 16-byte hashes in
+2. Suffix buckets. The other suffixes go to buckets by the smallest 8-byte hashes in
    the four quarters of their first ``length`` bytes. Neighbouring suffixes mostly stay
    together; those around a line that many texts share spread over all buckets, as some
    quarter of them holds what is beside the line. Buckets are sorted a share of them at a
@@ -39,7 +39,7 @@ from kinfold.session import materialize
 LENGTH = 200
 ORDER = 11  # prime; the cover has ORDER + 1 residues modulo ORDER^2 + ORDER + 1
 ROUNDS = 6
-_GRAM = 16
+_GRAM = 8
 QUARTERS = 4
 _FLUSH = 1 << 18
 _BUCKET_ENTRIES = 1 << 20
@@ -214,6 +214,16 @@ def _cover_entries(batches, buckets: int, length: int, order: int) -> Iterator[p
     yield from flushed(parts(), buckets)
 
 
+def _gram_values(data: np.ndarray, size: int) -> np.ndarray:
+    """A spread-out value of the ``size`` bytes (8 at most) from every position on; zeros lie behind the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray(len(data), np.dtype("<u8"), padded, strides=(1,))
+    values = (words & np.uint64((1 << 8 * size) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    return values
+
+
 @releasing
 def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int, rounds: int) -> Iterator[pa.RecordBatch]:
     def parts():
@@ -233,26 +243,27 @@ def _suffix_entries(batches, buckets: int, length: int, modulus: int, turn: int,
             # the smallest gram of each quarter: equal strings share all four, neighbours mostly too
             quarter = length // QUARTERS
             gram = min(_GRAM, max(1, quarter // 2))
-            low = np.full(len(data), ~np.uint64(0))
-            every = np.arange(len(data) - gram + 1)
-            low[: len(every)] = s.hasher.spans(every, every + gram)
+            low = _gram_values(data, gram)
             span, step = quarter - gram + 1, 1
             while 2 * step <= span:
-                low[:-step] = np.minimum(low[:-step], low[step:])
+                np.minimum(low[:-step], low[step:], out=low[:-step])
                 step *= 2
-            anchor = np.zeros(len(at), np.uint64)
-            for k in range(QUARTERS):
-                begin = at + k * quarter
-                anchor = mix(anchor * np.uint64(31) + np.minimum(low[begin], low[begin + span - step]))
-            share = (anchor >> np.uint64(20)) % np.uint64(buckets * rounds)
+            least = np.minimum(low[: len(low) - span + step], low[span - step :])
+            room = len(data) - length + 1  # every marked place has a whole string behind it
+            anchor = least[:room].copy()
+            for k in range(1, QUARTERS):
+                anchor *= np.uint64(0x9E3779B97F4A7C15)
+                anchor += least[k * quarter : k * quarter + room]
+            share = mix(anchor[at]) % np.uint64(buckets * rounds)
             mine = share % np.uint64(rounds) == turn
             if not mine.any():
                 continue
             at, share = at[mine], share[mine]
-            segment, place = s.positions()
+            segment = s.block.owner(at)
+            place = at - s.block.starts[segment] + s.offset[segment]
             other = Hasher(data, 1).spans(at, at + length)
-            key = np.array(keys, np.int64)[s.text[segment[at]]]
-            yield (share // np.uint64(rounds)).astype(np.int64), key, s.hasher.spans(at, at + length), (other >> np.uint64(32)).astype(np.uint32), place[at]
+            key = np.array(keys, np.int64)[s.text[segment]]
+            yield (share // np.uint64(rounds)).astype(np.int64), key, s.hasher.spans(at, at + length), (other >> np.uint64(32)).astype(np.uint32), place
 
     yield from flushed(parts(), buckets)
 
