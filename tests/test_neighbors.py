@@ -169,6 +169,21 @@ def test_cells_out_of_reach_are_left_out_and_nothing_is_lost(spark, k, threshold
     assert sent < 0.35 * 240 * len(pivots)
 
 
+def test_small_blocks_do_not_multiply_the_copies_of_a_query(spark):
+    """Sixty cells that the angles cannot rule out: a query travels once to each of a few regions."""
+    v = unit(np.random.default_rng(12), 600, 24)
+    df = table(spark, v)
+    assert collected(nb.knn_self_join(df, k=5, block_rows=10)) == brute(v, list(range(600)), 5, None)
+    plain = df.select(nb.F.col("posting_id").alias("_id"), nb.F.col("embedding").alias("_vec"))
+    pivots = arcs._pivots(plain, 60, 24)
+    placed = arcs.place(plain, pivots)
+    cells = arcs.cells_of(placed, pivots)
+    regions = arcs.regions_of(cells.rows, arcs.region_rows(600, 10, 24, spark))
+    sent = [len(r._to) for r in arcs.route(placed, cells, None, None, regions).collect()]
+    assert len(sent) == 600 and max(sent) <= 14 < len(pivots)
+    assert arcs.regions_of(np.array([3, 4, 9, 30, 0, 5]), 10).tolist() == [0, 0, 1, 2, 3, 3]
+
+
 def test_bounds_hold_for_vectors_of_any_length():
     rng = np.random.default_rng(5)
     for _ in range(40):
