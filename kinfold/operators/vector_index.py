@@ -32,6 +32,7 @@ ROUNDS = 4
 REFINE = 4
 _LEVELS = 127
 _TILE = 1024
+_SCORE_BYTES = 16 << 20  # of the scores of a tile, in double precision
 _GROUP_ROWS = 32_768  # entries of a list, and queries sent to it, that meet in one task
 SAMPLE = 256
 
@@ -188,8 +189,10 @@ def _score_lists(keep: int, centroids) -> Callable:
         queries = asked["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1)
         ids, names = asked["id"].combine_chunks(), held["id"].combine_chunks()
         width = min(keep, held.num_rows)
-        for at in range(0, asked.num_rows, _TILE):
-            own = queries[at : at + _TILE]
+        # the scores of a tile of queries stay within _SCORE_BYTES, however many entries meet them
+        tile = max(1, min(_TILE, _SCORE_BYTES // (8 * held.num_rows)))
+        for at in range(0, asked.num_rows, tile):
+            own = queries[at : at + tile]
             rough = (own.astype(np.float32) @ codes.T) * scale + (own @ centre)[:, None]
             best = np.argpartition(-rough, width - 1, axis=1)[:, :width] if width < rough.shape[1] else np.broadcast_to(np.arange(width), rough.shape)
             row = np.repeat(np.arange(at, at + len(own)), width)

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinfold.operators import neighbors as nb
@@ -94,3 +98,30 @@ def test_odd_vectors_are_left_out(spark):
     assert set(found) == {0, 3, 4, 5} and [n for n, _ in found[0]][:2] == [0, 5]
     with pytest.raises(ValueError):
         vi.build_index(df.limit(0))
+
+
+def test_scores_of_a_long_list_stay_within_a_tile():
+    """Two thousand queries meet twenty thousand entries: all scores would be 160 MB, a tile of old 80 and more."""
+    rng = np.random.default_rng(3)
+    asked, held = 2000, 20_000
+    queries = rng.standard_normal((asked, 4))
+    codes = rng.integers(-127, 128, (held, 4)).astype(np.int8)
+    n = asked + held
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)),
+            pa.array([q.tolist() for q in queries] + [None] * held, pa.list_(pa.float64())),
+            pa.array([None] * asked + [c.tobytes() for c in codes], pa.binary()),
+            pa.array([None] * asked + [0.01] * held, pa.float64()), pa.array(np.arange(n) < asked),
+        ],
+        ["list", "id", "vec", "code", "scale", "asks"],
+    )
+    score = vi._score_lists(3, SimpleNamespace(value=np.zeros((1, 4))))
+    tracemalloc.start()
+    best = pa.Table.from_batches(list(score(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    want = np.argsort(-(queries.astype(np.float32) @ codes.T.astype(np.float32)), axis=1)[:, :3] + asked
+    got = best["neighbor_id"].to_numpy().reshape(asked, 3)
+    assert (np.sort(got, axis=1) == np.sort(want, axis=1)).all()
