@@ -4,12 +4,14 @@ import random
 
 import re
 
+import pyarrow as pa
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as fx
 from kinfold.functions.stopwords import default_stop_words
-from kinfold.operators.ngrams import common_ngrams, frequent_ngrams, ngram_counts, ngram_report
+from kinfold.operators.ngrams import SLICE_TOKENS, common_ngrams, frequent_ngrams, list_slices, ngram_counts, ngram_report
 
 # Titles of our own around every rule. A phrase goes with the white space after it.
 WRAPPED = [(f"kopi {phrase.upper() if i % 2 else phrase}  bubuk", "kopi bubuk") for i, phrase in enumerate(fx.SLANG_PHRASES)]
@@ -143,6 +145,17 @@ def test_bloom_filters_hold_what_they_were_given(spark):
     assert ngrams._holds(bloom, bits, others).mean() < 0.1
 
 
+def test_long_batches_are_counted_in_slices_of_whole_rows(spark):
+    batch = pa.RecordBatch.from_pylist([{"t": ["a"] * n} for n in (3, 0, 4, 9, 1, 1)])
+    assert [part.num_rows for part in list_slices(batch, "t", 7)] == [3, 1, 2]
+    assert [part.num_rows for part in list_slices(batch.slice(2), "t", 100)] == [4]
+    # three rows of a slice's tokens each
+    rows = [("one two " * (SLICE_TOKENS // 2),)] * 3
+    found = frequent_ngrams(spark.createDataFrame(rows, "title string").coalesce(1), min_frequency=3, max_n=2, stop_words=[])
+    half = SLICE_TOKENS // 2
+    assert {tuple(r) for r in found.collect()} == {("one two", 3, 3 * half), ("two one", 3, 3 * half - 3)}
+
+
 def test_no_rows_have_no_frequent_ngrams(spark):
     df = spark.createDataFrame([], "title string")
     assert frequent_ngrams(df, min_frequency=1, stop_words=[]).count() == 0
