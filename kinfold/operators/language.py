@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import as_text
+from kinfold.operators.ngrams import list_slices
 from kinfold.session import materialize, spread
 
 BROADCAST_GRAMS = 1_000_000
@@ -207,7 +208,7 @@ def _scored_in_rows(texts: DataFrame, model: LanguageModel, id_col: str) -> Data
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in list_slices(whole, "words")):
             lists = batch["words"]
             coded = lists.flatten().dictionary_encode()
             by_word = packed.of_words(coded.dictionary.cast(pa.string()))
