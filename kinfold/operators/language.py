@@ -137,7 +137,7 @@ def language_scores(
     if word_scores.count() <= broadcast_grams:
         weighed = words.join(F.broadcast(word_scores), "word").withColumn("_n", F.lit(1))
     else:
-        weighed = words.groupBy(id_col, "word").agg(F.count("*").alias("_n")).join(word_scores, "word")
+        weighed = _words_in_rows(texts, id_col).join(word_scores, "word")
     sums = weighed.groupBy(id_col).agg(*[F.sum(F.col(f"_w{i}") * F.col("_n")).alias(f"_s{i}") for i in each])
     scores = [F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(model.languages))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
@@ -225,6 +225,28 @@ def _scored_in_rows(texts: DataFrame, model: LanguageModel, id_col: str) -> Data
     return words.mapInArrow(score, f"`{id_col}` {kind}, scores array<double>")
 
 
+def _words_in_rows(texts: DataFrame, id_col: str) -> DataFrame:
+    """``id, word, _n``: the different words of each row and their repeats, counted where the row is read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in list_slices(whole, "words")):
+            lists = batch["words"]
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            size = len(coded.dictionary)
+            both, times = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            for lo in range(0, len(both), 50_000):
+                some = both[lo : lo + 50_000]
+                columns = [batch[id_col].take(pa.array(some // size)), coded.dictionary.take(pa.array(some % size)).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(times[lo : lo + 50_000])], [id_col, "word", "_n"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    words = texts.select(id_col, letter_words(F.col("_text")).alias("words"))
+    return words.mapInArrow(count, f"`{id_col}` {kind}, word string, _n long")
+
+
 def target_score(scores: str, model: LanguageModel, target: str) -> Column:
     """The share of one language."""
     return F.get(F.col(scores), F.lit(model.languages.index(target)))

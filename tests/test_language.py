@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from kinfold.operators import language
 from kinfold.operators.language import language_scores, target_score, train_language_model
 
 SAMPLES = [
@@ -73,3 +74,12 @@ def test_text_without_letters_is_neutral(spark, model):
 def test_missing_text_is_scored_as_nan(spark, model):
     got = scores_of(spark, model, [None, "nan"])
     assert got[0]["scores"] == got[1]["scores"]
+
+
+def test_words_are_counted_in_their_row_before_any_shuffle(spark):
+    rows = [(1, "La casa, la CASA la"), (2, "12 - 3"), (1, "casa"), (None, "x x")]
+    counted = language._words_in_rows(spark.createDataFrame(rows, "id long, _text string").coalesce(1), "id")
+    got = sorted((tuple(r) for r in counted.collect()), key=str)
+    assert got == sorted([(1, "la", 3), (1, "casa", 2), (1, "casa", 1), (None, "x", 2)], key=str)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
