@@ -17,6 +17,8 @@ from kinfold.functions.vectors import lists_of, matrix, unit_rows
 BN_EPS = 1e-5
 BN_MOMENTUM = 0.1
 DROPOUT = 0.5
+# Rows projected at a time, however many an Arrow batch has.
+_TILE = 1024
 
 HEAD_SCHEMA = T.StructType(
     [
@@ -78,8 +80,12 @@ def apply_head(rows: DataFrame, head: ProjectionHead, *, vec_col: str = "embeddi
 
     @arrow_udf(T.ArrayType(T.FloatType()))
     def project(lists: pa.Array) -> pa.Array:
-        vectors = matrix(lists)
-        projected = head.project(vectors) if len(vectors) else vectors
-        return lists_of(projected, np.asarray(lists.is_valid()), pa.float32())
+        parts = []
+        for at in range(0, max(1, len(lists)), _TILE):
+            part = lists.slice(at, _TILE)
+            vectors = matrix(part)
+            projected = head.project(vectors) if len(vectors) else vectors
+            parts.append(lists_of(projected, np.asarray(part.is_valid()), pa.float32()))
+        return pa.concat_arrays(parts)
 
     return rows.withColumn(vec_col, project(F.col(vec_col)))

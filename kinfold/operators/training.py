@@ -52,6 +52,8 @@ SHARD_BLOCKS = 8
 _COS_LIMIT = 1 - 1e-7
 _FAN_IN = 32
 _TASK_BYTES = 16 << 20
+# Rows whose logits against a block of classes a task holds at a time.
+_LOSS_ROWS = 512
 _PARAMETERS = ("weight", "bias", "bn_gamma", "bn_beta")
 
 
@@ -393,8 +395,9 @@ def _validation_losses(heads: Sequence[ProjectionHead], val: DataFrame, n_classe
     names = [f"loss{i}" for i in range(len(heads))]
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _LOSS_ROWS):
+                part = whole.slice(at, _LOSS_ROWS)
                 columns = [part.column(1)]
                 for i, head in enumerate(heads):
                     unit = head.project(matrix(part.column(2 + i)))

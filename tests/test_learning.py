@@ -260,3 +260,33 @@ def test_the_whole_matrix_has_every_variant_frozen_and_projected(spark):
     frozen = got[got["head"] == "frozen"].set_index(["variant", "split", "threshold"])["avg_f1"]
     assert frozen.loc["images"].tolist() == pytest.approx(frozen.loc["titles"].tolist())
     assert frozen.loc["images"].tolist() == pytest.approx(frozen.loc["multimodal_concat"].tolist())
+
+
+def test_a_long_batch_is_projected_and_judged_in_tiles(spark):
+    class Narrow(ProjectionHead):
+        most = 1024
+
+        def project(self, x):
+            assert len(x) <= self.most
+            return ProjectionHead.project(self, x)
+
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((2500, 3)).astype(np.float32)
+    rows = [(i, i % 5, i // 256, None if i == 1030 else x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "posting_id long, class_id long, batch long, embedding array<float>").coalesce(1)
+    plain = ProjectionHead.initial(3, 4)
+    head = Narrow(**vars(plain))
+    got = {r.posting_id: r.embedding for r in apply_head(df, head).collect()}
+    want = plain.project(v.astype(np.float64)).astype(np.float32)
+    assert got.pop(1030) is None and len(got) == 2499
+    for i, x in got.items():
+        assert np.allclose(x, want[i], atol=1e-7)
+    head.most = 512
+    options = {"margin_degrees": 10.0, "scale": 4.0, "seed": 1}
+    val = df.where("posting_id <> 1030").select("class_id", "batch", "embedding")
+    loss = training._validation_losses([head], val, 5, options)[0]
+    own = np.delete(np.arange(2500), 1030)
+    unit = plain.project(v[own].astype(np.float64))
+    each, _ = training.arcface_loss_and_gradient(unit, own % 5, 5, **options, gradient=False)
+    means = [each[own // 256 == b].mean() for b in range(10)]
+    assert np.isclose(loss, np.mean(means))
