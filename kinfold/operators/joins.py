@@ -24,7 +24,8 @@ def hot_key_lookup(
     Keys above ``hot_rows`` facts number at most facts / hot_rows, so they are
     broadcast and their facts never move by key: in the shuffled join they carry
     a spread-out salt that matches nothing. All other keys join as usual; a key
-    without weight counts as one of those.
+    without weight counts as one of those. That join holds the lookup's rows of a task
+    in memory, one per key, and streams the facts, which are never sorted.
     ``weight`` itself is not returned.
     """
     values = [c for c in lookup.columns if c not in (key, weight)]
@@ -41,7 +42,7 @@ def hot_key_lookup(
     joined = (
         facts.join(F.broadcast(hot), key, "left")
         .withColumn("_salt", F.coalesce(salt, F.lit(0)))
-        .join(cold, [key, "_salt"], "left")
+        .join(cold.hint("shuffle_hash"), [key, "_salt"], "left")
     )
     found = F.coalesce("_hot", "_cold")
     return joined.select(*facts.columns, *[found.getField(c).alias(c) for c in values])

@@ -127,7 +127,7 @@ def train_val_classes(spark, folder):
     rows = _assignments(spark, folder).select("posting_id", "label_group", "split")
     train, val = select_split(rows, "train"), select_split(rows, "val")
     ids = sampling.class_ids(train, val)
-    return train.unionByName(val).join(ids, "label_group").select("posting_id", "label_group", "split", "class_id")
+    return train.unionByName(val).join(ids.hint("shuffle_hash"), "label_group").select("posting_id", "label_group", "split", "class_id")
 
 
 QUERIES = {
