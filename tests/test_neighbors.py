@@ -240,3 +240,59 @@ def test_sets_side_by_side_are_searched_each_for_itself(spark, block_rows):
         assert collected(own) == brute(v, list(range(len(v))), 5, None)
         assert {(r.query_g, r.neighbor_g) for r in own.collect()} == {(g, g)}
     assert found.where("name is null").count() == 0
+
+
+def test_all_pairs_come_in_bounded_parts(monkeypatch):
+    """Copies that all reach the threshold fill no part with more than a tile and the rows waiting for it."""
+    monkeypatch.setattr(nb, "_PAIR_TILE", 16)
+    monkeypatch.setattr(nb, "_PAIR_CORPUS_TILE", 32)
+    monkeypatch.setattr(nb, "_PAIR_ROWS", 100)
+    v = np.float32([[0.6, 0.8]] * 150 + [[-0.6, 0.8]] * 50)
+    parts = list(nb.pairs_above(v, v[::-1], 0.9))
+    assert max(len(sim) for _, _, sim in parts) <= 100 + 16 * 32
+    pairs = {(int(a), 199 - int(b)) for q, c, _ in parts for a, b in zip(q, c)}
+    assert len(pairs) == sum(len(sim) for _, _, sim in parts) == 150 * 150 + 50 * 50
+    assert all((a < 150) == (b < 150) for a, b in pairs)
+    assert not list(nb.pairs_above(v[:0], v, 0.9)) and not list(nb.pairs_above(v, -v, 0.99))
+
+
+@pytest.mark.parametrize("low,high", [(0, 1), (1, 1)])
+def test_two_blocks_are_multiplied_once_for_both_directions(monkeypatch, low, high):
+    products = []
+    scored = nb._candidates
+    monkeypatch.setattr(nb, "_candidates", lambda tile, corpus, *a: (products.append(len(tile) * len(corpus)), scored(tile, corpus, *a))[1])
+    rng = np.random.default_rng(21)
+    v = unit(rng, 50, 3).astype(np.float32)
+    block = np.where(np.arange(50) < 20, low, high)
+    batch = nb.pa.RecordBatch.from_pydict({
+        "_id": nb.pa.array([f"i{i:02d}" for i in range(50)]), "_vec": nb.pa.array(v.tolist(), nb.pa.list_(nb.pa.float32())),
+        "_c0": nb.pa.array(range(100, 150)), "_block": nb.pa.array(block, nb.pa.int32()), "_low": nb.pa.array([low] * 50), "_high": nb.pa.array([high] * 50),
+    })
+    fields = nb.found_fields({"i": "string", "g": "long"}, "i", ["g"], None)
+    found = [r for b in nb._pair_search(list(fields), 1, None, 0.2)([batch]) for r in b.to_pylist()]
+    sims = np.round(v.astype(float) @ v.astype(float).T, nb.SIM_DECIMALS)
+    want = {(i, j): sims[i, j] for i in range(50) for j in range(50) if sims[i, j] >= 0.2 and (low == high or block[i] != block[j])}
+    assert {(r["query_g"] - 100, r["neighbor_g"] - 100): r["sim"] for r in found} == want and len(found) == len(want)
+    assert all((r["query_id"], r["neighbor_id"]) == (f"i{r['query_g'] - 100:02d}", f"i{r['neighbor_g'] - 100:02d}") for r in found)
+    assert sum(products) == (20 * 30 if low != high else 50 * 50)
+
+
+def test_rows_of_an_all_pairs_join_travel_one_way(spark):
+    """Each pair of regions meets once; carried columns follow both directions, and no length of vectors is lost."""
+    rng = np.random.default_rng(22)
+    v = unit(rng, 300, 16) * rng.choice([0.0, 0.3, 1.0, 3.0], (300, 1))
+    v[200:240] = v[200]
+    df = table(spark, v, labels=[1000 + i for i in range(300)])
+    rows = nb.knn_self_join(df, k=None, threshold=0.2, block_rows=20, carry=["g"])
+    assert collected(rows) == brute(v, list(range(300)), None, 0.2)
+    assert rows.where("query_g <> query_id + 1000 or neighbor_g <> neighbor_id + 1000").count() == 0
+    assert rows.where(nb.F.col("sim") != nb.F.round("sim", 9)).count() == 0
+    plain = df.select(nb.F.col("posting_id").alias("_id"), nb.F.col("embedding").alias("_vec"))
+    pivots = arcs._pivots(plain, 15, 16)
+    placed = arcs.place(plain, pivots)
+    cells = arcs.cells_of(placed, pivots)
+    regions = arcs.regions_of(cells.rows, 40)
+    both = [len(r._to) for r in arcs.route(placed, cells, None, 0.2, regions).collect()]
+    routed = arcs.route(placed, cells, None, 0.2, regions, one_way=True).collect()
+    assert all(min(r._to) >= regions[r._cell] for r in routed)
+    assert sum(len(r._to) for r in routed) < 0.7 * sum(both)
