@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from kinfold.session import spread
 TextEncoder = Callable[[list[str]], np.ndarray]
 ImageEncoder = Callable[[list[np.ndarray]], np.ndarray]
 
+# Words an encoder remembers before it starts afresh.
+_KNOWN_WORDS = 1 << 16
+
 
 class HashedWords:
     """Signed feature hashing of lower-cased words: no model, same answer everywhere.
@@ -32,19 +36,22 @@ class HashedWords:
 
     def __init__(self, dim: int = 256) -> None:
         self.dim = dim
+        self._known: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        if len(self._known) > _KNOWN_WORDS:
+            self._known.clear()
         words = [re.findall(r"\w+", text.lower()) for text in texts]
-        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        flat = np.array([w for some in words for w in some], dtype=object)
-        vectors = np.zeros((len(texts), self.dim))
-        if not len(flat):
-            return vectors
-        distinct, at = np.unique(flat, return_inverse=True)
-        codes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in distinct])
-        signs = np.where(codes // self.dim % 2 == 0, 1.0, -1.0)
-        np.add.at(vectors, (row, (codes % self.dim)[at]), signs[at])
-        return vectors
+        for w in set().union(*words).difference(self._known):
+            code = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            # the components that go up come first, then those that go down
+            self._known[w] = code % self.dim + (code // self.dim % 2) * self.dim
+        lengths = [len(w) for w in words]
+        places = np.fromiter(map(self._known.__getitem__, chain.from_iterable(words)), np.int64, sum(lengths))
+        row = np.repeat(np.arange(len(texts)), lengths)
+        counts = np.bincount(row * (2 * self.dim) + places, minlength=len(texts) * 2 * self.dim)
+        counts = counts.reshape(len(texts), 2, self.dim)
+        return (counts[:, 0] - counts[:, 1]).astype(np.float64)
 
 
 class ColorLayout:

@@ -41,6 +41,15 @@ def test_hashed_words():
     assert not v[1].any() and np.abs(v[0]).sum() == 3
 
 
+def test_hashed_words_remembers_few(monkeypatch):
+    monkeypatch.setattr(encoding, "_KNOWN_WORDS", 2)
+    encoder = encoding.HashedWords(8)
+    texts = ["tas merah", "biru tas", "", "satu dua tiga"]
+    together = encoder(texts)
+    assert (together == np.concatenate([encoder([t]) for t in texts])).all()
+    assert len(encoder._known) <= 3
+
+
 def test_grey_and_transparent_images():
     grey = {"height": 2, "width": 2, "nChannels": 1, "data": bytes([0, 64, 128, 255])}
     assert encoding.rgb_array(grey)[1, 1].tolist() == [255, 255, 255]

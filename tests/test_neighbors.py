@@ -296,3 +296,56 @@ def test_rows_of_an_all_pairs_join_travel_one_way(spark):
     routed = arcs.route(placed, cells, None, 0.2, regions, one_way=True).collect()
     assert all(min(r._to) >= regions[r._cell] for r in routed)
     assert sum(len(r._to) for r in routed) < 0.7 * sum(both)
+
+
+def test_sets_pass_by_in_chunks_and_ranges(spark, monkeypatch):
+    """Copies, odd vectors and lengths of their own; a set's queries are several blocks and its rows several ranges."""
+    monkeypatch.setattr(nb, "_RANGE_CHUNKS", 2)
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for name, n, dim in (("a", 90, 6), ("b", 25, 4), ("c", 3, 9)):
+        v = unit(rng, n, dim)
+        v[rng.choice(n, n // 3, replace=False)] = v[0]
+        ids = [f"p{i:03d}" for i in rng.permutation(n)]
+        rows += [(i, [float(x) for x in x_], name) for i, x_ in zip(ids, v)]
+        rows.append((f"q{name}", [float("nan")] * dim, name))
+        want[name] = brute(v, ids, 5, 0.2)
+    frame = spark.createDataFrame(rows, "posting_id string, embedding array<float>, set string").repartition(3)
+    for block_rows in (None, 7):
+        found = nb.knn_self_join(frame, k=5, threshold=0.2, within=["set"], carry=["set"], block_rows=block_rows)
+        for name in want:
+            assert collected(found.where(found["set"] == name)) == want[name]
+        assert found.where("query_set <> neighbor_set").count() == 0
+
+
+def test_chunks_raise_the_floor_and_leave_k_rows_a_query(spark):
+    v = unit(np.random.default_rng(6), 300, 8)
+    rows = [(i, [float(x) for x in x_], "a") for i, x_ in enumerate(v)]
+    frame = spark.createDataFrame(rows, "posting_id long, embedding array<float>, set string")
+    search = nb.knn_self_join(frame, k=4, within=["set"], block_rows=50)
+    emitted = nb._pass_by(
+        frame.selectExpr("*", "6 as _blocks", "1 as _ranges", "50 as _chunk", "struct(set) as _cell"),
+        "posting_id", "embedding", ["set"], 4, None, 8,
+    )
+    assert emitted.count() == 300 * 4  # pairs of blocks left 4 rows a query and block
+    assert collected(search) == brute(v, list(range(300)), 4, None)
+
+
+@pytest.mark.parametrize("spoilt", [0, 3])
+def test_vectors_of_few_dimensions_are_compared_in_those(monkeypatch, spoilt):
+    rng = np.random.default_rng(7)
+    v = (unit(rng, 700, 9) @ rng.standard_normal((9, 96))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[rng.choice(700, 200, replace=False)] = v[1]
+    v[698:, :] = unit(rng, 2, 96) * (spoilt > 0) + v[698:] * (spoilt == 0)  # rows that the draw of axes misses
+    widths, flat = [], nb._Flat
+    monkeypatch.setattr(nb, "_Flat", lambda x, axes: (widths.append(axes.shape[1]), flat(x, axes))[1])
+    rank = rng.permutation(700)
+    for k, threshold in [(6, None), (400, 0.5)]:
+        got = {}
+        for q, c, s in nb.best_pairs(v, v, rank, k, threshold):
+            for a, b, sim in zip(q, c, s):
+                got.setdefault(int(a), []).append((int(rank[b]), sim))
+        want = brute(v, list(rank), k, threshold)
+        assert got == {i: want[rank[i]] for i in range(700) if rank[i] in want}
+    assert widths and max(widths) <= 9 + spoilt
